@@ -24,7 +24,7 @@ def quality(text: Column, words: Column) -> Column:
     return F.when(mean.between(4, 9), 4.0).when(mean.between(3, 14), 2.0).otherwise(1.0)
 
 
-def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17, carry: bool = False) -> DataFrame:
     """How often each document (doc_id, text, source) enters a mix, and what it adds.
 
     Sources in order of code points, null last, take the weights in turn, repeating, and share `share` times
@@ -34,17 +34,19 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, m
     -ln(u) / weight, u from a hash of seed, id and text, weight from the text's quality. The order isn't sorted:
     keys fall into buckets, bucket sums are added up, and only the bucket in which the rest ends is ordered.
     A document enters whole, the last if its middle lies within the rest: the error is half a document.
-    Returns doc_id, size, source, source_size, target, copies, taken. Null text: size 0, taken 0. Repeated
+    Returns doc_id, size, source, source_size, target, copies, taken; carry: and `row`, all columns of docs. Null text: size 0, taken 0. Repeated
     rows count each; equal ones are interchangeable. Without rows the result is empty.
     """
     spark = docs.sparkSession
     here = S.scratch(spark, "mixing")
     size = n_words(F.col("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    held = ["row"] if carry else []
     hashed = F.xxhash64(F.lit(seed), "doc_id", "text")
     unit = (F.shiftrightunsigned(hashed, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rows = docs.select("doc_id", "source", size.alias("size"), hashed.alias("tie"), unit.alias("u"), F.col("text"))
+    rows = docs.select("doc_id", "source", size.alias("size"), hashed.alias("tie"), unit.alias("u"), F.col("text"), *row)
     # 1 - exp(-key) orders as the key does; weights of 1 and more keep it near even between 0 and 1.
-    rows = S.saved(rows.select("doc_id", "source", "size", "tie", (1 - F.pow("u", 1 / quality(F.col("text"), F.col("size")))).alias("key")), f"{here}/rows")
+    rows = S.saved(rows.select("doc_id", "source", "size", "tie", *held, (1 - F.pow("u", 1 / quality(F.col("text"), F.col("size")))).alias("key")), f"{here}/rows")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     sums = sums.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((turn - 1) % len(weights) + 1).cast("int")))
@@ -63,9 +65,9 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, m
     hint = F.broadcast if count <= BROADCAST_SOURCES else lambda x: x
     buckets = 1 << max(10, math.ceil(math.log2(max(1, largest / 5_000))))
     rows = rows.withColumn("bucket", F.least(F.floor(F.col("key") * buckets), F.lit(buckets - 1)).cast("long"))
-    held = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumnRenamed("source", "of")
+    words = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumnRenamed("source", "of")
     run = F.sum("words").over(Window.partitionBy("of").orderBy("bucket"))
-    ends = held.select("of", "bucket", (run - F.col("words")).alias("below"), run.alias("upto"))
+    ends = words.select("of", "bucket", (run - F.col("words")).alias("below"), run.alias("upto"))
     ends = ends.join(hint(sums.select("source", "rest")), F.col("of").eqNullSafe(F.col("source"))).where((F.col("below") < F.col("rest")) & (F.col("rest") <= F.col("upto")))
     ends = ends.select("of", F.col("bucket").alias("last"), "below")
     sums = S.saved(sums.join(hint(ends), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), f"{here}/ends").withColumnRenamed("source", "of")
@@ -77,4 +79,4 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, m
     edge = joined.where(on_last).withColumn("extra", (middle <= F.col("rest")).cast("long"))
     both = clear.unionByName(edge)
     copies = (F.col("epochs") + F.col("extra")).alias("copies")
-    return both.select("doc_id", "size", "source", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "size", "source", "source_size", "target", copies, (copies * F.col("size")).alias("taken"), *held)

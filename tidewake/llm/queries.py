@@ -8,6 +8,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def number(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_token_records(spark, sf_dir):
     import public_tokenizers
 
@@ -18,6 +22,35 @@ def op1_token_records(spark, sf_dir):
     return token_records.read_records(spark, folder, totals)
 
 
+def op2_backoff_lm(spark, sf_dir):
+    from . import backoff_lm
+
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op3_jaccard_join(spark, sf_dir):
+    from . import jaccard_join
+
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_rule_quality(spark, sf_dir):
+    from . import rule_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = rule_quality.score(docs, rule_quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", rule_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_pii(spark, sf_dir):
+    from . import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.extract(docs, pii.learn(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *[number(k) for k in pii.KINDS], F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op6_chat_format(spark, sf_dir):
     from . import chat_format, scratch
 
@@ -56,6 +89,70 @@ def op10_mtree(spark, sf_dir):
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op6_chat_format, op7_bin_packing, op8_decontaminate, op9_mixing, op10_mtree)}
-
-ORACLE_SQL: dict[str, str] = {}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_backoff_lm, op3_jaccard_join, op4_rule_quality, op5_pii, op6_chat_format, op7_bin_packing, op8_decontaminate, op9_mixing, op10_mtree, pipeline)}
+
+#: Where SQL can't express a query - hashes, tokenizers, fitted models, packing - its test has a brute-force version.
+ORACLE_SQL = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS g FROM t)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+sets AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS s FROM sh GROUP BY doc_id),
+rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS r FROM sets),
+one AS (SELECT sh.doc_id, g FROM sh JOIN rep ON rep.doc_id = sh.doc_id AND rep.r = sh.doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(coalesce(rep.r, t.doc_id), coalesce(least.m, rep.r, t.doc_id)) AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN rep ON rep.doc_id = t.doc_id LEFT JOIN least ON least.a = rep.r""",
+    "op6_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, len(role) + len(regexp_replace(role, '[^\\#<:]', '', 'g')) + len(text) + len(regexp_replace(text, '[^\\#<:]', '', 'g')) + 15 AS size FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role, ' ' ORDER BY turn NULLS FIRST, role, text), '(system )?user assistant( user assistant)*') AS valid
+FROM e GROUP BY conv_id""",
+    "op8_decontaminate": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, m, v FROM (
+    SELECT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS v FROM b WHERE len(w) > 0)),
+spots AS (
+  SELECT doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') AS v FROM (
+    SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM win))),
+hit AS (SELECT doc_id, item_id, p.m, s FROM spots p JOIN win ON win.m = p.m AND win.v = p.v),
+places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id""",
+    "op10_mtree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+}
