@@ -27,31 +27,34 @@ def overlap(s, t, num: int, den: int):
     return -(-(num * (s + t)) // (den + num))
 
 
+#: What a row of a weak group costs against one of a strong group, where the number of groups is chosen.
+WEAK_COST = 200
+
+
 def size_classes(most: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
     """(least size, groups, least strong group, weak groups let go) of each class, least sizes growing by half.
 
     A set's elements fall into groups by a hash. Linked sets of a class differ in at most d elements, so at
     most d groups; of d + 1 + e groups e + 1 agree as wholes. Groups of under m elements are weak: many sets
-    may share one. A set with at most e of them need only be met by its strong groups."""
+    may share one. A set with at most e of them need only be met by its strong groups. Any e and m lose
+    nothing; those are taken that make the fewest rows and rarely send weak groups."""
     out, low = [], 1
     while low <= most:
         high = max(low + 1, low * 3 // 2)
         d = differing(high - 1, high - 1, num, den)
         least = -(-low * num // den)
-        best = (low, d + 1, 0, 0)
-        for m in (2, 1):
-            k, e = d + 1, -1
-            while k <= (d + 1) * 3 // 2 + 3:
-                rate = least / k
-                p = math.exp(-rate) * sum(rate**i / math.factorial(i) for i in range(m))
-                if k - 1 - d >= k * p + 3 * math.sqrt(k * p * (1 - p)):
-                    e = k - 1 - d
-                    break
-                k += max(1, k >> 8)
-            if e >= 0:
-                best = (low, k, m, e)
-                break
-        out.append(best)
+        k, best = d + 1, None
+        while k <= 2 * (d + 1) + 4:
+            for m in (1, 2, 3):
+                cost = 0.0
+                for size in (least, (least + low) // 2, low, (low + high) // 2, high - 1):
+                    rate = size / k
+                    p = math.exp(-rate) * sum(rate**i / math.factorial(i) for i in range(m))
+                    spread = max(1e-9, k * (p - p * p * (1 + rate)) if m == 1 else k * p * (1 - p))
+                    cost += k * (1 - p) + WEAK_COST * k * p * math.erfc((k - d - 0.5 - k * p) / math.sqrt(2 * spread)) / 2
+                best = min(best or (math.inf,), (cost, k, m, k - 1 - d))
+            k += max(1, k >> 6)
+        out.append((low, *best[1:]))
         low = high
     return out
 
