@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import scratch as S
 
 #: Vectors of a tree, entries of a page, query vectors of a block.
-TREE, PAGE, BLOCK = 20_000, 256, 64
+TREE, PAGE, BLOCK = 20_000, 512, 64
 
 
 class MTree:
@@ -30,6 +30,14 @@ class MTree:
         self.pages: list[dict] = []
         self.page, self.random = page, np.random.default_rng(5)
         self.root = self._build(np.arange(len(ids)), None)
+        # Rows of a leaf lie together, so a page is a slice and reading it copies nothing.
+        leaves = [p for p in self.pages if p["child"] is None]
+        order = np.concatenate([p["rows"] for p in leaves]) if leaves else np.arange(0)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.x, self.z, self.ids = self.x[order], self.z[order], np.asarray(self.ids)[order]
+        for p in self.pages:
+            p["rows"] = place[p["rows"]]
 
     def _distance(self, i: int, rows):
         import numpy as np
@@ -79,7 +87,11 @@ class MTree:
                 if not keep.any():
                     continue
                 rows = rows[keep]
-            product = self.x[rows] @ q
+            if page["child"] is None and len(page["rows"]) and (keep is None or 2 * len(rows) > len(keep)):
+                rows = page["rows"]
+                product = self.x[rows[0] : rows[0] + len(rows)] @ q
+            else:
+                product = self.x[rows] @ q
             if page["child"] is None:
                 if len(best) >= k:
                     near_enough = product >= best[0][0]
