@@ -14,7 +14,7 @@ from .components import components
 BLOCK_WORDS, PAGE_ROWS = 3_000_000, 4096
 LEAST_BUCKETS = 512
 #: Coordinates of a count vector, and entries of an R-tree node.
-COORDINATES, NODE = 32, 32
+COORDINATES, NODE = 128, 32
 
 
 def differing(s: int, t: int, num: int, den: int) -> int:
@@ -185,6 +185,64 @@ def stars(keys, members) -> Iterator:
     return (keys[~first], pivot[~first], members[~first]), (keys[first], members[first])
 
 
+def links(a, b, num: int, den: int) -> bool:
+    """Whether two sets of distinct hashes link: den * |a n b| >= num * |a u b|."""
+    import numpy as np
+
+    if den * min(len(a), len(b)) < num * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    i = int((both[1:] == both[:-1]).sum())
+    return den * i >= num * (len(a) + len(b) - i)
+
+
+def resolved(s: Shingles, star, pivot, member, num: int, den: int):
+    """The least row of each row's component within a block. Pairs of a key's first and another member are checked,
+    those with most keys in common first; then, of keys whose members are still apart, every pair across
+    components that the R-tree lets through."""
+    import numpy as np
+
+    cut = np.concatenate(([0], np.cumsum(s.sizes)))
+    root, failed = list(range(len(s.sizes))), set()
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def meet(a, b):
+        x, y = find(a), find(b)
+        if x == y or (a, b) in failed:
+            return
+        if links(s.hashes[cut[a] : cut[a + 1]], s.hashes[cut[b] : cut[b + 1]], num, den):
+            root[max(x, y)] = min(x, y)
+        else:
+            failed.add((a, b))
+
+    pairs, shared = np.unique(pivot.astype(np.int64) << 32 | member.astype(np.int64), return_counts=True)
+    for pair in pairs[np.argsort(-shared, kind="stable")].tolist():
+        meet(pair >> 32, pair & 0xFFFFFFFF)
+    labels = np.array([find(i) for i in range(len(root))], np.int64)
+    apart = np.unique(star[labels[pivot] != labels[member]])
+    low, high = np.searchsorted(star, apart), np.searchsorted(star, apart, side="right")
+    for x, y in zip(low.tolist(), high.tolist(), strict=True):
+        rows = np.concatenate((pivot[x : x + 1], member[x:y])).astype(np.int64)
+        own = np.array([find(i) for i in rows.tolist()])
+        names, sizes = np.unique(own, return_counts=True)
+        if len(names) < 2:
+            continue
+        local = np.repeat(np.arange(len(rows)), s.sizes[rows])
+        tree = None
+        for i in np.nonzero(own != names[sizes.argmax()])[0].tolist():
+            if tree is None:
+                v = vectors(np.concatenate([s.hashes[cut[r] : cut[r + 1]] for r in rows]), local, len(rows))
+                tree = RTree(v, s.sizes[rows], own)
+            for j in tree.search(v[i], int(s.sizes[rows[i]]), own[i], num, den):
+                meet(int(min(rows[i], rows[j])), int(max(rows[i], rows[j])))
+    return np.array([find(i) for i in range(len(root))], np.int64)
+
+
 def read_blocks(batches, limit: int) -> Iterator[tuple]:
     """((ids, hashes of texts), words, sizes, vocabulary) of blocks of texts."""
     import numpy as np
@@ -210,14 +268,17 @@ def read_blocks(batches, limit: int) -> Iterator[tuple]:
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Components of documents (doc_id, text) whose sets of k-word shingles have den * |A n B| >= num * |A u B|.
 
-    1. Tasks turn texts into blocks (files of word numbers in the shared folder), deal each distinct set's
-       elements into groups and send the groups' hashes by bucket: any two linked sets share one. Members of a
-       key within a block are linked to the block's first, and only that one is sent on: a key that a third of
-       all rows share reaches its bucket once per block.
-    2. Pairs of a key's first and another member are checked on their whole sets, and components found.
-    3. Keys whose members still lie in several components get the rest: members outside the largest one are
-       looked up in R-trees over the count vectors of all the key's members, page by page; summed coordinate
-       minima bound the overlap, and every pair across components that survives is checked. So no link is lost.
+    1. Tasks turn texts into blocks (files of word numbers in the shared folder) and deal each distinct set's
+       elements into groups; any two linked sets share a group's hash, their key. A block's own links are
+       found in its task. Then only the first member of each key is sent to the key's bucket: a key that a
+       third of all rows share reaches its bucket once per block.
+    2. Pairs of a key's first and another block's first are checked on their whole sets: for each component of
+       a block the pair with most keys in common, then the pairs whose components are still apart and whose
+       count vectors may overlap enough. Components of blocks so join.
+    3. Keys whose members still lie in several components get the rest: the blocks list all their members,
+       and those outside the largest component are looked up in R-trees over the count vectors, page by
+       page; summed coordinate minima bound the overlap, and every pair across components and blocks that
+       survives is checked. So no link is lost.
     Elements are 64-bit hashes. Null and empty texts have an empty set and no link. A text with fewer than k
     words is one shingle. Repeated rows all stay. docs is read twice if it isn't a table: it must be the same
     rows in the same order each time, as a table's are. Returns doc_id, n_shingles, component_id (least id of
@@ -248,14 +309,17 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             keys = bucket << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF))
             (star, pivot, member), (keys, owners) = stars(keys, owners)
+            root = resolved(s, star, pivot, member, num, den)
+            other = root[pivot] != root[member]  # one member for each further component of a key
+            extra = np.unique(np.stack((star[other].astype(np.int64), root[member[other]])), axis=1)
             S.put(f"{here}/blocks/{number}.words", zlib.compress(pickle.dumps((words, sizes, vocabulary), 5), 1))
-            S.put(f"{here}/blocks/{number}.rows", zlib.compress(pickle.dumps((ids, s.sizes, np.array(copy, np.int64), star, pivot, member), 5), 1))
+            S.put(f"{here}/blocks/{number}.rows", zlib.compress(pickle.dumps((ids, s.sizes, np.array(copy, np.int64), root, keys, owners, star, member, extra), 5), 1))
             cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist()
             parts = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b] < cut[b + 1]]
             low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([-1 - number % 64] + [b for b, *_ in parts], pa.int32()), pa.array([number] * (len(parts) + 1), pa.int64()), pa.array([b""] + [low[x:y].tobytes() for _, x, y in parts], pa.binary()), pa.array([b""] + [owners[x:y].astype("<u4").tobytes() for _, x, y in parts], pa.binary())],
-                ["bucket", "block", "keys", "owners"],
+                [pa.array([-1 - number % 64] + [b for b, *_ in parts], pa.int32()), pa.array([number] * (len(parts) + 1), pa.int64()), pa.array([b""] + [low[x:y].tobytes() for _, x, y in parts], pa.binary()), pa.array([b""] + [owners[x:y].astype("<u4").tobytes() for _, x, y in parts], pa.binary()), pa.array([b""] + [root[owners[x:y]].astype("<u4").tobytes() for _, x, y in parts], pa.binary())],
+                ["bucket", "block", "keys", "owners", "roots"],
             )
 
     def meet(table):
@@ -264,16 +328,18 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
 
         bucket, numbers = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
         if bucket < 0:  # what blocks there are
-            return pa.table({"key": pa.array([-1] * len(numbers), pa.int64()), "pivot": pa.array(numbers, pa.int64()), "member": pa.array([-1] * len(numbers), pa.int64())})
+            none = pa.array([-1] * len(numbers), pa.int64())
+            return pa.table({"key": none, "a": pa.array(numbers, pa.int64()), "b": none, "ra": none, "rb": none})
         keys = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-        owners = [np.frombuffer(x, "<u4").astype(np.int64) + (n << 24) for x, n in zip(table.column("owners").to_pylist(), numbers, strict=True)]
-        (key, pivot, member), _ = stars(np.concatenate(keys).astype(np.int64) + (bucket << 32), np.concatenate(owners))
-        return pa.table({"key": pa.array(key, pa.int64()), "pivot": pa.array(pivot, pa.int64()), "member": pa.array(member, pa.int64())})
+        owners, roots = (np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + (n << 24) for x, n in zip(table.column(c).to_pylist(), numbers, strict=True)]) for c in ("owners", "roots"))
+        (key, pivot, member), _ = stars(np.concatenate(keys).astype(np.int64) + (bucket << 32), owners)
+        order = np.argsort(owners, kind="stable")
+        of = lambda x: roots[order[np.searchsorted(owners[order], x)]]
+        return pa.table({"key": pa.array(key, pa.int64()), "a": pa.array(pivot, pa.int64()), "b": pa.array(member, pa.int64()), "ra": pa.array(of(pivot), pa.int64()), "rb": pa.array(of(member), pa.int64())})
 
-    star = "key long, pivot long, member long"
-    sent = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sketch, "bucket int, block long, keys binary, owners binary")
-    met = S.saved(sent.groupBy("bucket").applyInArrow(meet, star), f"{here}/met")
-    numbers = S.saved(met.where("key = -1").select(F.col("pivot").alias("block")), f"{here}/numbers").repartition(S.shuffles(spark), "block")
+    sent = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sketch, "bucket int, block long, keys binary, owners binary, roots binary")
+    met = S.saved(sent.groupBy("bucket").applyInArrow(meet, "key long, a long, b long, ra long, rb long"), f"{here}/met")
+    numbers = S.saved(met.where("key = -1").select(F.col("a").alias("block")), f"{here}/numbers").repartition(S.shuffles(spark), "block")
 
     def rows_of(batches):
         import pickle
@@ -283,24 +349,36 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
 
         for batch in batches:
             for n in batch.column(0).to_pylist():
-                (ids, hashed), sizes, copy, *_ = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashed, pa.int64()), pa.array(sizes, pa.int64()), pa.array(copy + (n << 24), pa.int64())], ["doc_id", "text_hash", "n_shingles", "set"])
+                (ids, hashed), sizes, copy, root, *_ = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashed, pa.int64()), pa.array(sizes, pa.int64()), pa.array(root[copy] + (n << 24), pa.int64())], ["doc_id", "text_hash", "n_shingles", "root"])
 
-    def stars_of(batches):
+    def extras_of(batches):
         import pickle
         import zlib
 
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for n in batch.column(0).to_pylist():
-                *_, key, pivot, member = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(pivot.astype(np.int64) + (n << 24)), pa.array(member.astype(np.int64) + (n << 24))], ["key", "pivot", "member"])
+                key, root = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(root + (n << 24), pa.int64())], ["key", "root"])
 
-    rows = S.saved(numbers.mapInArrow(rows_of, "doc_id long, text_hash long, n_shingles long, set long"), f"{here}/rows")
-    shared = S.saved(met.where("key <> -1").unionByName(numbers.mapInArrow(stars_of, star)), f"{here}/shared")
-    pairs = S.saved(shared.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), f"{here}/pairs")
+    def members_of(table):
+        import pickle
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        n = table.column("block")[0].as_py()
+        _, _, _, root, keys, owners, star, member, _ = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))
+        wanted = np.unique(table.column("key").to_numpy().astype(np.uint64))
+        first, more = np.isin(keys, wanted), np.isin(star, wanted)
+        key, own = np.concatenate((keys[first], star[more])).astype(np.int64), np.concatenate((owners[first], member[more])).astype(np.int64)
+        return pa.table({"key": pa.array(key, pa.int64()), "id": pa.array(own + (n << 24), pa.int64()), "root": pa.array(root[own] + (n << 24), pa.int64())})
+
+    rows = S.saved(numbers.mapInArrow(rows_of, "doc_id long, text_hash long, n_shingles long, root long"), f"{here}/rows")
+    pairs = S.saved(met.where("key <> -1").groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.count(F.lit(1)).alias("n")), f"{here}/pairs")
 
     def fetch(table):
         import pickle
@@ -319,64 +397,99 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         v = vectors(s.hashes, s.docs, len(local)).astype("<i4")
         return pa.table({"id": pa.array(wanted, pa.int64()), "n": pa.array(s.sizes, pa.int64()), "v": pa.array([x.tobytes() for x in v], pa.binary()), "h": pa.array([s.hashes[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in range(len(local))], pa.binary())})
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = S.saved(ids.groupBy(F.shiftright("id", 24).alias("block")).applyInArrow(lambda t: fetch(t.select(["id"])), "id long, n long, v binary, h binary"), f"{here}/sets")
+    def sets_of(ids, name):
+        return S.saved(ids.distinct().groupBy(F.shiftright("id", 24).alias("block")).applyInArrow(lambda t: fetch(t.select(["id"])), "id long, n long, v binary, h binary"), f"{here}/{name}-sets")
+
+    def ends(pairs):
+        return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
-    def check(batches):
+    def checked(batches, exact):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for x, y, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if den * min(n, m) < num * max(n, m):
-                    out.append(False)
-                    continue
-                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.concatenate((a, b))
-                both.sort(kind="stable")
-                i = int((both[1:] == both[:-1]).sum())
-                out.append(den * i >= num * (n + m - i))
-            keep = pa.array(out, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    def linked(pairs):
-        x = sets.select(F.col("id").alias("a"), F.col("h").alias("x"), F.col("n").alias("n"))
-        y = sets.select(F.col("id").alias("b"), F.col("h").alias("y"), F.col("n").alias("m"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(check, "a long, b long")
-
-    links = S.saved(linked(pairs), f"{here}/links")
-    labels = components(links, f"{here}/first")
+            for x, y, n, m in zip(batch.column(4), batch.column(5), batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), "<u8" if exact else "<i4") for z in (x, y))
+                out.append(links(x, y, num, den) if exact else int(np.minimum(x, y).sum()) >= overlap(n, m, num, den))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "ra", "rb"]).filter(pa.array(out, pa.bool_()))
+
+    def passed(pairs, sets, exact):
+        """Pairs whose whole sets link or, where not exact, whose count vectors allow it."""
+        data = "h" if exact else "v"
+        x = sets.select(F.col("id").alias("a"), F.col(data).alias("x"), F.col("n").alias("n"))
+        y = sets.select(F.col("id").alias("b"), F.col(data).alias("y"), F.col("n").alias("m"))
+        both = pairs.select("a", "b", "ra", "rb").join(x, "a").join(y, "b").where(F.least("n", "m") * den >= F.greatest("n", "m") * num)
+        return both.select("a", "b", "ra", "rb", "x", "y", "n", "m").mapInArrow(lambda t: checked(t, exact), "a long, b long, ra long, rb long")
+
+    def linked(pairs, name):
+        return S.saved(passed(pairs, sets_of(ends(pairs), name), True), f"{here}/{name}-links")
+
+    def named(rows, roots, labels):
+        """rows with l<root>, the label of each root column so far."""
+        for c in roots:
+            rows = rows.join(labels.select(F.col("id").alias("_of"), F.col("label").alias("_is")), F.col(c) == F.col("_of"), "left").withColumn(f"l{c}", F.coalesce("_is", c)).drop("_of", "_is")
+        return rows
+
+    def joined(found, name):
+        return components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")), f"{here}/{name}")
+
+    best = S.saved(pairs.groupBy("rb").agg(F.max_by(F.struct("a", "b", "ra"), F.struct("n", -F.col("a"), -F.col("b"))).alias("p")).select("p.*", "rb"), f"{here}/best")
+    found = linked(best, "best")
+    labels = joined(found, "first")
+    near = S.saved(named(pairs.join(best.select("a", "b"), ["a", "b"], "left_anti"), ["ra", "rb"], labels).where("lra <> lrb").select("a", "b", "ra", "rb"), f"{here}/near")
+    if not near.isEmpty():
+        sets = sets_of(ends(near), "near")
+        maybe = S.saved(passed(near, sets, False), f"{here}/maybe")
+        found = found.unionByName(S.saved(passed(maybe, sets, True), f"{here}/near-links"))
+        labels = joined(found, "second")
     # Keys with members in several components, and the members outside the key's largest.
-    members = shared.select("key", F.col("member").alias("id")).union(shared.select("key", F.col("pivot").alias("id")))
-    named = labels.withColumnRenamed("id", "of")
-    members = members.join(named, F.col("id") == F.col("of"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    members = S.saved(members.join(several, "key").distinct(), f"{here}/members")
+    extras = numbers.mapInArrow(extras_of, "key long, root long").withColumn("met", F.lit(False))
+    keys = met.where("key <> -1")
+    roots = keys.select("key", F.col("ra").alias("root")).union(keys.select("key", F.col("rb").alias("root"))).distinct().withColumn("met", F.lit(True))
+    several = named(roots.unionByName(extras), ["root"], labels).groupBy("key").agg(F.min("lroot").alias("low"), F.max("lroot").alias("high"), F.max("met").alias("met")).where("low <> high and met").select("key")
+    several = S.saved(several, f"{here}/several")
+    if several.isEmpty():
+        return _answer(rows, labels, here)
+    places = keys.join(several, "key").select("key", F.explode(F.array(F.shiftright("a", 24), F.shiftright("b", 24))).alias("block")).distinct()
+    members = places.groupBy("block").applyInArrow(members_of, "key long, id long, root long")
+    members = S.saved(named(members, ["root"], labels).withColumnRenamed("lroot", "label"), f"{here}/members")
     largest = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
     largest = S.saved(largest.withColumn("pages", F.ceil(F.col("all") / PAGE_ROWS)), f"{here}/largest")
+    sets = sets_of(members.select("id"), "members")
     points = members.join(sets.select("id", "n", "v"), "id").join(largest, "key")
-    page = points.withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages"))).select("key", "page", "id", "label", "n", "v", F.lit(False).alias("asks"))
-    outside = points.where("label <> main").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).select("key", "page", "id", "label", "n", "v", F.lit(True).alias("asks"))
+    page = points.withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages"))).select("key", "page", "id", "root", "label", "n", "v", F.lit(False).alias("asks"))
+    outside = points.where("label <> main").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).select("key", "page", "id", "root", "label", "n", "v", F.lit(True).alias("asks"))
 
     def search(table):
         import numpy as np
         import pyarrow as pa
 
         asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, labels, sizes = (table.column(c).to_numpy() for c in ("id", "label", "n"))
+        ids, roots, labels, sizes = (table.column(c).to_numpy() for c in ("id", "root", "label", "n"))
         v = np.frombuffer(b"".join(table.column("v").to_pylist()), "<i4").reshape(-1, COORDINATES)
         held = np.nonzero(~asks)[0]
         tree = RTree(v[held], sizes[held], labels[held])
-        found = {(min(ids[i], ids[held[j]]), max(ids[i], ids[held[j]])) for i in np.nonzero(asks)[0] for j in tree.search(v[i], int(sizes[i]), labels[i], num, den)}
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    rest = page.unionByName(outside).groupBy("key", "page").applyInArrow(lambda t: search(t.select(["id", "label", "n", "v", "asks"])), "a long, b long").distinct()
-    more = S.saved(linked(S.saved(rest.join(pairs, ["a", "b"], "left_anti"), f"{here}/rest")), f"{here}/more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more), f"{here}/second")
-    named = labels.withColumnRenamed("id", "of")
-    rows = S.saved(rows.join(named, F.col("set") == F.col("of"), "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "set").alias("component")), f"{here}/labelled")
+        out = set()
+        for i in np.nonzero(asks)[0]:
+            for j in held[tree.search(v[i], int(sizes[i]), labels[i], num, den)]:
+                if ids[i] >> 24 != ids[j] >> 24:  # a block has checked its own
+                    x, y = (i, j) if ids[i] < ids[j] else (j, i)
+                    out.add((ids[x], ids[y], roots[x], roots[y]))
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("a", "b", "ra", "rb"))})
+
+    rest = page.unionByName(outside).groupBy("key", "page").applyInArrow(lambda t: search(t.select(["id", "root", "label", "n", "v", "asks"])), "a long, b long, ra long, rb long").distinct()
+    rest = S.saved(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{here}/rest")
+    if not rest.isEmpty():
+        more = S.saved(passed(rest, sets, True), f"{here}/rest-links")
+        if not more.isEmpty():
+            labels = joined(found.unionByName(more), "third")
+    return _answer(rows, labels, here)
+
+
+def _answer(rows: DataFrame, labels: DataFrame, here: str) -> DataFrame:
+    of = labels.select(F.col("id").alias("of"), "label")
+    rows = S.saved(rows.join(of, F.col("root") == F.col("of"), "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "root").alias("component")), f"{here}/labelled")
     least = rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "of")
     return rows.join(least, (F.col("component") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "text_hash")
 
