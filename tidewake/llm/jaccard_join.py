@@ -454,6 +454,9 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     places = keys.join(several, "key").select("key", F.explode(F.array(F.shiftright("a", 24), F.shiftright("b", 24))).alias("block")).distinct()
     members = places.groupBy("block").applyInArrow(members_of, "key long, id long, root long")
     members = S.saved(named(members, ["root"], labels).withColumnRenamed("lroot", "label"), f"{here}/members")
+    # Two members are a pair that is checked already; keys with the same members ask the same.
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).where("n > 2")
+    members = S.saved(members.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), f"{here}/asked")
     largest = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
     largest = S.saved(largest.withColumn("pages", F.ceil(F.col("all") / PAGE_ROWS)), f"{here}/largest")
     sets = sets_of(members.select("id"), "members")
