@@ -11,7 +11,7 @@ from .backoff_lm import _UPPER, mixed
 from .components import components
 
 #: Words of a block, which is what one task holds; rows of a page of a shared key's members.
-BLOCK_WORDS, PAGE_ROWS = 3_000_000, 4096
+BLOCK_WORDS, PAGE_ROWS = 1_000_000, 4096
 LEAST_BUCKETS = 512
 #: Coordinates of a count vector, and entries of an R-tree node.
 COORDINATES, NODE = 128, 32
