@@ -15,6 +15,8 @@ BLOCK_WORDS, PAGE_ROWS = 1_000_000, 4096
 LEAST_BUCKETS = 512
 #: Coordinates of a count vector, and entries of an R-tree node.
 COORDINATES, NODE = 128, 32
+#: Tasks that send a block's sets; sets of a batch; rows of a table up to which it is broadcast.
+SPREAD, SENT_ROWS, BROADCAST_ROWS = 4, 256, 1_000_000
 
 
 def differing(s: int, t: int, num: int, den: int) -> int:
@@ -274,7 +276,8 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
        third of all rows share reaches its bucket once per block.
     2. Pairs of a key's first and another block's first are checked on their whole sets: for each component of
        a block the pair with most keys in common, then the pairs whose components are still apart and whose
-       count vectors may overlap enough. Components of blocks so join.
+       count vectors may overlap enough. A set is sent once to each block that has members to check it with,
+       which reads their sets from its file. Components of blocks so join.
     3. Keys whose members still lie in several components get the rest: the blocks list all their members,
        and those outside the largest component are looked up in R-trees over the count vectors, page by
        page; summed coordinate minima bound the overlap, and every pair across components and blocks that
@@ -380,50 +383,120 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     rows = S.saved(numbers.mapInArrow(rows_of, "doc_id long, text_hash long, n_shingles long, root long"), f"{here}/rows")
     pairs = S.saved(met.where("key <> -1").groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.count(F.lit(1)).alias("n")), f"{here}/pairs")
 
-    def fetch(table):
+    def opened(number):
         import pickle
         import zlib
 
+        return pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{number}.words")))
+
+    def picked(block, local):
+        """Shingles of some rows of an opened block, and the place where each row's begin."""
         import numpy as np
-        import pyarrow as pa
 
-        wanted = np.sort(table.column("id").to_numpy())
-        words, sizes, vocabulary = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{int(wanted[0]) >> 24}.words")))
-        local = wanted & 0xFFFFFF
+        words, sizes, vocabulary = block
         place = np.cumsum(sizes) - sizes
-        picked = np.concatenate([words[place[i] : place[i] + sizes[i]] for i in local])
-        s = Shingles(picked, sizes[local], vocabulary, k)
-        cut = np.concatenate(([0], np.cumsum(s.sizes)))
-        v = vectors(s.hashes, s.docs, len(local)).astype("<i4")
-        return pa.table({"id": pa.array(wanted, pa.int64()), "n": pa.array(s.sizes, pa.int64()), "v": pa.array([x.tobytes() for x in v], pa.binary()), "h": pa.array([s.hashes[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in range(len(local))], pa.binary())})
+        s = Shingles(np.concatenate([words[place[i] : place[i] + sizes[i]] for i in local.tolist()]), sizes[local], vocabulary, k)
+        return s, np.concatenate(([0], np.cumsum(s.sizes)))
+
+    def fetch(batches):
+        """(id, n, v): the size and the count vector of each id's set; ids come sorted."""
+        import numpy as np
+        import pyarrow as pa
 
-    def sets_of(ids, name):
-        return S.saved(ids.distinct().groupBy(F.shiftright("id", 24).alias("block")).applyInArrow(lambda t: fetch(t.select(["id"])), "id long, n long, v binary, h binary"), f"{here}/{name}-sets")
+        number, block, last = None, None, -1
+        for batch in batches:
+            ids = np.unique(batch.column(0).to_numpy())
+            ids = ids[ids > last]
+            for n in np.unique(ids >> 24).tolist():
+                if n != number:
+                    number, block = n, opened(n)
+                own = ids[ids >> 24 == n]
+                last = int(own[-1])
+                s, _ = picked(block, own & 0xFFFFFF)
+                v = vectors(s.hashes, s.docs, len(own)).astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(s.sizes, pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "n", "v"])
+
+    def vectors_of(ids, name):
+        dealt = ids.select("id").repartition(S.shuffles(spark), F.shiftright("id", 24)).sortWithinPartitions("id")
+        return S.saved(dealt.mapInArrow(fetch, "id long, n long, v binary"), f"{here}/{name}-vectors")
 
     def ends(pairs):
         return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
-    def checked(batches, exact):
+    def bounded(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for x, y, n, m in zip(batch.column(4), batch.column(5), batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), "<u8" if exact else "<i4") for z in (x, y))
-                out.append(links(x, y, num, den) if exact else int(np.minimum(x, y).sum()) >= overlap(n, m, num, den))
+                x, y = (np.frombuffer(z.as_buffer(), "<i4") for z in (x, y))
+                out.append(int(np.minimum(x, y).sum()) >= overlap(n, m, num, den))
             yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "ra", "rb"]).filter(pa.array(out, pa.bool_()))
 
-    def passed(pairs, sets, exact):
-        """Pairs whose whole sets link or, where not exact, whose count vectors allow it."""
-        data = "h" if exact else "v"
-        x = sets.select(F.col("id").alias("a"), F.col(data).alias("x"), F.col("n").alias("n"))
-        y = sets.select(F.col("id").alias("b"), F.col(data).alias("y"), F.col("n").alias("m"))
+    def allowed(pairs, points):
+        """Pairs whose sizes and count vectors allow a link."""
+        x = points.select(F.col("id").alias("a"), F.col("v").alias("x"), F.col("n").alias("n"))
+        y = points.select(F.col("id").alias("b"), F.col("v").alias("y"), F.col("n").alias("m"))
         both = pairs.select("a", "b", "ra", "rb").join(x, "a").join(y, "b").where(F.least("n", "m") * den >= F.greatest("n", "m") * num)
-        return both.select("a", "b", "ra", "rb", "x", "y", "n", "m").mapInArrow(lambda t: checked(t, exact), "a long, b long, ra long, rb long")
+        return both.select("a", "b", "ra", "rb", "x", "y", "n", "m").mapInArrow(bounded, "a long, b long, ra long, rb long")
+
+    def send(batches):
+        """The set of a, once for all pairs with members of another block; pairs come sorted."""
+        import numpy as np
+        import pyarrow as pa
+
+        number, block = None, None
+        for batch in batches:
+            a, b, ra, rb = (c.to_numpy() for c in batch.columns)
+            if not len(a):
+                continue
+            new = np.nonzero((a[1:] != a[:-1]) | (b[1:] >> 24 != b[:-1] >> 24))[0] + 1
+            low, high = np.concatenate(([0], new)), np.concatenate((new, [len(a)]))
+            for n in np.unique(a >> 24).tolist():
+                if n != number:
+                    number, block = n, opened(n)
+                local = np.unique(a[a >> 24 == n] & 0xFFFFFF)
+                s, cut = picked(block, local)
+                runs = np.nonzero(a[low] >> 24 == n)[0]
+                for i in range(0, len(runs), SENT_ROWS):
+                    out = []
+                    for x, y in zip(low[runs[i : i + SENT_ROWS]].tolist(), high[runs[i : i + SENT_ROWS]].tolist(), strict=True):
+                        at = np.searchsorted(local, a[x] & 0xFFFFFF)
+                        out.append((int(b[x]) >> 24, int(a[x]), int(ra[x]), b[x:y].astype("<i8").tobytes(), rb[x:y].astype("<i8").tobytes(), s.hashes[cut[at] : cut[at + 1]].astype("<u8").tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.binary()] * 3, strict=True)], ["block", "a", "ra", "b", "rb", "h"])
+
+    def check(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        number, block = None, None
+        for batch in batches:
+            blocks, out = batch.column(0).to_numpy(), []
+            for n in np.unique(blocks).tolist():
+                if n != number:
+                    number, block = n, opened(n)
+                rows = np.nonzero(blocks == n)[0].tolist()
+                b, rb = ([np.frombuffer(batch.column(c)[i].as_buffer(), "<i8") for i in rows] for c in (3, 4))
+                local = np.unique(np.concatenate(b) & 0xFFFFFF)
+                s, cut = picked(block, local)
+                for i, ids, roots in zip(rows, b, rb, strict=True):
+                    x = np.frombuffer(batch.column(5)[i].as_buffer(), "<u8")
+                    for y, root, at in zip(ids.tolist(), roots.tolist(), np.searchsorted(local, ids & 0xFFFFFF).tolist(), strict=True):
+                        if links(x, s.hashes[cut[at] : cut[at + 1]], num, den):
+                            out.append((batch.column(1)[i].as_py(), y, batch.column(2)[i].as_py(), root))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(4)], ["a", "b", "ra", "rb"])
 
     def linked(pairs, name):
-        return S.saved(passed(pairs, sets_of(ends(pairs), name), True), f"{here}/{name}-links")
+        """Pairs (of different blocks) whose whole sets link: the blocks of a send sets to the blocks of b."""
+        n = S.shuffles(spark)
+        asked = pairs.select("a", "b", "ra", "rb").repartition(n, F.shiftright("a", 24), F.pmod(F.shiftright("b", 24), F.lit(SPREAD))).sortWithinPartitions("a", "b")
+        sent = asked.mapInArrow(send, "block long, a long, ra long, b binary, rb binary, h binary").repartition(n, "block").sortWithinPartitions("block")
+        return S.saved(sent.mapInArrow(check, "a long, b long, ra long, rb long"), f"{here}/{name}-links")
+
+    def few(rows):
+        """Broadcast up to a count of rows, which hold two longs at most; beyond, the join shuffles."""
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
     def named(rows, roots, labels):
         """rows with l<root>, the label of each root column so far."""
@@ -439,19 +512,19 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     labels = joined(found, "first")
     near = S.saved(named(pairs.join(best.select("a", "b"), ["a", "b"], "left_anti"), ["ra", "rb"], labels).where("lra <> lrb").select("a", "b", "ra", "rb"), f"{here}/near")
     if not near.isEmpty():
-        sets = sets_of(ends(near), "near")
-        maybe = S.saved(passed(near, sets, False), f"{here}/maybe")
-        found = found.unionByName(S.saved(passed(maybe, sets, True), f"{here}/near-links"))
+        maybe = S.saved(allowed(near, vectors_of(ends(near), "near")), f"{here}/maybe")
+        found = found.unionByName(linked(maybe, "near"))
         labels = joined(found, "second")
     # Keys with members in several components, and the members outside the key's largest.
-    extras = numbers.mapInArrow(extras_of, "key long, root long").withColumn("met", F.lit(False))
+    extras = S.saved(numbers.mapInArrow(extras_of, "key long, root long"), f"{here}/extras")
     keys = met.where("key <> -1")
-    roots = keys.select("key", F.col("ra").alias("root")).union(keys.select("key", F.col("rb").alias("root"))).distinct().withColumn("met", F.lit(True))
-    several = named(roots.unionByName(extras), ["root"], labels).groupBy("key").agg(F.min("lroot").alias("low"), F.max("lroot").alias("high"), F.max("met").alias("met")).where("low <> high and met").select("key")
+    apart = S.saved(named(pairs, ["ra", "rb"], labels).where("lra <> lrb").select("a", "b"), f"{here}/apart")
+    within = named(keys.join(few(extras), "key").select("key", "root", "ra").distinct(), ["root", "ra"], labels).where("lroot <> lra")
+    several = keys.join(few(apart), ["a", "b"], "left_semi").select("key").union(within.select("key")).distinct()
     several = S.saved(several, f"{here}/several")
     if several.isEmpty():
         return _answer(rows, labels, here)
-    places = keys.join(several, "key").select("key", F.explode(F.array(F.shiftright("a", 24), F.shiftright("b", 24))).alias("block")).distinct()
+    places = keys.join(few(several), "key").select("key", F.explode(F.array(F.shiftright("a", 24), F.shiftright("b", 24))).alias("block")).distinct()
     members = places.groupBy("block").applyInArrow(members_of, "key long, id long, root long")
     members = S.saved(named(members, ["root"], labels).withColumnRenamed("lroot", "label"), f"{here}/members")
     # Two members are a pair that is checked already; keys with the same members ask the same.
@@ -459,8 +532,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     members = S.saved(members.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), f"{here}/asked")
     largest = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
     largest = S.saved(largest.withColumn("pages", F.ceil(F.col("all") / PAGE_ROWS)), f"{here}/largest")
-    sets = sets_of(members.select("id"), "members")
-    points = members.join(sets.select("id", "n", "v"), "id").join(largest, "key")
+    points = members.join(vectors_of(members, "members"), "id").join(largest, "key")
     page = points.withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages"))).select("key", "page", "id", "root", "label", "n", "v", F.lit(False).alias("asks"))
     outside = points.where("label <> main").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).select("key", "page", "id", "root", "label", "n", "v", F.lit(True).alias("asks"))
 
@@ -484,7 +556,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     rest = page.unionByName(outside).groupBy("key", "page").applyInArrow(lambda t: search(t.select(["id", "root", "label", "n", "v", "asks"])), "a long, b long, ra long, rb long").distinct()
     rest = S.saved(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{here}/rest")
     if not rest.isEmpty():
-        more = S.saved(passed(rest, sets, True), f"{here}/rest-links")
+        more = linked(rest, "rest")
         if not more.isEmpty():
             labels = joined(found.unionByName(more), "third")
     return _answer(rows, labels, here)
@@ -497,10 +569,6 @@ def _answer(rows: DataFrame, labels: DataFrame, here: str) -> DataFrame:
     return rows.join(least, (F.col("component") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "text_hash")
 
 
-#: Rows to drop up to this many are broadcast as two longs each; beyond, the join shuffles.
-BROADCAST_DROPS = 1_000_000
-
-
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each component: the least id, then the least hash of the text. Rows without words
     all stay, but of rows equal in id and text one stays."""
@@ -509,7 +577,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     rows = joined.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"])
     drop = S.saved(rows.join(kept, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), f"{S.scratch(docs.sparkSession, 'kept')}/drop")
-    hint = F.broadcast if drop.count() <= BROADCAST_DROPS else lambda x: x
+    hint = F.broadcast if drop.count() <= BROADCAST_ROWS else lambda x: x
     hashed = docs.withColumn("_th", F.xxhash64("text"))
     out = hashed.join(hint(drop), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")), "left_anti")
     twins = rows.where("n > 1").join(kept, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
