@@ -110,6 +110,17 @@ def test_rtree_bounds_lose_nothing():
         assert sorted(tree.search(points[i], int(n[i]), labels[i], 90, 100)) == want
 
 
+def test_shortened_sets_bound_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 50, 3000, 90_000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
+        b = np.unique(np.concatenate((a[: n // 2], b)))
+        x, y = (jaccard_join.told_apart(jaccard_join.short(z)) for z in (a, b))
+        assert len(np.unique(x)) == len(a) and len(np.intersect1d(x, y)) >= len(np.intersect1d(a, b)) and (x[1:] > x[:-1]).all()
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

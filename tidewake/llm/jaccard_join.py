@@ -199,6 +199,29 @@ def links(a, b, num: int, den: int) -> bool:
     return den * i >= num * (len(a) + len(b) - i)
 
 
+def digests(s: Shingles) -> list:
+    """Two sums of hashes of each set's elements; with its size they tell equal sets."""
+    import numpy as np
+
+    at = np.minimum(np.cumsum(s.sizes) - s.sizes, len(s.hashes))
+    return [np.add.reduceat(np.append(mixed(s.hashes, np.uint64(seed)), np.uint64(0)), at) for seed in (41, 43)]
+
+
+def short(hashes):
+    """The top 16 bits of a sorted set's hashes, sorted."""
+    return (hashes >> 48).astype("<u2")
+
+
+def told_apart(values):
+    """Sorted 16-bit values with the number of equal ones before each: two such sets share at least as much as their sets."""
+    import numpy as np
+
+    place = np.arange(len(values))
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    return values.astype(np.uint64) << np.uint64(32) | (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
+
+
 def resolved(s: Shingles, star, pivot, member, num: int, den: int):
     """The least row of each row's component within a block. Pairs of a key's first and another member are checked,
     those with most keys in common first; then, of keys whose members are still apart, every pair across
@@ -277,7 +300,8 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     2. Pairs of a key's first and another block's first are checked on their whole sets: for each component of
        a block the pair with most keys in common, then the pairs whose components are still apart and whose
        count vectors may overlap enough. A set is sent once to each block that has members to check it with,
-       which reads their sets from its file. Components of blocks so join.
+       which reads their sets from its file: first as digests, which tell equal sets, and 16 bits of each
+       element, which bound the overlap from above; then whole, for pairs still open. Components of blocks so join.
     3. Keys whose members still lie in several components get the rest: the blocks list all their members,
        and those outside the largest component are looked up in R-trees over the count vectors, page by
        page; summed coordinate minima bound the overlap, and every pair across components and blocks that
@@ -304,8 +328,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         for seq, (ids, words, sizes, vocabulary) in enumerate(read_blocks(batches, block_words)):
             number = TaskContext.get().partitionId() << 12 | seq
             s = Shingles(words, sizes, vocabulary, k)
-            at = np.cumsum(s.sizes) - s.sizes
-            sums = [np.add.reduceat(np.append(mixed(s.hashes, np.uint64(seed)), np.uint64(0)), np.minimum(at, len(s.hashes))) for seed in (41, 43)]
+            sums = digests(s)
             first: dict[tuple, int] = {}
             copy = [first.setdefault((n, a, b) if n else (0, i, 0), i) for i, (n, a, b) in enumerate(zip(s.sizes.tolist(), sums[0].tolist(), sums[1].tolist(), strict=True))]
             keys, owners = group_keys(s, np.array(sorted(set(copy)), np.int64), classes, num, den)
@@ -441,8 +464,8 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         both = pairs.select("a", "b", "ra", "rb").join(x, "a").join(y, "b").where(F.least("n", "m") * den >= F.greatest("n", "m") * num)
         return both.select("a", "b", "ra", "rb", "x", "y", "n", "m").mapInArrow(bounded, "a long, b long, ra long, rb long")
 
-    def send(batches):
-        """The set of a, once for all pairs with members of another block; pairs come sorted."""
+    def send(batches, whole):
+        """The set of a or its sketch (digests, shortened hashes), once for all pairs with members of another block; pairs come sorted."""
         import numpy as np
         import pyarrow as pa
 
@@ -458,15 +481,18 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
                     number, block = n, opened(n)
                 local = np.unique(a[a >> 24 == n] & 0xFFFFFF)
                 s, cut = picked(block, local)
+                data = s.hashes.astype("<u8") if whole else short(s.hashes)
+                head = [b""] * len(local) if whole else [x.tobytes() for x in np.stack(digests(s), axis=1).astype("<u8")]
                 runs = np.nonzero(a[low] >> 24 == n)[0]
                 for i in range(0, len(runs), SENT_ROWS):
                     out = []
                     for x, y in zip(low[runs[i : i + SENT_ROWS]].tolist(), high[runs[i : i + SENT_ROWS]].tolist(), strict=True):
                         at = np.searchsorted(local, a[x] & 0xFFFFFF)
-                        out.append((int(b[x]) >> 24, int(a[x]), int(ra[x]), b[x:y].astype("<i8").tobytes(), rb[x:y].astype("<i8").tobytes(), s.hashes[cut[at] : cut[at + 1]].astype("<u8").tobytes()))
+                        out.append((int(b[x]) >> 24, int(a[x]), int(ra[x]), b[x:y].astype("<i8").tobytes(), rb[x:y].astype("<i8").tobytes(), head[at] + data[cut[at] : cut[at + 1]].tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.binary()] * 3, strict=True)], ["block", "a", "ra", "b", "rb", "h"])
 
-    def check(batches):
+    def check(batches, whole):
+        """Pairs that link (sure) and, of sketches, those that may."""
         import numpy as np
         import pyarrow as pa
 
@@ -480,19 +506,28 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
                 b, rb = ([np.frombuffer(batch.column(c)[i].as_buffer(), "<i8") for i in rows] for c in (3, 4))
                 local = np.unique(np.concatenate(b) & 0xFFFFFF)
                 s, cut = picked(block, local)
+                sums = None if whole else np.stack(digests(s), axis=1)
                 for i, ids, roots in zip(rows, b, rb, strict=True):
-                    x = np.frombuffer(batch.column(5)[i].as_buffer(), "<u8")
+                    sent = batch.column(5)[i].as_buffer()
+                    x = np.frombuffer(sent, "<u8") if whole else told_apart(np.frombuffer(sent, "<u2", offset=16))
                     for y, root, at in zip(ids.tolist(), roots.tolist(), np.searchsorted(local, ids & 0xFFFFFF).tolist(), strict=True):
-                        if links(x, s.hashes[cut[at] : cut[at + 1]], num, den):
-                            out.append((batch.column(1)[i].as_py(), y, batch.column(2)[i].as_py(), root))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(4)], ["a", "b", "ra", "rb"])
+                        own = s.hashes[cut[at] : cut[at + 1]]
+                        same = not whole and len(own) == len(x) and (np.frombuffer(sent, "<u8", count=2) == sums[at]).all()
+                        if same or links(x, own if whole else told_apart(short(own)), num, den):
+                            out.append((batch.column(1)[i].as_py(), y, batch.column(2)[i].as_py(), root, bool(whole or same)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64() if j < 4 else pa.bool_()) for j in range(5)], ["a", "b", "ra", "rb", "sure"])
 
     def linked(pairs, name):
-        """Pairs (of different blocks) whose whole sets link: the blocks of a send sets to the blocks of b."""
+        """Pairs (of different blocks) whose whole sets link: the blocks of a send sketches to the blocks of b and, for pairs these leave open, sets."""
         n = S.shuffles(spark)
-        asked = pairs.select("a", "b", "ra", "rb").repartition(n, F.shiftright("a", 24), F.pmod(F.shiftright("b", 24), F.lit(SPREAD))).sortWithinPartitions("a", "b")
-        sent = asked.mapInArrow(send, "block long, a long, ra long, b binary, rb binary, h binary").repartition(n, "block").sortWithinPartitions("block")
-        return S.saved(sent.mapInArrow(check, "a long, b long, ra long, rb long"), f"{here}/{name}-links")
+
+        def met_by(pairs, whole):
+            asked = pairs.select("a", "b", "ra", "rb").repartition(n, F.shiftright("a", 24), F.pmod(F.shiftright("b", 24), F.lit(SPREAD))).sortWithinPartitions("a", "b")
+            sent = asked.mapInArrow(lambda t: send(t, whole), "block long, a long, ra long, b binary, rb binary, h binary").repartition(n, "block").sortWithinPartitions("block")
+            return sent.mapInArrow(lambda t: check(t, whole), "a long, b long, ra long, rb long, sure boolean")
+
+        may = S.saved(met_by(pairs, False), f"{here}/{name}-may")
+        return S.saved(may.where("sure").unionByName(met_by(may.where("not sure"), True)).drop("sure"), f"{here}/{name}-links")
 
     def few(rows):
         """Broadcast up to a count of rows, which hold two longs at most; beyond, the join shuffles."""
