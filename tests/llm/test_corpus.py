@@ -238,6 +238,36 @@ def test_pii_learns_contexts(spark, lookup):
     assert pii.extract(documents(spark, []), pii.learn(documents(spark, []))).count() == 0
 
 
+@pytest.mark.parametrize("lookup", [0, 1000])
+def test_pii_finds_unseen_formats(spark, lookup):
+    rng = random.Random(12)
+    number = lambda n: "".join(rng.choices("123456789", k=n))
+    rows = []
+    for i in range(40):
+        rows.append((i, f"please dial +1 ({number(3)}) {number(3)}-{number(4)} tonight {prose(rng, 3)}"))
+        rows.append((100 + i, f"{prose(rng, 3)} host {i}.2.3.{i + 1}"))
+        rows.append((200 + i, f"write u{i}@mail.example.com soon"))
+        rows.append((300 + i, f"total was {number(10)} units"))
+    want = [
+        ("phone", "please dial ", "(030) 5551-2345", " tonight"),
+        ("phone", "please dial ", "0171 555 23 45", ", tonight"),
+        ("phone", "dial (", "040 - 555.1234", ") tonight"),
+        ("phone", "dial 'now' or dial ", "5551234567", " tonight"),
+        ("ip", "w1 host ", "300.1.2.3", ""),
+        ("ip", "w1 host ", "fe80::1:22:3", "\nnext line"),
+        ("email", "write ", "anna@b\u00fccher.example", " soon"),
+    ]
+    rows += [(1000 + i, a + x + b) for i, (_, a, x, b) in enumerate(want)]
+    rows += [(2000, "dial " + "12 " * 40 + "tonight"), (2001, "host " + "(" * 9000 + "1" + ")" * 9000), (2002, "total was 0171 555 23 46 units")]
+    docs = documents(spark, rows)
+    patterns = pii.learn(docs)
+    assert {(r["kind"], r["pattern"]) for r in patterns.collect()} == {("phone", "dial _ tonight"), ("ip", "host _ $"), ("email", "write _ soon")}
+    got = {r["doc_id"]: {tuple(s) for s in r["spans"]} - {tuple(s) for s in r["base"]} for r in pii.extract(docs, patterns, lookup).collect()}
+    for i, (kind, a, x, _) in enumerate(want):
+        assert got.pop(1000 + i) == {(len(a), len(a + x), kind)}, (a, x)
+    assert not any(got.values())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

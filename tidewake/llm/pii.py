@@ -1,6 +1,7 @@
 """Personal data: fixed patterns, and contexts bootstrapped from what they find."""
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,14 @@ LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+(?:\
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A token that may be an identifier has a digit; white space and bars end it.
-DIGIT, EDGE = re.compile("[0-9]"), re.compile(r"[\s|]")
+#: A token that may be an identifier has a digit or an at sign; white space and bars end it.
+MARK, DIGIT, EDGE = re.compile("[0-9@]"), re.compile("[0-9]"), re.compile(r"[\s|]")
+#: What single blanks may join to one identifier: digits with brackets, dashes and the like.
+PART = re.compile(r"[0-9()\[\]+./\u2013\u2014-]+[,;:!?\"']*(?=[\s|]|\Z)")
+ADDRESS = re.compile(r"[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){3,}")
+HEAD, TAIL, BRACKETS = "\"'.,;: -\u2013\u2014", "\"'.,;:!? -\u2013\u2014", {"(": ")", "[": "]"}
+#: No identifier of these kinds has more digits, or is longer.
+MOST_DIGITS, LONGEST = 19, 320
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,42 +60,99 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def shape(token: str) -> str:
-    """Runs of digits, letters and the rest: what an identifier of a kind looks like."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", token))
+def fits(token: str) -> list[str]:
+    """The kinds a token could be of, whatever its exact format: by its characters and number of digits only."""
+    digits, letters = len(DIGIT.findall(token)), WORD.search(token) is not None
+    may = {"email": letters and "@" in token, "ip": digits > 0 and ADDRESS.fullmatch(token) is not None}
+    may |= {"card": not letters and 12 <= digits <= MOST_DIGITS, "phone": not letters and 6 <= digits <= 15}
+    return [k for k in KINDS if may[k]]
 
 
 def context(text: str, start: int, end: int) -> str | None:
-    """The lexical pattern around a span: the words to its left and right on its line, none if one is missing."""
-    left, right = WORD.findall(text[max(0, start - 40) : start].rpartition("\n")[2]), WORD.findall(text[end : end + 40].partition("\n")[0])
-    return f"{left[-1].lower()} _ {right[0].lower()}" if left and right else None
+    """The lexical pattern around a span: the words to its left and right on its line, ^ and $ at the line's ends; none
+    without any word, or if 40 code points hold neither a word nor the line's end."""
+    before, after = text[max(0, start - 40) : start].rpartition("\n"), text[end : end + 40].partition("\n")
+    left, right = WORD.findall(before[2]), WORD.findall(after[0])
+    a = left[-1].lower() if left else "^" if before[1] or start <= 40 else None
+    b = right[0].lower() if right else "$" if after[1] or end + 40 >= len(text) else None
+    return f"{a} _ {b}" if a and b and (left or right) else None
+
+
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """Without punctuation around it, and without brackets that enclose all of it or have no partner in it."""
+    while a < b:
+        if text[b - 1] in TAIL:
+            b -= 1
+        elif text[a] in HEAD:
+            a += 1
+        elif text[a] in BRACKETS:
+            close = text.find(BRACKETS[text[a]], a, b)
+            if 0 <= close < b - 1:
+                break
+            a, b = a + 1, b - (close >= 0)
+        elif any(text[b - 1] == y and text.count(x, a, b) < text.count(y, a, b) for x, y in BRACKETS.items()):
+            b -= 1
+        else:
+            break
+    return a, b
 
 
-def mentions(text: str | None):
-    """(pattern, instance, shape, kind or None, start, end) of identifier-shaped tokens; kind where a fixed pattern covers it."""
-    spans = base_spans(text)
-    for a, b, kind in spans:
-        if p := context(text, a, b):
-            yield p, text[a:b], shape(text[a:b]), kind, a, b
-    text, b = text or "", 0
-    while m := DIGIT.search(text, b):
+def candidates(text: str, free):
+    """(start, end) of what may be identifiers where free(start, end): tokens, and numeric tokens that single blanks
+    join, unless together they have too many digits for one."""
+    b = 0
+    while m := MARK.search(text, b):
         a = m.start()
         while a > b and not EDGE.match(text[a - 1]):
             a -= 1
         end = EDGE.search(text, m.start())
-        b = after = end.start() if end else len(text)
-        while b > a and text[b - 1] in ".,;:!?)\"'":
-            b -= 1
-        if sum(c.isdigit() for c in text[a:b]) >= 6 and not any(x < b and a < y for x, y, _ in spans) and (p := context(text, a, b)):
-            yield p, text[a:b], shape(text[a:b]), None, a, b
-        b = after
+        b = end.start() if end else len(text)
+        if not free(a, b):
+            continue
+        parts, digits = [(a, b)], len(DIGIT.findall(text, a, b))
+        more = PART.match(text, a)
+        while more and more.end() == b and text[b - 1] not in ".,;:!?\"'" and text[b : b + 1] == " " and digits <= MOST_DIGITS:
+            more = PART.match(text, b + 1)
+            if more and free(*more.span()):
+                parts.append(more.span())
+                digits += len(DIGIT.findall(text, *more.span()))
+                b = more.end()
+        whole = trimmed(text, a, b) if b - a <= LONGEST else (a, a)
+        if digits <= MOST_DIGITS and fits(text[slice(*whole)]):
+            yield whole
+        elif len(parts) > 1:
+            yield from (trimmed(text, *p) for p in parts if p[1] - p[0] <= LONGEST)
+
+
+def mentions(text: str | None):
+    """(pattern, instance, kinds it could be of, kind or None, start, end) of identifiers; kind where a fixed pattern finds it."""
+    spans = base_spans(text)
+    covers: list[tuple[int, int, set]] = []  # spans that overlap, together
+    for a, b, kind in spans:
+        if covers and a < covers[-1][1]:
+            covers[-1] = (covers[-1][0], max(covers[-1][1], b), covers[-1][2] | {kind})
+        else:
+            covers.append((a, b, {kind}))
+    starts = [c[0] for c in covers]
+    for a, b, kind in spans:
+        if p := context(text, a, b):
+            found = covers[bisect_right(starts, a) - 1][2]
+            yield p, text[a:b], [k for k in KINDS if k == kind or k not in found and k in fits(text[a:b])], kind, a, b
+
+    def free(a, b):
+        i = bisect_left(starts, b) - 1
+        return i < 0 or covers[i][1] <= a
+
+    for a, b in candidates(text or "", free):
+        if (kinds := fits(text[a:b])) and (p := context(text, a, b)):
+            yield p, text[a:b], kinds, None, a, b
 
 
 def learn(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
-    """Patterns (kind, pattern, shape) of high confidence, from a graph of patterns and instances over all of docs.
+    """Patterns (kind, pattern) of high confidence, from a graph of patterns and instances over all of docs.
 
-    Instances found by the fixed patterns are seeds of score 1, other identifier-shaped tokens start at 0.
-    A pattern (context and shape) has as score the mean of its distinct instances' scores for a kind; an
+    Instances found by the fixed patterns are seeds of score 1, others that fit a kind start at 0.
+    A pattern has as score for a kind the mean of the scores of its distinct instances that fit it; an
     instance that isn't a seed takes the best score of its patterns. After `rounds` passes a pattern counts
     if at least `support` distinct seeds stand in it and its score is `confidence` or more. Edges are
     summed where they are read; each pass ends in a table in the shared folder.
@@ -97,30 +161,29 @@ def learn(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float
     here = S.scratch(spark, "pii")
 
     def edges(batches):
-        import collections
-
         import pyarrow as pa
 
         for batch in batches:
-            got = collections.Counter()
+            got = set()
             for text in batch.column(0):
-                got.update((p, i, s, k or "") for p, i, s, k, *_ in mentions(text.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], pa.string()) for j in range(4)] + [pa.array(list(got.values()), pa.int64())], ["pattern", "instance", "shape", "seed", "n"])
+                got.update((p, i, kind, kind == seed) for p, i, kinds, seed, *_ in mentions(text.as_py()) for kind in kinds)
+            types = (pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], t) for j, t in enumerate(types)], ["pattern", "instance", "kind", "seed"])
 
-    graph = docs.select("text").mapInArrow(edges, "pattern string, instance string, shape string, seed string, n long")
-    graph = S.saved(graph.groupBy("pattern", "shape", "instance", "seed").agg(F.sum("n").alias("n")), f"{here}/edges")
-    kinds = graph.where("seed <> ''").groupBy("pattern", "shape", F.col("seed").alias("kind")).agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= support)
+    graph = docs.select("text").mapInArrow(edges, "pattern string, instance string, kind string, seed boolean")
+    graph = S.saved(graph.groupBy("pattern", "instance", "kind").agg(F.max("seed").alias("seed")), f"{here}/edges")
+    kinds = graph.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
     # Only patterns with enough seeds can ever count, and only their edges carry a score.
     kinds = S.saved(kinds, f"{here}/kinds")
-    graph = S.saved(graph.join(kinds.drop("seeds"), ["pattern", "shape"]), f"{here}/graph")
-    score = F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0)
+    graph = S.saved(graph.join(kinds.drop("seeds"), ["pattern", "kind"]), f"{here}/graph")
+    score = F.when(F.col("seed"), 1.0).otherwise(0.0)
     instances = graph.groupBy("instance", "kind").agg(F.max(score).alias("score"))
     for i in range(rounds):
-        patterns = graph.join(instances, ["instance", "kind"]).groupBy("pattern", "shape", "kind").agg(F.avg("score").alias("confidence"))
+        patterns = graph.join(instances, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.avg("score").alias("confidence"))
         seeds = graph.groupBy("instance", "kind").agg(F.max(score).alias("seed_score"))
-        carried = graph.join(patterns, ["pattern", "shape", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("carried"))
+        carried = graph.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("carried"))
         instances = S.saved(seeds.join(carried, ["instance", "kind"]).select("instance", "kind", F.greatest("seed_score", F.when(F.col("carried") >= confidence, F.col("carried")).otherwise(0.0)).alias("score")), f"{here}/instances{i}")
-    patterns = graph.join(instances, ["instance", "kind"]).groupBy("pattern", "shape", "kind").agg(F.avg("score").alias("confidence"))
+    patterns = graph.join(instances, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.avg("score").alias("confidence"))
     return S.saved(patterns.where(F.col("confidence") >= confidence), f"{here}/patterns")
 
 
@@ -131,10 +194,11 @@ LOOKUP = 200_000
 def extract(docs: DataFrame, patterns: DataFrame, lookup: int = LOOKUP) -> DataFrame:
     """docs (doc_id, text) with base, spans: arrays of (start, end, kind) in code points; spans holds all of base
     and what the learned patterns add. Null and empty texts have none; repeated rows stay."""
-    known = patterns.groupBy("pattern", "shape").agg(F.max_by("kind", "confidence").alias("kind"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "kind")))
+    known = patterns.groupBy("pattern").agg(F.transform(ranked, lambda x: x["kind"]).alias("kinds"))
     spark = docs.sparkSession
     rows = known.limit(lookup + 1).collect()
-    table = {(r["pattern"], r["shape"]): r["kind"] for r in rows}
+    table = {r["pattern"]: r["kinds"] for r in rows}
     kept = [f for f in docs.schema.fields if f.name not in ("base", "spans")]
     span = "array<struct<start:int,end:int,kind:string>>"
     here = S.scratch(spark, "pii-patterns")
@@ -145,10 +209,10 @@ def extract(docs: DataFrame, patterns: DataFrame, lookup: int = LOOKUP) -> DataF
         def write(key, pdf):
             import pickle
 
-            S.put(f"{here}/{int(key[0])}.pkl", pickle.dumps({(p, s): k for p, s, k in zip(pdf["pattern"], pdf["shape"], pdf["kind"], strict=True)}))
-            return pdf.iloc[:1][["kind"]]
+            S.put(f"{here}/{int(key[0])}.pkl", pickle.dumps({p: list(k) for p, k in zip(pdf["pattern"], pdf["kinds"], strict=True)}))
+            return pdf.iloc[:1][["pattern"]]
 
-        known.groupBy(F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(files))).applyInPandas(write, "kind string").collect()
+        known.groupBy(F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(files))).applyInPandas(write, "pattern string").collect()
 
     def find(batches):
         import pickle
@@ -164,8 +228,9 @@ def extract(docs: DataFrame, patterns: DataFrame, lookup: int = LOOKUP) -> DataF
             except FileNotFoundError:
                 return {}
 
-        def kind_of(p, s):
-            return table.get((p, s)) if table is not None else part(zlib.crc32(p.encode()) % 256).get((p, s))
+        def kind_of(p, kinds):
+            known = (table if table is not None else part(zlib.crc32(p.encode()) % 256)).get(p, ())
+            return next((k for k in known if k in kinds), None)
 
         names = [f.name for f in kept]
         for batch in batches:
@@ -175,7 +240,7 @@ def extract(docs: DataFrame, patterns: DataFrame, lookup: int = LOOKUP) -> DataF
                 base = base_spans(text)
                 more = []
                 if table or table is None:
-                    more = [(a, b, k) for p, _, s, seed, a, b in mentions(text) if seed is None and (k := kind_of(p, s))]
+                    more = [(a, b, k) for p, _, kinds, seed, a, b in mentions(text) if seed is None and (k := kind_of(p, kinds))]
                 bases.append([{"start": a, "end": b, "kind": k} for a, b, k in base])
                 alls.append([{"start": a, "end": b, "kind": k} for a, b, k in sorted({*base, *more}, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
