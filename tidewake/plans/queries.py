@@ -99,25 +99,57 @@ def durable_capacity(spark, sf_dir):
     return fold.durable(views.ops(events(spark, sf_dir)), CAPACITY)
 
 
-def _logged(spark, sf_dir):
-    """Puts and deletes of the log, numbered without gaps in each store, as log files."""
+def _logged(spark, sf_dir, only="true"):
+    """Puts and deletes of the log, numbered without gaps in each store, as log files of some of them; and the log."""
     from pyspark.sql import Window
 
     log = views.ops(events(spark, sf_dir)).where("op <> 'get'")
     log = log.withColumn("seq", F.row_number().over(Window.partitionBy("store").orderBy("seq")).cast("long"))
     here = streaming.folder(spark, "wal")
-    wal.append(log.withColumn("value", F.when(F.col("op") == "put", F.col("value"))), here)
-    return here
+    put = F.col("op") == "put"
+    log = log.withColumn("value", F.when(put, F.col("value"))).withColumn("expires_us", F.when(put & (F.col("ttl_us") > 0), F.col("at_us") + F.col("ttl_us")))
+    wal.append(log.where(only), here)
+    return here, log
+
+
+def _store():
+    return F.regexp_extract("path", r"store-(\d+)", 1).cast("long").alias("store")
 
 
 def wal_scan(spark, sf_dir):
-    log = wal.strict(wal.scan(spark, _logged(spark, sf_dir)))
-    return log.select(F.regexp_extract("path", r"store-(\d+)", 1).cast("long").alias("store"), "seq", "op", "key", "value")
+    log = wal.strict(wal.scan(spark, _logged(spark, sf_dir)[0]))
+    return log.select(_store(), "seq", "op", "key", F.col("value").cast("string").alias("value"))
 
 
 def recover_state(spark, sf_dir):
-    log = wal_scan(spark, sf_dir)
-    return log.groupBy("store", "key").agg(F.max_by(F.struct("op", "seq", "value"), "seq").alias("e")).where("e.op = 'put'").select("store", "key", "e.seq", "e.value")
+    state = wal.recover(spark, _logged(spark, sf_dir)[0])
+    return state.select(_store(), "key", "seq", F.col("value").cast("string").alias("value"))
+
+
+def recover_snapshot(spark, sf_dir):
+    """Snapshots of all but store 3 at sequence 20, logs of them from 11 on: what is live at NOW_US."""
+    here, log = _logged(spark, sf_dir, "store = 3 or seq > 10")
+    then = log.where("store <> 3 and seq <= 20")
+    top = then.groupBy("store").agg(F.max("seq").alias("boundary"))
+    last = then.groupBy("store", "key").agg(F.max_by(F.struct("seq", "op", "value", "expires_us"), "seq").alias("e")).where("e.op = 'put'").select("store", "key", "e.seq", "e.value", "e.expires_us")
+    wal.save_snapshots(top.join(last, "store", "left"), here)
+    state = wal.recover(spark, here, NOW_US)
+    return state.select(_store(), "key", "seq", F.col("value").cast("string").alias("value"), "expires_us")
+
+
+def recover_siblings(spark, sf_dir):
+    """Logs of version 2: each record of a key, with the one before it as a sibling where neither knows the other."""
+    from pyspark.sql import Window
+
+    sibling = F.struct("id", F.map_from_entries(F.transform("clock", lambda c: F.struct(c, F.lit(1).cast("long")))).alias("clock"), "value", "deleted")
+    own = views.records(events(spark, sf_dir)).withColumn("own", sibling)
+    alone = (F.size("clock") == 1) & F.col("before").isNotNull()
+    own = own.withColumn("before", F.lag("own").over(Window.partitionBy("u").orderBy("event_id")))
+    own = own.select((F.col("u") % 4).alias("store"), "event_id", F.lit("put").alias("op"), "key", F.lit(None).cast("string").alias("value"), F.when(alone, F.array("before", "own")).otherwise(F.array("own")).alias("siblings"))
+    own = own.withColumn("seq", F.row_number().over(Window.partitionBy("store").orderBy("event_id")).cast("long"))
+    here = streaming.folder(spark, "wal")
+    wal.append(own, here)
+    return wal.recover(spark, here, NOW_US).select(_store(), "key", "seq", F.explode("siblings").alias("s")).select("store", "key", "seq", "s.id", F.array_join(F.array_sort(F.map_keys("s.clock")), ",").alias("clock"), "s.value", "s.deleted")
 
 
 def _stream(spark, sf_dir):
@@ -147,7 +179,7 @@ def validate_mutations(spark, sf_dir):
     return rows.select("event_id", "method", validate.mutation_status(F.col("method"), F.col("body")).cast("long").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (ring_owner, ring_owner_load, ring_replicas, ring_movement, log_lww, log_live_at, causal_siblings, causal_context, causal_conflicts, quorum_read, quorum_write, context_free_write, repair_rows, replica_divergence, lru_trace, lru_hit_rate, durable_capacity, wal_scan, recover_state, stream_lww, stream_siblings, validate_mutations)}
+QUERIES = {f.__name__: f for f in (ring_owner, ring_owner_load, ring_replicas, ring_movement, log_lww, log_live_at, causal_siblings, causal_context, causal_conflicts, quorum_read, quorum_write, context_free_write, repair_rows, replica_divergence, lru_trace, lru_hit_rate, durable_capacity, wal_scan, recover_state, recover_snapshot, recover_siblings, stream_lww, stream_siblings, validate_mutations)}
 
 
 def _ring(members: str, name: str) -> str:
@@ -232,6 +264,14 @@ SELECT b.key, p.rank, count(*) AS missing FROM every b JOIN (SELECT DISTINCT key
     "durable_capacity": _DURABLE,
     "wal_scan": f"{_WAL} SELECT * FROM log",
     "recover_state": f"{_WAL} SELECT store, key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY store, key ORDER BY seq DESC) AS last FROM log) WHERE last = 1 AND op = 'put'",
+    "recover_snapshot": f"""WITH {_OPS}, log AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY seq) AS n FROM ops WHERE op <> 'get'),
+last AS (SELECT *, CASE WHEN ttl_us > 0 THEN at_us + ttl_us END AS x, row_number() OVER (PARTITION BY store, key ORDER BY n DESC) AS k FROM log)
+SELECT store, key, n AS seq, value, CAST(x AS BIGINT) AS expires_us FROM last WHERE k = 1 AND op = 'put' AND (x IS NULL OR {NOW_US} < x)""",
+    "recover_siblings": f"""{_RECORDS}, log AS (SELECT *, u % 4 AS store, row_number() OVER (PARTITION BY u % 4 ORDER BY event_id) AS seq,
+  lag(event_id) OVER (PARTITION BY u ORDER BY event_id) AS p, row_number() OVER (PARTITION BY u ORDER BY event_id DESC) AS k FROM r),
+top AS (SELECT * FROM log WHERE k = 1),
+both_of AS (SELECT store, key, seq, event_id FROM top UNION ALL SELECT store, key, seq, p FROM top WHERE len(clock) = 1 AND p IS NOT NULL)
+SELECT b.store, b.key, b.seq, r.id, array_to_string(list_sort(r.clock), ',') AS clock, coalesce(r.value, '') AS value, r.deleted FROM both_of b JOIN r ON r.event_id = b.event_id""",
     "stream_lww": _LWW,
     "stream_siblings": _SIBLINGS,
     "validate_mutations": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS method, CAST(CASE WHEN event_id % 11 IN (0, 2, 3, 4, 5, 6) OR (event_id % 11 = 1 AND event_type <> 'error') THEN 400 ELSE 200 END AS BIGINT) AS status FROM events",

@@ -2,9 +2,14 @@
 
 A frame is a 4-byte big-endian length, a 4-byte big-endian CRC-32 and that many bytes of JSON. A log may end
 within a frame: that tail is left out. A length of 0 or over 16 MiB and a wrong checksum are errors anywhere.
+Records of version 1 are puts and deletes of bytes (base64 in JSON), with an expiry or without; those of version 2 put
+siblings. Expiries are kept in whole microseconds, rounded up, so that comparisons with a time in microseconds hold.
 """
 
+import base64
+import datetime
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -13,7 +18,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAME_LIMIT = 16 << 20
-RECORD = "seq long, version int, op string, key string, value string"
+SIBLINGS = "array<struct<id:string,clock:map<string,bigint>,value:string,deleted:boolean,expires_us:bigint>>"
+RECORD = f"seq long, version int, op string, key string, value binary, expires_us long, siblings {SIBLINGS}"
+#: As RECORD, while siblings are JSON.
+_FIELDS = ["seq", "version", "op", "key", "value", "expires_us", "siblings"]
+_RAW = RECORD.replace(SIBLINGS, "string")
+_EPOCH = datetime.datetime(1970, 1, 1)
+_TIME = re.compile(r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)(?:\.(\d+))?(?:Z|([+-])(\d\d):(\d\d))", re.ASCII)
+ZERO_TIME = "0001-01-01T00:00:00Z"
+
+
+def instant(text: str | None) -> int | None:
+    """Nanoseconds since 1970 of an RFC 3339 time, None for no time or the zero time; ValueError if it isn't one."""
+    if text is None:
+        return None
+    if not (m := _TIME.fullmatch(text)):
+        raise ValueError("time")
+    since = datetime.datetime.fromisoformat(m[1]) - _EPOCH
+    seconds = since.days * 86400 + since.seconds - (int(m[3] + "1") * (int(m[4]) * 3600 + int(m[5]) * 60) if m[3] else 0)
+    ns = seconds * 10**9 + int((m[2] or "0")[:9].ljust(9, "0"))
+    return None if ns == _ZERO_NS else ns
+
+
+_ZERO_NS = -62135596800 * 10**9
+
+
+def timestamp(us: int | None) -> str:
+    """RFC 3339 of microseconds since 1970."""
+    if us is None:
+        return ZERO_TIME
+    at = _EPOCH + datetime.timedelta(microseconds=us)
+    return at.strftime("%Y-%m-%dT%H:%M:%S").zfill(19) + (f".{at.microsecond:06d}".rstrip("0") if at.microsecond else "") + "Z"
+
+
+def _is(value, kind, default):
+    """The value, the default for null; TypeError if it is of another kind."""
+    if value is None:
+        return default
+    if not isinstance(value, kind) or isinstance(value, bool) and kind is int:
+        raise TypeError(kind.__name__)
+    return value
+
+
+def _micros(ns: int | None) -> int | None:
+    return None if ns is None else -(-ns // 1000)
+
+
+def merge_fault(siblings: list) -> str | None:
+    """Why siblings (id, clock, value, deleted, expires) can't be merged, if so."""
+    seen = {}
+    for s in siblings:
+        if s["id"] == "" or s["clock"].get(s["id"]) != 1:
+            return "invalid record identity"
+        if s["deleted"] and (s["value"] != "" or s["expires"] is not None):
+            return "invalid tombstone"
+        if any(k == "" or n != 1 for k, n in s["clock"].items()):
+            return "invalid causal context"
+        if seen.setdefault(s["id"], s) != s:
+            return "record identity reused with different contents"
+    return None
+
+
+def decode(r: dict) -> tuple[list, str | None]:
+    """(fields as in RECORD, siblings as JSON; fault or None) of a record's JSON object."""
+    seq, version = _is(r.get("sequence"), int, 0), _is(r.get("version"), int, 0)
+    op, key = _is(r.get("op"), str, ""), _is(r.get("key"), str, "")
+    value = base64.b64decode(_is(r.get("value"), str, "").replace("\r", "").replace("\n", ""), validate=True)
+    expires = instant(_is(r.get("expires"), str, None))
+    if not 0 <= seq < 1 << 63:
+        raise ValueError("sequence")
+    siblings = []
+    for s in _is(r.get("siblings"), list, []):
+        s = _is(s, dict, {})
+        clock = {k: _is(n, int, 0) for k, n in _is(s.get("clock"), dict, {}).items()}
+        siblings.append({"id": _is(s.get("id"), str, ""), "clock": clock, "value": _is(s.get("value"), str, ""), "deleted": _is(s.get("deleted"), bool, False), "expires": instant(_is(s.get("expires"), str, None))})
+    if version == 1:
+        fault = None if not siblings and op in ("put", "delete") else "invalid record"
+    else:
+        fault = None if version == 2 and op == "put" and siblings and expires is None and not value else "invalid record"
+        fault = fault or merge_fault(siblings)
+    packed = json.dumps([{k: v for k, v in s.items() if k != "expires"} | {"expires_us": _micros(s["expires"])} for s in siblings]) if siblings and not fault else None
+    return [seq, version, op, key, value if version == 1 and op == "put" else None, _micros(expires), packed], fault
+
+
+def record(seq: int, op: str, key: str, value: bytes | None = None, expires_us: int | None = None, siblings: list | None = None) -> dict:
+    """A record's JSON object: of version 2 if it has siblings."""
+    if siblings:
+        own = [{"id": s["id"], "clock": s["clock"], "value": s.get("value") or "", "deleted": s["deleted"], "expires": timestamp(s.get("expires_us"))} for s in siblings]
+        return {"siblings": own, "sequence": seq, "version": 2, "op": op, "key": key, "expires": ZERO_TIME}
+    return {"sequence": seq, "version": 1, "op": op, "key": key} | ({"value": base64.b64encode(value).decode()} if value else {}) | {"expires": timestamp(expires_us)}
 
 
 def frame(record: dict) -> bytes:
@@ -39,46 +132,53 @@ def frames(data: bytes):
         yield payload, None, at
 
 
-def _files(batches, read, columns):
-    import pandas as pd
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("siblings", F.from_json("siblings", SIBLINGS))
 
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            rows = [(path, *r) for r in read(bytes(content))]
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
 
+def scan(spark: SparkSession, path: str, boundary: int | DataFrame = 0) -> DataFrame:
+    """Rows of the log files below path: path, RECORD, error. A record without a sequence gets the one before plus 1;
+    a gap or step back is an error; records up to boundary, a number or a table (path, boundary) by log file, are
+    checked and left out, and the first one after it must follow it."""
+    columns = ["path", *_FIELDS, "error"]
 
-def scan(spark: SparkSession, path: str, boundary: int = 0) -> DataFrame:
-    """Rows of the log files below path: path, seq, version, op, key, value, error. A record without a sequence gets
-    the one before plus 1; a gap or step back is an error; records up to boundary are checked and left out."""
-
-    def read(data):
-        last = None
+    def read(data, boundary):
+        last, applied = 0, boundary
         for payload, error, _ in frames(data):
+            if not error:
+                try:
+                    row, error = decode(_is(json.loads(payload), dict, {}))
+                except (ValueError, TypeError, OverflowError) as e:
+                    error = f"undecodable record: {e}"
+            if not error:
+                seq = row[0] = row[0] or last + 1
+                if seq <= last or last and seq != last + 1 or seq > boundary and seq != applied + 1:
+                    error = "sequence gap"
             if error:
-                yield None, None, None, None, None, error
+                yield *[None] * len(_FIELDS), error
                 return
-            r = json.loads(payload)
-            seq = r.get("sequence") or (last or 0) + 1
-            wrong = "sequence gap" if last is not None and seq != last + 1 else None if r.get("version") in (1, 2) and r.get("op") in ("put", "delete") and (r["version"] == 1 or r["op"] == "put") else "invalid record"
-            if last is None and seq > boundary + 1 > 1:
-                wrong = "sequence gap"
             last = seq
-            if wrong:
-                yield None, None, None, None, None, wrong
-                return
             if seq > boundary:
-                yield seq, r["version"], r["op"], r.get("key"), r.get("value"), None
+                applied = seq
+                yield *row, None
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    columns = ["path", "seq", "version", "op", "key", "value", "error"]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content")
+    if isinstance(boundary, DataFrame):
+        files = files.join(boundary.select("path", "boundary"), "path", "left").fillna(0, ["boundary"])
+    else:
+        files = files.withColumn("boundary", F.lit(boundary).cast("long"))
 
     def run(batches):
-        for pdf in _files(batches, read, columns):
-            yield pdf.astype({"seq": "Int64", "version": "Int32"})
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content, boundary in zip(pdf["path"], pdf["content"], pdf["boundary"], strict=True):
+                rows = [(path, *r) for r in read(bytes(content), int(boundary))]
+                if rows:
+                    # Objects, as pandas would make floats of longs with nulls.
+                    yield pd.DataFrame(rows, columns=columns, dtype=object).astype({"seq": "Int64", "version": "Int32", "expires_us": "Int64"})
 
-    return files.mapInPandas(run, f"path string, {RECORD}, error string")
+    return _unpacked(files.mapInPandas(run, f"path string, {_RAW}, error string"))
 
 
 def strict(log: DataFrame) -> DataFrame:
@@ -98,47 +198,91 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 
 def append(log: DataFrame, folder: str) -> None:
-    """Writes a log (store, seq, op, key, value) as one file of frames per store, in order of seq."""
+    """Writes a log (store, seq, op, key, value and, if there are such columns, expires_us and siblings) as one file of
+    frames per store, in order of seq."""
+    _write(log, folder, "wal", lambda rows, _: b"".join(frame(r) for r in rows))
+
+
+def save_snapshots(state: DataFrame, folder: str) -> None:
+    """Writes a state (store, boundary, and a log's columns but op) as one snapshot per store, beside its log. boundary is
+    the sequence that the store's state was taken at; a row with a null key stands for a store without entries."""
+    _write(state.withColumn("op", F.lit("put")), folder, "wal.snapshot", lambda rows, top: snapshot({r["key"]: r for r in rows}, top), "boundary")
+
+
+def _write(log: DataFrame, folder: str, suffix: str, pack, *more: str) -> None:
+    expires = F.col("expires_us") if "expires_us" in log.columns else F.lit(None).cast("long")
+    siblings = F.to_json("siblings") if "siblings" in log.columns else F.lit(None).cast("string")
+    # In text, as pandas would make floats of longs with nulls.
+    rows = log.select("store", "seq", "op", "key", F.col("value").cast("binary").alias("value"), expires.cast("string").alias("expires"), siblings.alias("siblings"), *more)
 
     def write(pdf):
-        rows = pdf.sort_values("seq")
-        data = b"".join(frame({"sequence": int(s), "version": 1, "op": o, "key": k} | ({"value": v} if v is not None else {})) for s, o, k, v in zip(rows["seq"], rows["op"], rows["key"], rows["value"], strict=True))
-        _put(folder, f"store-{int(rows['store'].iloc[0]):05d}.wal", data)
-        return rows.iloc[:1][["store"]]
+        pdf = pdf.sort_values("seq")
+        fields = zip(pdf["seq"], pdf["op"], pdf["key"], pdf["value"], pdf["expires"], pdf["siblings"], strict=True)
+        made = [record(int(s), o, k, v and bytes(v), int(x) if x else None, json.loads(z) if z else None) for s, o, k, v, x, z in fields if k is not None]
+        _put(folder, f"store-{int(pdf['store'].iloc[0]):05d}.{suffix}", pack(made, int(pdf[more[0]].iloc[0]) if more else None))
+        return pdf.iloc[:1][["store"]]
 
-    log.select("store", "seq", "op", "key", "value").groupBy("store").applyInPandas(write, "store long").count()
+    rows.groupBy("store").applyInPandas(write, "store long").count()
 
 
-def snapshot(state: dict[str, tuple[int, str]], sequence: int) -> bytes:
-    """An envelope of the state's JSON and its CRC-32."""
-    inner = json.dumps({"version": 1, "sequence": sequence, "entries": {k: {"sequence": s, "version": 1, "op": "put", "key": k, "value": v} for k, (s, v) in sorted(state.items())}}, separators=(",", ":"))
+def snapshot(state: dict[str, dict], sequence: int) -> bytes:
+    """An envelope of the JSON of a state, records by key, and its CRC-32."""
+    inner = json.dumps({"version": 1, "sequence": sequence, "entries": dict(sorted(state.items()))}, separators=(",", ":"))
     return f'{{"state":{inner},"checksum":{zlib.crc32(inner.encode())}}}'.encode()
 
 
 def read_snapshot(data: bytes):
-    """(sequence, key, seq, value, error) rows; the checksum covers the raw bytes of the state."""
+    """(sequence, fields as in RECORD, error) rows, the first without a key; the checksum covers the raw bytes of the state."""
+    none = [None] * len(_FIELDS)
     try:
         text = data.decode()
         body = text[text.index('"state":') + 8 :]
         state, end = json.JSONDecoder().raw_decode(body)
-        entries, top = state["entries"], state["sequence"]
         if zlib.crc32(body[:end].encode()) != json.loads(text)["checksum"] or state["version"] != 1:
             raise ValueError("checksum or version")
-        if any(k != r["key"] or r["op"] != "put" or not 0 < r["sequence"] <= top for k, r in entries.items()):
-            raise ValueError("entry")
-    except (ValueError, KeyError, TypeError, AttributeError) as e:
-        yield None, None, None, None, f"invalid snapshot: {e}"
+        top, rows = _is(state.get("sequence"), int, 0), []
+        if not 0 <= top < 1 << 63:
+            raise ValueError("sequence")
+        for k, r in state["entries"].items():
+            row, fault = decode(r)
+            if fault or row[3] != k or row[2] != "put" or not 0 < row[0] <= top:
+                raise ValueError(fault or "entry")
+            rows.append(row)
+    except (ValueError, KeyError, TypeError, AttributeError, OverflowError) as e:
+        yield None, *none, f"invalid snapshot: {e}"
         return
-    for k, r in entries.items():
-        yield top, k, r["sequence"], r.get("value"), None
+    yield top, *none, None
+    for row in rows:
+        yield top, *row, None
 
 
-def scan_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    columns = ["path", "sequence", "key", "seq", "value", "error"]
+def _snapshots(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.snapshot").load(path).select("path", "content")
+    columns = ["path", "sequence", *_FIELDS, "error"]
 
     def run(batches):
-        for pdf in _files(batches, read_snapshot, columns):
-            yield pdf.astype({"sequence": "Int64", "seq": "Int64"})
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = [(path, *r) for r in read_snapshot(bytes(content))]
+                yield pd.DataFrame(rows, columns=columns, dtype=object).astype({"sequence": "Int64", "seq": "Int64", "version": "Int32", "expires_us": "Int64"})
 
-    return files.mapInPandas(run, "path string, sequence long, key string, seq long, value string, error string")
+    return _unpacked(files.mapInPandas(run, f"path string, sequence long, {_RAW}, error string"))
+
+
+def scan_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the snapshot files below path: path, sequence (of the snapshot), RECORD, error."""
+    return _snapshots(spark, path).where("key is not null or error is not null")
+
+
+def recover(spark: SparkSession, path: str, now_us: int | None = None) -> DataFrame:
+    """State (path of the log, RECORD) of the stores below path: a store's snapshot if it has one, its log after that,
+    less what has expired at now_us if that is given. A fault in any file fails the job."""
+    of_log = F.regexp_replace("path", r"\.snapshot$", "")
+    kept = strict(_snapshots(spark, path)).withColumn("path", of_log)
+    boundary = kept.where("key is null").select("path", F.col("sequence").alias("boundary"))
+    both = kept.where("key is not null").drop("sequence").unionByName(strict(scan(spark, path, boundary)))
+    # Sequences of the log are beyond those of the snapshot. Maps can't be compared, so they are not part of the order.
+    last = both.groupBy("path", "key").agg(F.max_by(F.struct("seq", "version", "op", "value", "expires_us", "siblings"), "seq").alias("e")).where("e.op = 'put'").select("path", "e.seq", "e.version", "e.op", "key", "e.value", "e.expires_us", "e.siblings")
+    return last if now_us is None else last.where(F.col("expires_us").isNull() | (F.lit(now_us) < F.col("expires_us")))
