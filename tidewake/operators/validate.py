@@ -8,16 +8,44 @@ MAX_TTL_MS = 9223372036854
 ALLOWED = ("value", "ttl_ms", "context")
 
 
+def _object(body: str | None) -> str | None:
+    """A body's object as JSON if it is one object of ALLOWED fields of the right types and nothing else, or else None.
+    Null stands for an absent field; numbers are whole and of 64 bits, without fraction or exponent; counts aren't negative."""
+    import json
+
+    def refuse(_):
+        raise ValueError("number")
+
+    def whole(x):
+        return isinstance(x, int) and not isinstance(x, bool)
+
+    try:
+        # Only JSON's white space may surround it, and json.loads takes nothing after it.
+        r = json.loads(body.lstrip(" \t\r\n"), parse_float=refuse, parse_constant=refuse)
+    except (ValueError, TypeError, AttributeError, RecursionError):
+        return None
+    if not isinstance(r, dict) or not set(r) <= set(ALLOWED):
+        return None
+    value, ttl, context = (r.get(k) for k in ALLOWED)
+    if value is not None and not isinstance(value, str) or ttl is not None and not (whole(ttl) and -(1 << 63) <= ttl < 1 << 63):
+        return None
+    if context is not None and not (isinstance(context, dict) and all(n is None or whole(n) and 0 <= n < 1 << 64 for n in context.values())):
+        return None
+    # A flag for the value, which may be long, and counts as Spark's longs hold them.
+    own = {"has_value": value is not None, "ttl_ms": ttl or 0, "context": {k: min(n or 0, 2) for k, n in (context or {}).items()}}
+    return json.dumps(own)
+
+
 def mutation_status(method: Column, body: Column) -> Column:
-    """400 for a body that isn't one object of known fields, a PUT without value, a TTL out of range or a
-    context with an empty id or a count other than 1; else 200."""
-    parsed = F.from_json(body, "value string, ttl_ms long, context map<string,long>")
-    known = F.size(F.array_except(F.json_object_keys(body), F.array(*map(F.lit, ALLOWED)))) == 0
-    ttl = F.coalesce(parsed["ttl_ms"], F.lit(0))
-    bad_context = F.coalesce(F.exists(F.map_entries(parsed["context"]), lambda e: (e["key"] == "") | e["value"].isNull() | (e["value"] != 1)), F.lit(False))
-    missing = (method == "PUT") & parsed["value"].isNull()
-    good = F.coalesce(known, F.lit(False)) & ~missing & ttl.between(0, MAX_TTL_MS) & ~bad_context & (F.octet_length(body) <= 8 << 20)
-    return F.when(good, 200).otherwise(400)
+    """400 for a body that isn't one object of known fields of the right types, a PUT without value, a TTL out of range
+    or a context with an empty id or a count other than 1; else 200."""
+    # A body over the limit is not decoded.
+    small = F.when(F.octet_length(body) <= 8 << 20, body)
+    parsed = F.from_json(F.udf(_object, "string")(small), "has_value boolean, ttl_ms long, context map<string,long>")
+    bad_context = F.exists(F.map_entries(parsed["context"]), lambda e: (e["key"] == "") | (e["value"] != 1))
+    missing = (method == "PUT") & ~parsed["has_value"]
+    good = parsed["has_value"].isNotNull() & ~missing & parsed["ttl_ms"].between(0, MAX_TTL_MS) & ~bad_context
+    return F.when(F.coalesce(good, F.lit(False)), 200).otherwise(400)
 
 
 def record_faults(records: DataFrame) -> DataFrame:

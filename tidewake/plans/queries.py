@@ -179,7 +179,16 @@ def validate_mutations(spark, sf_dir):
     return rows.select("event_id", "method", validate.mutation_status(F.col("method"), F.col("body")).cast("long").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (ring_owner, ring_owner_load, ring_replicas, ring_movement, log_lww, log_live_at, causal_siblings, causal_context, causal_conflicts, quorum_read, quorum_write, context_free_write, repair_rows, replica_divergence, lru_trace, lru_hit_rate, durable_capacity, wal_scan, recover_state, recover_snapshot, recover_siblings, stream_lww, stream_siblings, validate_mutations)}
+def validate_bodies(spark, sf_dir):
+    """More bodies: two objects, trailing text and fields of wrong types."""
+    n = F.col("event_id") % 8
+    body = F.when(n == 0, '{"value":"x"} {"value":"y"}').when(n == 1, '{"value":"x","ttl_ms":"abc"}').when(n == 2, '{"value":"x","context":5}').when(n == 3, '{"value":5}').when(n == 4, '{"value":"x"} tail').when(n == 5, '{"value":"x","ttl_ms":1.5}').when(n == 6, '{"value":"x","context":{"a":"1"}}').otherwise(' {"value":"x","ttl_ms":null,"context":null}\n')
+    method = F.when(F.col("event_type") == "error", "DELETE").otherwise("PUT")
+    rows = events(spark, sf_dir).select("event_id", method.alias("method"), body.alias("body"))
+    return rows.select("event_id", "method", validate.mutation_status(F.col("method"), F.col("body")).cast("long").alias("status"))
+
+
+QUERIES = {f.__name__: f for f in (ring_owner, ring_owner_load, ring_replicas, ring_movement, log_lww, log_live_at, causal_siblings, causal_context, causal_conflicts, quorum_read, quorum_write, context_free_write, repair_rows, replica_divergence, lru_trace, lru_hit_rate, durable_capacity, wal_scan, recover_state, recover_snapshot, recover_siblings, stream_lww, stream_siblings, validate_mutations, validate_bodies)}
 
 
 def _ring(members: str, name: str) -> str:
@@ -275,4 +284,5 @@ SELECT b.store, b.key, b.seq, r.id, array_to_string(list_sort(r.clock), ',') AS
     "stream_lww": _LWW,
     "stream_siblings": _SIBLINGS,
     "validate_mutations": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS method, CAST(CASE WHEN event_id % 11 IN (0, 2, 3, 4, 5, 6) OR (event_id % 11 = 1 AND event_type <> 'error') THEN 400 ELSE 200 END AS BIGINT) AS status FROM events",
+    "validate_bodies": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS method, CAST(CASE WHEN event_id % 8 = 7 THEN 200 ELSE 400 END AS BIGINT) AS status FROM events",
 }
