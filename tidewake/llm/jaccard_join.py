@@ -10,13 +10,19 @@ from . import scratch as S
 from .backoff_lm import _UPPER, mixed
 from .components import components
 
-#: Words of a block, which is what one task holds; rows of a page of a shared key's members.
-BLOCK_WORDS, PAGE_ROWS = 1_000_000, 4096
-LEAST_BUCKETS = 512
+#: Words of a block, which is what one task holds; of a slice, which is hashed at once; rows of a page of a shared key's members.
+BLOCK_WORDS, SLICE, PAGE_ROWS = 1_000_000, 60_000, 4096
+#: Buckets of keys at least, and bytes of text for each: keys take about as much.
+LEAST_BUCKETS, BUCKET_BYTES = 512, 1 << 23
+#: Bits of a block's number in its task, and of a row's in its block.
+SEQ_BITS, ROW_BITS = 18, 24
+ROW = (1 << ROW_BITS) - 1
 #: Coordinates of a count vector, and entries of an R-tree node.
 COORDINATES, NODE = 128, 32
-#: Tasks that send a block's sets; sets of a batch; rows of a table up to which it is broadcast.
-SPREAD, SENT_ROWS, BROADCAST_ROWS = 4, 256, 1_000_000
+#: Tasks that send a block's sets; bytes of a batch of sets; rows of a table up to which it is broadcast.
+SPREAD, SENT_BYTES, BROADCAST_ROWS = 4, 1 << 20, 1_000_000
+#: Rows of a batch of keys, one for each bucket.
+SENT_PARTS = 1024
 
 
 def differing(s: int, t: int, num: int, den: int) -> int:
@@ -62,11 +68,22 @@ def size_classes(most: int, num: int, den: int) -> list[tuple[int, int, int, int
 
 
 class Shingles:
-    """Distinct hashed shingles of a block of texts: docs[i] is the row that holds hashes[i], sorted by both."""
+    """Distinct hashed shingles of a block of texts: hashes[cut[i] : cut[i + 1]] are those of row i, sorted.
+    They are made for SLICE words at a time: texts don't depend on each other, and passing values need no more room."""
 
     def __init__(self, words, sizes, vocabulary, k: int):
         import numpy as np
 
+        ends = np.cumsum(sizes)
+        parts = [self._made(words[a:b], sizes[i:j], vocabulary, k) for i, j, a, b in slices(ends)]
+        self.hashes = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
+        self.sizes = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+        self.cut = np.concatenate(([0], np.cumsum(self.sizes)))
+
+    @staticmethod
+    def _made(words, sizes, vocabulary, k):
+        import numpy as np
+
         h = vocabulary[words] if len(words) else np.zeros(0, np.uint64)
         n = len(sizes)
         doc = np.repeat(np.arange(n), sizes)
@@ -83,41 +100,83 @@ class Shingles:
         doc, value = doc[order], value[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-        self.docs, self.hashes = doc[new], value[new]
-        self.sizes = np.bincount(self.docs, minlength=n)
+        return value[new], np.bincount(doc[new], minlength=n)
+
+    def of(self, row: int):
+        return self.hashes[self.cut[row] : self.cut[row + 1]]
+
+    def vectors(self):
+        """Counts of each row's elements in COORDINATES groups of another hash."""
+        import numpy as np
+
+        out = np.zeros((len(self.sizes), COORDINATES), np.uint16 if self.sizes.max(initial=0) < 1 << 16 else np.int32)
+        for i, j, a, b in slices(self.cut[1:]):
+            group = (mixed(self.hashes[a:b], np.uint64(77)) >> np.uint64(40)).astype(np.int64) % COORDINATES
+            docs = np.repeat(np.arange(j - i), self.sizes[i:j])
+            out[i:j] = np.bincount(docs * COORDINATES + group, minlength=(j - i) * COORDINATES).reshape(j - i, COORDINATES)
+        return out
+
+    def some(self, rows):
+        """The rows given, in their order."""
+        import numpy as np
+
+        own = Shingles.__new__(Shingles)
+        own.hashes = np.concatenate([self.of(i) for i in rows.tolist()]) if len(rows) else self.hashes[:0]
+        own.sizes = self.sizes[rows]
+        own.cut = np.concatenate(([0], np.cumsum(own.sizes)))
+        return own
 
 
-def vectors(hashes, docs, n: int):
-    """Counts of a set's elements in COORDINATES groups of another hash."""
+def slices(ends):
+    """(first row, end row, first element, end element) of runs of rows with SLICE elements or so, by the ends of rows."""
     import numpy as np
 
-    group = (mixed(hashes, np.uint64(77)) >> np.uint64(40)).astype(np.int64) % COORDINATES
-    return np.bincount(docs * COORDINATES + group, minlength=n * COORDINATES).reshape(n, COORDINATES)
+    i, a = 0, 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, a + SLICE, side="right")))
+        yield i, j, a, int(ends[j - 1])
+        i, a = j, int(ends[j - 1])
+
+
+class Node:
+    """Points below it, or children: the greatest of each coordinate, the least size and the range of their parts; its
+    component if it has one only."""
+
+    __slots__ = ("most", "least", "low", "high", "only", "rows", "children", "box")
+
+    def __init__(self, most, least, low, high, only, rows=None, children=None):
+        import numpy as np
+
+        self.most, self.least, self.low, self.high, self.only, self.rows, self.children = most, least, low, high, only, rows, children
+        self.box = np.array([c.most for c in children]) if children else None
 
 
 class RTree:
-    """Count vectors in a packed R-tree; a node keeps the greatest of each coordinate, its least size, and its component if it has one only."""
+    """Count vectors in a packed R-tree. Points of different parts never link, so they are first parted by these."""
 
-    def __init__(self, points, sizes, labels):
+    def __init__(self, points, sizes, labels, parts=None):
         import numpy as np
 
         self.points, self.sizes, self.labels = points, sizes, labels
-        self.leaves, todo = [], [np.arange(len(points))] if len(points) else []
-        while todo:  # halve along the widest coordinate until a node's worth is left
+        self.parts = np.zeros(len(points), np.int64) if parts is None else parts
+        leaves, todo = [], [np.argsort(self.parts, kind="stable")] if len(points) else []
+        while todo:  # halve by parts, then along the widest coordinate, until a node's worth is left
             rows = todo.pop()
             if len(rows) <= NODE:
-                self.leaves.append(rows)
+                own = labels[rows]
+                leaves.append(Node(points[rows].max(0), int(sizes[rows].min()), int(self.parts[rows].min()), int(self.parts[rows].max()), int(own[0]) if (own == own[0]).all() else -1, rows))
                 continue
-            wide = np.ptp(points[rows], axis=0).argmax()
-            by = rows[np.argsort(points[rows, wide], kind="stable")]
-            todo += [by[len(by) // 2 :], by[: len(by) // 2]]
-        level = [(points[r].max(0), sizes[r].min(), labels[r][0] if (labels[r] == labels[r][0]).all() else -1, r, None) for r in self.leaves]
+            if self.parts[rows[0]] == self.parts[rows[-1]]:
+                wide = np.ptp(points[rows], axis=0).argmax()
+                rows = rows[np.argsort(points[rows, wide], kind="stable")]
+            todo += [rows[len(rows) // 2 :], rows[: len(rows) // 2]]
+        level = leaves
         while len(level) > 1:
             up = []
             for i in range(0, len(level), NODE):
                 part = level[i : i + NODE]
-                same = {p[2] for p in part}
-                up.append((np.max([p[0] for p in part], axis=0), min(p[1] for p in part), same.pop() if len(same) == 1 else -1, None, part))
+                same = {p.only for p in part}
+                up.append(Node(np.max([p.most for p in part], axis=0), min(p.least for p in part), min(p.low for p in part), max(p.high for p in part), same.pop() if len(same) == 1 else -1, None, part))
             level = up
         self.root = level[0] if level else None
 
@@ -127,34 +186,68 @@ class RTree:
 
         found, stack = [], [self.root] if self.root else []
         while stack:
-            most, least, only, rows, children = stack.pop()
-            if only == label and only != -1 or np.minimum(point, most).sum() < overlap(size, int(least), num, den):
+            node = stack.pop()
+            if node.only == label and label != -1 or np.minimum(point, node.most).sum() < overlap(size, node.least, num, den):
                 continue
-            if children is not None:
-                stack += children
+            if node.children is not None:
+                stack += node.children
                 continue
+            rows = node.rows
             fits = (self.labels[rows] != label) & (np.minimum(self.points[rows], point).sum(1) >= overlap(size, self.sizes[rows], num, den))
             found += rows[fits].tolist()
         return found
 
+    def meet(self, other: "RTree", num: int, den: int) -> Iterator[tuple]:
+        """(rows of this, rows of the other, summed minima of each pair) of leaves that may hold pairs which link; of
+        a tree and itself every two leaves meet once. Both trees' boxes bound the pairs below them."""
+        import numpy as np
+
+        def boxes(a, b):
+            return np.minimum(a[:, None, :], b[None, :, :]).sum(2, dtype=np.int64)
+
+        stack = [(self.root, other.root)] if self.root and other.root else []
+        while stack:
+            a, b = stack.pop()
+            if a.high < b.low or b.high < a.low:
+                continue
+            if a.children is None and b.children is None:
+                yield a.rows, b.rows, boxes(self.points[a.rows], other.points[b.rows])
+                continue
+            left, right = a.children or [a], b.children or [b]
+            bound = boxes(a.box if a.children else a.most[None], b.box if b.children else b.most[None])
+            need = np.array([[overlap(x.least, y.least, num, den) for y in right] for x in left])
+            for i, j in np.argwhere(bound >= need).tolist():
+                if a is not b or i <= j:
+                    stack.append((left[i], right[j]))
+
+
+def group_keys(s: Shingles, wanted, classes: list, num: int, den: int):
+    """(key, row) of each emitted group of the rows where wanted, slice by slice."""
+    import numpy as np
+
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for i, j, a, b in slices(s.cut[1:]):
+        for key, row in _group_keys(s.hashes[a:b], s.sizes[i:j], wanted[i:j], classes, num, den):
+            keys.append(key)
+            owners.append((row + i).astype(np.uint32))
+    return np.concatenate(keys), np.concatenate(owners)
+
 
-def group_keys(s: Shingles, rows, classes: list, num: int, den: int):
-    """(key, row) of each emitted group of the sets in rows, an array of row numbers."""
+def _group_keys(hashes, sizes, wanted, classes, num, den):
     import numpy as np
 
     lows = np.array([c[0] for c in classes])
-    own = np.searchsorted(lows, s.sizes, side="right") - 1
-    last = np.searchsorted(lows, s.sizes * den // num, side="right") - 1
-    keys, owners = [], []
-    wanted = np.zeros(len(s.sizes), bool)
-    wanted[rows] = s.sizes[rows] > 0
+    own = np.searchsorted(lows, sizes, side="right") - 1
+    last = np.searchsorted(lows, sizes * den // num, side="right") - 1
+    docs = np.repeat(np.arange(len(sizes)), sizes)
+    wanted = wanted & (sizes > 0)
     step = 0
     while (now := wanted & (own + step <= last)).any():
         klass = own + step
         k = np.where(now, np.array([c[1] for c in classes])[klass], 0)
         first = np.cumsum(k) - k
-        inside = now[s.docs]
-        doc, h = s.docs[inside], s.hashes[inside]
+        inside = now[docs]
+        doc, h = docs[inside], hashes[inside]
         group = (mixed(h, np.uint64(13)) >> np.uint64(32)).astype(np.int64) % k[doc]
         slot = first[doc] + group
         total = int(k.sum())
@@ -166,10 +259,8 @@ def group_keys(s: Shingles, rows, classes: list, num: int, den: int):
         many = np.bincount(doc_of[weak], minlength=len(k)) > np.array([c[3] for c in classes])[klass]
         out = ~weak | many[doc_of]
         number = (np.arange(total) - first[doc_of]).astype(np.uint64) + (klass[doc_of].astype(np.uint64) << np.uint64(40))
-        keys.append(mixed(content, mixed(number, np.uint64(3)))[out])
-        owners.append(doc_of[out])
+        yield mixed(content, mixed(number, np.uint64(3)))[out], doc_of[out]
         step += 1
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def stars(keys, members) -> Iterator:
@@ -203,8 +294,12 @@ def digests(s: Shingles) -> list:
     """Two sums of hashes of each set's elements; with its size they tell equal sets."""
     import numpy as np
 
-    at = np.minimum(np.cumsum(s.sizes) - s.sizes, len(s.hashes))
-    return [np.add.reduceat(np.append(mixed(s.hashes, np.uint64(seed)), np.uint64(0)), at) for seed in (41, 43)]
+    out = [np.zeros(len(s.sizes), np.uint64) for _ in range(2)]
+    for i, j, a, b in slices(s.cut[1:]):
+        at = np.minimum(s.cut[i:j] - a, b - a)
+        for sums, seed in zip(out, (41, 43), strict=True):
+            sums[i:j] = np.add.reduceat(np.append(mixed(s.hashes[a:b], np.uint64(seed)), np.uint64(0)), at)
+    return out
 
 
 def short(hashes):
@@ -222,50 +317,59 @@ def told_apart(values):
     return values.astype(np.uint64) << np.uint64(32) | (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
 
 
-def resolved(s: Shingles, star, pivot, member, num: int, den: int):
-    """The least row of each row's component within a block. Pairs of a key's first and another member are checked,
-    those with most keys in common first; then, of keys whose members are still apart, every pair across
-    components that the R-tree lets through."""
+def resolved(s: Shingles, pivot, member, classes: list, num: int, den: int):
+    """The least row of each row's component within a block. Rows that share a key with another make one R-tree of
+    count vectors for each size class. Trees of classes whose sizes may link meet, and every pair of points across
+    components that the summed coordinate minima let through is checked on its sets, the likeliest of two leaves
+    first. Two rows that link share a key, so rows which no chain of shared keys joins are told apart by the tree."""
     import numpy as np
 
-    cut = np.concatenate(([0], np.cumsum(s.sizes)))
-    root, failed = list(range(len(s.sizes))), set()
+    root = list(range(len(s.sizes)))
+    part = list(root)
 
-    def find(i):
-        while root[i] != i:
-            root[i] = i = root[root[i]]
+    def find(of, i):
+        while of[i] != i:
+            of[i] = i = of[of[i]]
         return i
 
-    def meet(a, b):
-        x, y = find(a), find(b)
-        if x == y or (a, b) in failed:
-            return
-        if links(s.hashes[cut[a] : cut[a + 1]], s.hashes[cut[b] : cut[b + 1]], num, den):
-            root[max(x, y)] = min(x, y)
-        else:
-            failed.add((a, b))
-
-    pairs, shared = np.unique(pivot.astype(np.int64) << 32 | member.astype(np.int64), return_counts=True)
-    for pair in pairs[np.argsort(-shared, kind="stable")].tolist():
-        meet(pair >> 32, pair & 0xFFFFFFFF)
-    labels = np.array([find(i) for i in range(len(root))], np.int64)
-    apart = np.unique(star[labels[pivot] != labels[member]])
-    low, high = np.searchsorted(star, apart), np.searchsorted(star, apart, side="right")
-    for x, y in zip(low.tolist(), high.tolist(), strict=True):
-        rows = np.concatenate((pivot[x : x + 1], member[x:y])).astype(np.int64)
-        own = np.array([find(i) for i in rows.tolist()])
-        names, sizes = np.unique(own, return_counts=True)
-        if len(names) < 2:
-            continue
-        local = np.repeat(np.arange(len(rows)), s.sizes[rows])
-        tree = None
-        for i in np.nonzero(own != names[sizes.argmax()])[0].tolist():
-            if tree is None:
-                v = vectors(np.concatenate([s.hashes[cut[r] : cut[r + 1]] for r in rows]), local, len(rows))
-                tree = RTree(v, s.sizes[rows], own)
-            for j in tree.search(v[i], int(s.sizes[rows[i]]), own[i], num, den):
-                meet(int(min(rows[i], rows[j])), int(max(rows[i], rows[j])))
-    return np.array([find(i) for i in range(len(root))], np.int64)
+    def join(of, a, b):
+        x, y = find(of, a), find(of, b)
+        of[max(x, y)] = min(x, y)
+
+    for a, b in np.unique(np.stack((pivot, member), 1).astype(np.int64), axis=0).tolist():
+        join(part, a, b)
+    rows = np.unique(np.concatenate((pivot, member)).astype(np.int64))
+    if not len(rows):
+        return np.arange(len(root))
+    own = s.some(rows)
+    points, parts = own.vectors(), np.array([find(part, i) for i in rows.tolist()], np.int64)
+    lows = np.array([c[0] for c in classes])
+    klass = np.searchsorted(lows, own.sizes, side="right") - 1
+    trees = {}
+    for c in np.unique(klass).tolist():
+        at = np.nonzero(klass == c)[0]
+        trees[c] = (at, RTree(points[at], own.sizes[at], at, parts[at]))
+    for c, (at, tree) in trees.items():
+        top = int(np.searchsorted(lows, int(own.sizes[at].max()) * den // num, side="right")) - 1
+        for d in range(c, top + 1):
+            if d not in trees:
+                continue
+            for left, right, sums in tree.meet(trees[d][1], num, den):
+                x, y = at[left], trees[d][0][right]
+                n, m = own.sizes[x][:, None], own.sizes[y][None, :]
+                fits = (sums >= overlap(n, m, num, den)) & (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (parts[x][:, None] == parts[y][None, :])
+                if c == d and left is right:
+                    fits &= np.triu(np.ones(fits.shape, bool), 1)
+                if not fits.any():
+                    continue
+                a, b = np.array([find(root, i) for i in rows[x].tolist()]), np.array([find(root, i) for i in rows[y].tolist()])
+                pairs = np.argwhere(fits & (a[:, None] != b[None, :]))
+                likely = sums[pairs[:, 0], pairs[:, 1]] / (n[pairs[:, 0], 0] + m[0, pairs[:, 1]])
+                for i, j in pairs[np.argsort(-likely, kind="stable")].tolist():
+                    p, q = int(rows[x[i]]), int(rows[y[j]])
+                    if find(root, p) != find(root, q) and links(s.of(p), s.of(q), num, den):
+                        join(root, p, q)
+    return np.array([find(root, i) for i in range(len(root))], np.int64)
 
 
 def read_blocks(batches, limit: int) -> Iterator[tuple]:
@@ -284,10 +388,20 @@ def read_blocks(batches, limit: int) -> Iterator[tuple]:
             sizes.append(len(words))
             flat.extend([number.setdefault(w, len(number)) for w in words])
             if len(flat) + len(ids) >= limit:
-                yield made(ids, flat, sizes, number)
-                ids, flat, sizes, number = [], [], [], {}
+                block = [made(ids, flat, sizes, number)]
+                ids, flat, sizes, number, words = [], [], [], {}, None
+                yield block.pop()  # nothing of it is held here
     if ids:
-        yield made(ids, flat, sizes, number)
+        block = [made(ids, flat, sizes, number)]
+        ids, flat, sizes, number, words, batch = [], [], [], {}, None, None
+        yield block.pop()
+
+
+def numbered(partition: int, seq: int) -> int:
+    """A block's number; it stays below 2^39, so that it and a row's number make one long."""
+    if seq >= 1 << SEQ_BITS or partition >= 1 << 39 - SEQ_BITS:
+        raise OverflowError(f"block {seq} of task {partition}: read the texts in more tasks")
+    return partition << SEQ_BITS | seq
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -314,8 +428,10 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     """
     spark = docs.sparkSession
     here = S.scratch(spark, "jaccard")
-    buckets = max(LEAST_BUCKETS, 4 * S.shuffles(spark))
-    classes = size_classes(1 << 27, num, den)
+    # A word takes two bytes with the blank after it: no set is larger than half the longest text. Buckets follow the input.
+    total, longest = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
+    buckets = max(LEAST_BUCKETS, 4 * S.shuffles(spark), math.ceil(total / BUCKET_BYTES))
+    classes = size_classes(longest // 2 + 1, num, den)
 
     def sketch(batches):
         import pickle
@@ -325,28 +441,46 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         import pyarrow as pa
         from pyspark import TaskContext
 
-        for seq, (ids, words, sizes, vocabulary) in enumerate(read_blocks(batches, block_words)):
-            number = TaskContext.get().partitionId() << 12 | seq
+        S.thrifty()
+        seq = -1
+        for ids, words, sizes, vocabulary in read_blocks(batches, block_words):
+            seq += 1
+            number = numbered(TaskContext.get().partitionId(), seq)
             s = Shingles(words, sizes, vocabulary, k)
+            S.put(f"{here}/blocks/{number}.words", zlib.compress(pickle.dumps((words, sizes, vocabulary), 5), 1))
+            del words, vocabulary
             sums = digests(s)
             first: dict[tuple, int] = {}
-            copy = [first.setdefault((n, a, b) if n else (0, i, 0), i) for i, (n, a, b) in enumerate(zip(s.sizes.tolist(), sums[0].tolist(), sums[1].tolist(), strict=True))]
-            keys, owners = group_keys(s, np.array(sorted(set(copy)), np.int64), classes, num, den)
+            copy = np.array([first.setdefault((n, a, b) if n else (0, i, 0), i) for i, (n, a, b) in enumerate(zip(s.sizes.tolist(), sums[0].tolist(), sums[1].tolist(), strict=True))], np.int64)
+            del first, sums
+            keys, owners = group_keys(s, copy == np.arange(len(copy)), classes, num, den)
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            keys = bucket << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF))
+            keys &= np.uint64(0xFFFFFFFF)
+            keys |= bucket << np.uint64(32)
+            del bucket
             (star, pivot, member), (keys, owners) = stars(keys, owners)
-            root = resolved(s, star, pivot, member, num, den)
+            root = resolved(s, pivot, member, classes, num, den)
             other = root[pivot] != root[member]  # one member for each further component of a key
             extra = np.unique(np.stack((star[other].astype(np.int64), root[member[other]])), axis=1)
-            S.put(f"{here}/blocks/{number}.words", zlib.compress(pickle.dumps((words, sizes, vocabulary), 5), 1))
-            S.put(f"{here}/blocks/{number}.rows", zlib.compress(pickle.dumps((ids, s.sizes, np.array(copy, np.int64), root, keys, owners, star, member, extra), 5), 1))
-            cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist()
-            parts = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b] < cut[b + 1]]
-            low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1 - number % 64] + [b for b, *_ in parts], pa.int32()), pa.array([number] * (len(parts) + 1), pa.int64()), pa.array([b""] + [low[x:y].tobytes() for _, x, y in parts], pa.binary()), pa.array([b""] + [owners[x:y].astype("<u4").tobytes() for _, x, y in parts], pa.binary()), pa.array([b""] + [root[owners[x:y]].astype("<u4").tobytes() for _, x, y in parts], pa.binary())],
-                ["bucket", "block", "keys", "owners", "roots"],
-            )
+            held = s.sizes
+            del s, pivot, other
+            S.put(f"{here}/blocks/{number}.rows", zlib.compress(pickle.dumps((ids, held, copy, root, keys, owners, star, member, extra), 5), 1))
+            del star, member, extra, ids, held, copy
+            cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            some = np.nonzero(cut[1:] > cut[:-1])[0]
+            parts = list(zip(some.tolist(), cut[some].tolist(), cut[some + 1].tolist(), strict=True))
+            low, roots, owners = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), root[owners].astype("<u4"), owners.astype("<u4")
+            del keys, root
+            S.trim()
+            for i in range(0, len(parts) + 1, SENT_PARTS):  # the first one says that there is this block
+                now = parts[max(0, i - 1) : i + SENT_PARTS - 1]
+                mark = [b""] * (i == 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([-1 - number % 64] * (i == 0) + [b for b, *_ in now], pa.int32()), pa.array([number] * (len(now) + (i == 0)), pa.int64()), *(pa.array(mark + [v[x:y].tobytes() for _, x, y in now], pa.binary()) for v in (low, owners, roots))],
+                    ["bucket", "block", "keys", "owners", "roots"],
+                )
+            del low, roots, owners
+            S.trim()
 
     def meet(table):
         import numpy as np
@@ -357,7 +491,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
             none = pa.array([-1] * len(numbers), pa.int64())
             return pa.table({"key": none, "a": pa.array(numbers, pa.int64()), "b": none, "ra": none, "rb": none})
         keys = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-        owners, roots = (np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + (n << 24) for x, n in zip(table.column(c).to_pylist(), numbers, strict=True)]) for c in ("owners", "roots"))
+        owners, roots = (np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + (n << ROW_BITS) for x, n in zip(table.column(c).to_pylist(), numbers, strict=True)]) for c in ("owners", "roots"))
         (key, pivot, member), _ = stars(np.concatenate(keys).astype(np.int64) + (bucket << 32), owners)
         order = np.argsort(owners, kind="stable")
         of = lambda x: roots[order[np.searchsorted(owners[order], x)]]
@@ -376,7 +510,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         for batch in batches:
             for n in batch.column(0).to_pylist():
                 (ids, hashed), sizes, copy, root, *_ = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashed, pa.int64()), pa.array(sizes, pa.int64()), pa.array(root[copy] + (n << 24), pa.int64())], ["doc_id", "text_hash", "n_shingles", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashed, pa.int64()), pa.array(sizes, pa.int64()), pa.array(root[copy] + (n << ROW_BITS), pa.int64())], ["doc_id", "text_hash", "n_shingles", "root"])
 
     def extras_of(batches):
         import pickle
@@ -387,7 +521,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         for batch in batches:
             for n in batch.column(0).to_pylist():
                 key, root = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(root + (n << 24), pa.int64())], ["key", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(root + (n << ROW_BITS), pa.int64())], ["key", "root"])
 
     def members_of(table):
         import pickle
@@ -401,7 +535,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         wanted = np.unique(table.column("key").to_numpy().astype(np.uint64))
         first, more = np.isin(keys, wanted), np.isin(star, wanted)
         key, own = np.concatenate((keys[first], star[more])).astype(np.int64), np.concatenate((owners[first], member[more])).astype(np.int64)
-        return pa.table({"key": pa.array(key, pa.int64()), "id": pa.array(own + (n << 24), pa.int64()), "root": pa.array(root[own] + (n << 24), pa.int64())})
+        return pa.table({"key": pa.array(key, pa.int64()), "id": pa.array(own + (n << ROW_BITS), pa.int64()), "root": pa.array(root[own] + (n << ROW_BITS), pa.int64())})
 
     rows = S.saved(numbers.mapInArrow(rows_of, "doc_id long, text_hash long, n_shingles long, root long"), f"{here}/rows")
     pairs = S.saved(met.where("key <> -1").groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.count(F.lit(1)).alias("n")), f"{here}/pairs")
@@ -413,13 +547,12 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         return pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{number}.words")))
 
     def picked(block, local):
-        """Shingles of some rows of an opened block, and the place where each row's begin."""
+        """Shingles of some rows of an opened block."""
         import numpy as np
 
         words, sizes, vocabulary = block
         place = np.cumsum(sizes) - sizes
-        s = Shingles(np.concatenate([words[place[i] : place[i] + sizes[i]] for i in local.tolist()]), sizes[local], vocabulary, k)
-        return s, np.concatenate(([0], np.cumsum(s.sizes)))
+        return Shingles(np.concatenate([words[place[i] : place[i] + sizes[i]] for i in local.tolist()]), sizes[local], vocabulary, k)
 
     def fetch(batches):
         """(id, n, v): the size and the count vector of each id's set; ids come sorted."""
@@ -430,17 +563,17 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         for batch in batches:
             ids = np.unique(batch.column(0).to_numpy())
             ids = ids[ids > last]
-            for n in np.unique(ids >> 24).tolist():
+            for n in np.unique(ids >> ROW_BITS).tolist():
                 if n != number:
                     number, block = n, opened(n)
-                own = ids[ids >> 24 == n]
+                own = ids[ids >> ROW_BITS == n]
                 last = int(own[-1])
-                s, _ = picked(block, own & 0xFFFFFF)
-                v = vectors(s.hashes, s.docs, len(own)).astype("<i4")
+                s = picked(block, own & ROW)
+                v = s.vectors().astype("<i4")
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(s.sizes, pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "n", "v"])
 
     def vectors_of(ids, name):
-        dealt = ids.select("id").repartition(S.shuffles(spark), F.shiftright("id", 24)).sortWithinPartitions("id")
+        dealt = ids.select("id").repartition(S.shuffles(spark), F.shiftright("id", ROW_BITS)).sortWithinPartitions("id")
         return S.saved(dealt.mapInArrow(fetch, "id long, n long, v binary"), f"{here}/{name}-vectors")
 
     def ends(pairs):
@@ -464,54 +597,67 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         both = pairs.select("a", "b", "ra", "rb").join(x, "a").join(y, "b").where(F.least("n", "m") * den >= F.greatest("n", "m") * num)
         return both.select("a", "b", "ra", "rb", "x", "y", "n", "m").mapInArrow(bounded, "a long, b long, ra long, rb long")
 
+    def sets_of(rows):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.binary()] * 3, strict=True)], ["block", "a", "ra", "b", "rb", "h"])
+
     def send(batches, whole):
         """The set of a or its sketch (digests, shortened hashes), once for all pairs with members of another block; pairs come sorted."""
         import numpy as np
-        import pyarrow as pa
 
+        S.thrifty()
         number, block = None, None
         for batch in batches:
             a, b, ra, rb = (c.to_numpy() for c in batch.columns)
             if not len(a):
                 continue
-            new = np.nonzero((a[1:] != a[:-1]) | (b[1:] >> 24 != b[:-1] >> 24))[0] + 1
+            new = np.nonzero((a[1:] != a[:-1]) | (b[1:] >> ROW_BITS != b[:-1] >> ROW_BITS))[0] + 1
             low, high = np.concatenate(([0], new)), np.concatenate((new, [len(a)]))
-            for n in np.unique(a >> 24).tolist():
+            for n in np.unique(a >> ROW_BITS).tolist():
                 if n != number:
+                    block = None
+                    S.trim()
                     number, block = n, opened(n)
-                local = np.unique(a[a >> 24 == n] & 0xFFFFFF)
-                s, cut = picked(block, local)
-                data = s.hashes.astype("<u8") if whole else short(s.hashes)
-                head = [b""] * len(local) if whole else [x.tobytes() for x in np.stack(digests(s), axis=1).astype("<u8")]
-                runs = np.nonzero(a[low] >> 24 == n)[0]
-                for i in range(0, len(runs), SENT_ROWS):
-                    out = []
-                    for x, y in zip(low[runs[i : i + SENT_ROWS]].tolist(), high[runs[i : i + SENT_ROWS]].tolist(), strict=True):
-                        at = np.searchsorted(local, a[x] & 0xFFFFFF)
-                        out.append((int(b[x]) >> 24, int(a[x]), int(ra[x]), b[x:y].astype("<i8").tobytes(), rb[x:y].astype("<i8").tobytes(), head[at] + data[cut[at] : cut[at + 1]].tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.binary()] * 3, strict=True)], ["block", "a", "ra", "b", "rb", "h"])
+                local = np.unique(a[a >> ROW_BITS == n] & ROW)
+                s = picked(block, local)
+                sums = None if whole else np.stack(digests(s), axis=1).astype("<u8")
+                out, size = [], 0
+                for x, y in zip(low[a[low] >> ROW_BITS == n].tolist(), high[a[low] >> ROW_BITS == n].tolist(), strict=True):
+                    at = int(np.searchsorted(local, a[x] & ROW))
+                    data = s.of(at).astype("<u8").tobytes() if whole else sums[at].tobytes() + short(s.of(at)).tobytes()
+                    out.append((int(b[x]) >> ROW_BITS, int(a[x]), int(ra[x]), b[x:y].astype("<i8").tobytes(), rb[x:y].astype("<i8").tobytes(), data))
+                    size += len(data) + 16 * (y - x)
+                    if size >= SENT_BYTES:
+                        yield sets_of(out)
+                        out, size = [], 0
+                if out:
+                    yield sets_of(out)
 
     def check(batches, whole):
         """Pairs that link (sure) and, of sketches, those that may."""
         import numpy as np
         import pyarrow as pa
 
+        S.thrifty()
         number, block = None, None
         for batch in batches:
             blocks, out = batch.column(0).to_numpy(), []
             for n in np.unique(blocks).tolist():
                 if n != number:
+                    block = None
+                    S.trim()
                     number, block = n, opened(n)
                 rows = np.nonzero(blocks == n)[0].tolist()
                 b, rb = ([np.frombuffer(batch.column(c)[i].as_buffer(), "<i8") for i in rows] for c in (3, 4))
-                local = np.unique(np.concatenate(b) & 0xFFFFFF)
-                s, cut = picked(block, local)
+                local = np.unique(np.concatenate(b) & ROW)
+                s = picked(block, local)
                 sums = None if whole else np.stack(digests(s), axis=1)
                 for i, ids, roots in zip(rows, b, rb, strict=True):
                     sent = batch.column(5)[i].as_buffer()
                     x = np.frombuffer(sent, "<u8") if whole else told_apart(np.frombuffer(sent, "<u2", offset=16))
-                    for y, root, at in zip(ids.tolist(), roots.tolist(), np.searchsorted(local, ids & 0xFFFFFF).tolist(), strict=True):
-                        own = s.hashes[cut[at] : cut[at + 1]]
+                    for y, root, at in zip(ids.tolist(), roots.tolist(), np.searchsorted(local, ids & ROW).tolist(), strict=True):
+                        own = s.of(at)
                         same = not whole and len(own) == len(x) and (np.frombuffer(sent, "<u8", count=2) == sums[at]).all()
                         if same or links(x, own if whole else told_apart(short(own)), num, den):
                             out.append((batch.column(1)[i].as_py(), y, batch.column(2)[i].as_py(), root, bool(whole or same)))
@@ -522,7 +668,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         n = S.shuffles(spark)
 
         def met_by(pairs, whole):
-            asked = pairs.select("a", "b", "ra", "rb").repartition(n, F.shiftright("a", 24), F.pmod(F.shiftright("b", 24), F.lit(SPREAD))).sortWithinPartitions("a", "b")
+            asked = pairs.select("a", "b", "ra", "rb").repartition(n, F.shiftright("a", ROW_BITS), F.pmod(F.shiftright("b", ROW_BITS), F.lit(SPREAD))).sortWithinPartitions("a", "b")
             sent = asked.mapInArrow(lambda t: send(t, whole), "block long, a long, ra long, b binary, rb binary, h binary").repartition(n, "block").sortWithinPartitions("block")
             return sent.mapInArrow(lambda t: check(t, whole), "a long, b long, ra long, rb long, sure boolean")
 
@@ -559,7 +705,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     several = S.saved(several, f"{here}/several")
     if several.isEmpty():
         return _answer(rows, labels, here)
-    places = keys.join(few(several), "key").select("key", F.explode(F.array(F.shiftright("a", 24), F.shiftright("b", 24))).alias("block")).distinct()
+    places = keys.join(few(several), "key").select("key", F.explode(F.array(F.shiftright("a", ROW_BITS), F.shiftright("b", ROW_BITS))).alias("block")).distinct()
     members = places.groupBy("block").applyInArrow(members_of, "key long, id long, root long")
     members = S.saved(named(members, ["root"], labels).withColumnRenamed("lroot", "label"), f"{here}/members")
     # Two members are a pair that is checked already; keys with the same members ask the same.
@@ -583,7 +729,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         out = set()
         for i in np.nonzero(asks)[0]:
             for j in held[tree.search(v[i], int(sizes[i]), labels[i], num, den)]:
-                if ids[i] >> 24 != ids[j] >> 24:  # a block has checked its own
+                if ids[i] >> ROW_BITS != ids[j] >> ROW_BITS:  # a block has checked its own
                     x, y = (i, j) if ids[i] < ids[j] else (j, i)
                     out.add((ids[x], ids[y], roots[x], roots[y]))
         return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("a", "b", "ra", "rb"))})

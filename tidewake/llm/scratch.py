@@ -1,6 +1,7 @@
 """Tables and files in the folder that driver and executors share."""
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -8,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; below the machine's own only where that is unset."""
+    """A new folder below spark.checkpoint.dir. Where that is unset the machine's own serves, but only in local mode,
+    where driver and executors are one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/tidewake-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -44,5 +48,29 @@ def get(uri: str) -> bytes:
         return file.read()
 
 
+def thrifty() -> None:
+    """Has arrays of 128 KB and more mapped on their own, so that their memory goes back when they go: Python workers
+    live on from task to task, and what they keep counts for their executor. A no-op without glibc."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 17)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+def trim() -> None:
+    """Gives free memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
