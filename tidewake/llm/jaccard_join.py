@@ -74,14 +74,29 @@ class Shingles:
     def __init__(self, words, sizes, vocabulary, k: int):
         import numpy as np
 
-        ends = np.cumsum(sizes)
-        parts = [self._made(words[a:b], sizes[i:j], vocabulary, k) for i, j, a, b in slices(ends)]
+        parts = [self._made(words[a:b], sizes[i:j], vocabulary, k) for i, j, a, b in slices(np.cumsum(sizes))]
         self.hashes = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
         self.sizes = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
         self.cut = np.concatenate(([0], np.cumsum(self.sizes)))
 
+    @classmethod
+    def _made(cls, words, sizes, vocabulary, k):
+        import numpy as np
+
+        if len(sizes) == 1 and len(words) > 2 * SLICE:  # a long text: its own slices overlap by the words that a shingle spans
+            parts = [cls._hashed(words[a : a + SLICE + k - 1], np.array([min(SLICE + k - 1, len(words) - a)]), vocabulary, k)[1] for a in range(0, len(words) - k + 1, SLICE)]
+            value = np.unique(np.concatenate(parts))
+            return value, np.array([len(value)])
+        doc, value = cls._hashed(words, sizes, vocabulary, k)
+        order = np.lexsort((value, doc))
+        doc, value = doc[order], value[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+        return value[new], np.bincount(doc[new], minlength=len(sizes))
+
     @staticmethod
-    def _made(words, sizes, vocabulary, k):
+    def _hashed(words, sizes, vocabulary, k):
+        """(row, hash) of each shingle."""
         import numpy as np
 
         h = vocabulary[words] if len(words) else np.zeros(0, np.uint64)
@@ -95,12 +110,7 @@ class Shingles:
             ahead[: max(0, len(h) - i)] = h[i:]
             value = np.where(place + i < of, mixed(value, ahead), value)
         starts = (place + k <= of) | ((of < k) & (place == 0))
-        doc, value = doc[starts], mixed(value[starts], np.minimum(of[starts], k).astype(np.uint64))
-        order = np.lexsort((value, doc))
-        doc, value = doc[order], value[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-        return value[new], np.bincount(doc[new], minlength=n)
+        return doc[starts], mixed(value[starts], np.minimum(of[starts], k).astype(np.uint64))
 
     def of(self, row: int):
         return self.hashes[self.cut[row] : self.cut[row + 1]]
@@ -111,9 +121,10 @@ class Shingles:
 
         out = np.zeros((len(self.sizes), COORDINATES), np.uint16 if self.sizes.max(initial=0) < 1 << 16 else np.int32)
         for i, j, a, b in slices(self.cut[1:]):
-            group = (mixed(self.hashes[a:b], np.uint64(77)) >> np.uint64(40)).astype(np.int64) % COORDINATES
             docs = np.repeat(np.arange(j - i), self.sizes[i:j])
-            out[i:j] = np.bincount(docs * COORDINATES + group, minlength=(j - i) * COORDINATES).reshape(j - i, COORDINATES)
+            for low in range(a, b, SLICE):
+                group = (mixed(self.hashes[low : min(b, low + SLICE)], np.uint64(77)) >> np.uint64(40)).astype(np.int64) % COORDINATES
+                np.add.at(out[i:j].reshape(-1), docs[low - a : low - a + len(group)] * COORDINATES + group, 1)
         return out
 
     def some(self, rows):
@@ -246,14 +257,14 @@ def _group_keys(hashes, sizes, wanted, classes, num, den):
         klass = own + step
         k = np.where(now, np.array([c[1] for c in classes])[klass], 0)
         first = np.cumsum(k) - k
-        inside = now[docs]
-        doc, h = docs[inside], hashes[inside]
-        group = (mixed(h, np.uint64(13)) >> np.uint64(32)).astype(np.int64) % k[doc]
-        slot = first[doc] + group
         total = int(k.sum())
-        content = np.zeros(total, np.uint64)
-        np.add.at(content, slot, mixed(h, np.uint64(29)))
-        count = np.bincount(slot, minlength=total)
+        content, count = np.zeros(total, np.uint64), np.zeros(total, np.int64)
+        for a in range(0, len(hashes), SLICE):
+            inside = now[docs[a : a + SLICE]]
+            doc, h = docs[a : a + SLICE][inside], hashes[a : a + SLICE][inside]
+            slot = first[doc] + (mixed(h, np.uint64(13)) >> np.uint64(32)).astype(np.int64) % k[doc]
+            np.add.at(content, slot, mixed(h, np.uint64(29)))
+            np.add.at(count, slot, 1)
         doc_of = np.repeat(np.arange(len(k)), k)
         weak = count < np.array([c[2] for c in classes])[klass[doc_of]]
         many = np.bincount(doc_of[weak], minlength=len(k)) > np.array([c[3] for c in classes])[klass]
