@@ -133,30 +133,57 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), scratch.scratch(spark, "cc")).count() == 0
 
 
-@pytest.mark.parametrize("block", [500, 3_000_000])
-def test_backoff_lm(spark, rows, block):
+@pytest.mark.parametrize(("block", "masses"), [(500, (30.0,)), (3_000_000, (30.0, 4.0)), (2_000, (100.0, 3.0, 2.0))])
+def test_backoff_lm(spark, rows, block, masses):
     docs = [(i, [*words(t), ""]) for i, t in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in docs]
-    one, two, starts = Counter(), Counter(), 0
+    order = len(masses) + 1
+    counts, starts = Counter(), 0
     for (_, w), h in zip(docs, held, strict=True):
         if not h:
-            one.update(w)
-            two.update(zip([None, *w], w, strict=False))
+            x = (None, *w)
+            counts.update(x[max(0, i - j) : i + 1] for i in range(1, len(x)) for j in range(min(i + 1, order)))
             starts += 1
-    n, v, m = sum(one.values()), len(one), 30.0
-    p = lambda w: (one[w] + 1) / (n + v + 1)
-    context = lambda h: starts if h is None else one[h]
+    one = {g[0]: c for g, c in counts.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
+
+    def p(context, w):
+        """The smoothed probability by its recursion over shorter contexts."""
+        if not context:
+            return (one.get(w, 0) + 1) / (n + v + 1)
+        seen = starts if context == (None,) else counts[context]
+        mass = masses[len(context) - 1]
+        return (counts[(*context, w)] + mass * p(context[1:], w)) / (seen + mass)
+
     want = []
     for (i, w), h in zip(docs, held, strict=True):
-        score = sum(math.log10((two[a, b] + m * p(b)) / (context(a) + m)) for a, b in zip([None, *w], w, strict=False))
-        want.append((i, h, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), score))
-    got = backoff_lm.score(documents(spark, rows), block_tokens=block).collect()
+        x = (None, *w)
+        score = sum(math.log10(p(x[max(0, t - order + 1) : t], x[t])) for t in range(1, len(x)))
+        want.append((i, h, len(w), sum(y in one for y in w), n, sum(math.log10(p((), y)) for y in w), score))
+    got = backoff_lm.score(documents(spark, rows), masses=masses, block_tokens=block).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[6], 3))
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=1e-6)
     # From any state the probabilities of all words and one unknown, V + 1 of them, sum to 1.
-    for state in (None, "w1", "w399"):
-        assert sum((two[state, w] + m * p(w)) / (context(state) + m) for w in one) + m * p(object()) / (context(state) + m) == pytest.approx(1)
+    for state in ((None,), ("w1",), ("w399",), ("w3", "w5")):
+        assert sum(p(state[-order + 1 :], w) for w in [*one, object()]) == pytest.approx(1)
+
+
+def test_backoff_lm_prefers_longer_contexts(spark):
+    rng = random.Random(21)
+    phrases = [prose(rng, 12, 60) for _ in range(30)]
+    docs = documents(spark, [(i, " ".join(rng.choices(phrases, k=6))) for i in range(200)])
+    mean = lambda masses: sum(r["score"] for r in backoff_lm.score(docs, masses=masses).collect() if r["held_out"])
+    assert mean((30.0,)) < mean((30.0, 4.0)) < mean((30.0, 4.0, 2.0))
+
+
+def test_packed_counts_and_keys():
+    import numpy as np
+
+    for values in ([], [0, 1, 254, 255, 256, 1 << 40], [3] * 1000):
+        assert backoff_lm.counts_of(backoff_lm.packed_counts(values)).tolist() == values
+    for values in ([], [5], [0, 0, 7, 1 << 33, (1 << 40) - 1]):
+        assert backoff_lm.keys_of(backoff_lm.packed_keys(np.array(values, np.uint64))).tolist() == values
 
 
 def test_backoff_lm_of_none(spark):

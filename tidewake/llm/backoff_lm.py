@@ -1,5 +1,6 @@
-"""A smoothed bigram model as a weighted automaton with failure arcs, built and run block by block."""
+"""A smoothed n-gram model as a weighted automaton with failure arcs, built and run block by block."""
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,13 @@ from . import scratch as S
 
 #: Tokens of a block: its automaton and its documents are what one task holds.
 BLOCK_TOKENS = 3_000_000
-#: Buckets of hashed n-grams; a bucket's counts from all blocks are what one counting task holds.
-LEAST_BUCKETS = 512
+#: Buckets of hashed n-grams at least and at most, and bytes of text for each: a bucket's counts from all blocks are what
+#: one counting task holds.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 512, 1 << 24, 1 << 22
+#: Bits by which n-grams of one bucket are told apart.
+REST = 40
+#: Smoothing mass of each order from 2 up; their number sets the order.
+MASSES = (100.0, 3.0)
 TRAIN = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2"
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b" "  # no word holds a blank
@@ -32,38 +38,54 @@ def mixed(a, b):
         return x ^ (x >> np.uint64(31))
 
 
+class Level:
+    """The distinct n-grams of one order in a block, sorted by prefix and word: hash, count in training documents, number
+    of the prefix (all but the last word) and of the suffix (all but the first) one order down, last word."""
+
+    def __init__(self, hashes, counts, prefix, suffix, word):
+        self.hashes, self.counts, self.prefix, self.suffix, self.word = hashes, counts, prefix, suffix, word
+
+
 class Block:
-    """Documents as word numbers, and the n-grams in them with their counts in training documents."""
+    """Documents as word numbers; number v, the vocabulary's size, is the start of a text, which no token is."""
 
-    def __init__(self, ids: list, held: list, texts: list):
+    def __init__(self, ids: list, held: list, sizes: list, flat: list, number: dict):
         import numpy as np
         import xxhash
 
-        number: dict[bytes, int] = {END: 0}
-        flat, self.sizes = [], np.zeros(len(texts), np.int64)
-        for i, words in enumerate(texts):
-            self.sizes[i] = len(words)
-            flat.extend([number.setdefault(w, len(number)) for w in words])
-        self.doc_ids, self.held = ids, np.array(held, bool)
+        self.doc_ids, self.held, self.sizes = ids, np.array(held, bool), np.array(sizes, np.int64)
         self.words = np.array(flat, np.int32)
         self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
 
-    def grams(self):
-        """Sorted hashes and training counts of words and of pairs, the start of a text being END too; and each pair's words."""
+    def levels(self, order: int) -> list[Level]:
+        """The n-grams of orders 1 to order. Those of order 1 are the words by number, then the start."""
         import numpy as np
 
         v = len(self.hashes)
-        before = np.empty_like(self.words)
-        before[1:] = self.words[:-1]
-        starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if len(self.sizes) else np.zeros(0, np.int64)
-        before[starts] = 0
-        learned = np.repeat(~self.held, self.sizes)
-        uni = np.bincount(self.words[learned], minlength=v)
-        pairs, inverse = np.unique(before.astype(np.int64) * v + self.words, return_inverse=True)
-        bi = np.bincount(inverse[learned], minlength=len(pairs))
-        keys = mixed(self.hashes[pairs // v], self.hashes[pairs % v])
-        u, b = np.argsort(self.hashes, kind="stable"), np.argsort(keys, kind="stable")
-        return (self.hashes[u], uni[u], u), (keys[b], bi[b], pairs[b])
+        n = self.sizes + 1
+        first = np.cumsum(n) - n
+        x = np.full(int(n.sum()), v, np.int64)
+        inside = np.ones(len(x), bool)
+        inside[first] = False
+        x[inside] = self.words
+        place = np.arange(len(x)) - np.repeat(first, n)
+        learned = np.repeat(~self.held, n)
+        hashes = np.append(mixed(self.hashes, np.uint64(1)), np.uint64(0x5851F42D4C957F2D))
+        counts = np.bincount(x[learned], minlength=v + 1)
+        out = [Level(hashes, counts, np.zeros(v + 1, np.int64), np.zeros(v + 1, np.int64), np.arange(v + 1))]
+        del inside, first
+        before = x.copy()  # the number of the n-gram of the order before that ends here
+        for j in range(2, order + 1):
+            ends = np.nonzero(place >= j - 1)[0]
+            grams, inverse = np.unique(before[ends - 1] * (v + 1) + x[ends], return_inverse=True)
+            suffix = np.empty(len(grams), np.int64)
+            suffix[inverse] = before[ends]
+            counts = np.bincount(inverse[learned[ends]], minlength=len(grams))
+            prefix, word = grams // (v + 1), grams % (v + 1)
+            out.append(Level(mixed(mixed(out[-1].hashes[prefix], out[0].hashes[word]), np.uint64(j)), counts, prefix, suffix, word))
+            before = np.full(len(x), -1, np.int64)
+            before[ends] = inverse
+        return out
 
     def dump(self) -> bytes:
         import pickle
@@ -86,36 +108,81 @@ class Block:
         return own
 
 
+def asked(levels: list[Level], buckets: int) -> list[tuple]:
+    """For words (0) and for longer n-grams (1): bucket and rest of their hashes as one number, sorted; the order that
+    sorts them; their counts in that order."""
+    import numpy as np
+
+    out = []
+    for kind in (levels[:1], levels[1:]):
+        hashes, counts = (np.concatenate([getattr(x, c)[: len(x.hashes) - (x is levels[0])] for x in kind]) if kind else np.zeros(0, np.uint64) for c in ("hashes", "counts"))
+        keys = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)) << np.uint64(REST) | hashes & np.uint64((1 << REST) - 1)
+        order = np.argsort(keys, kind="stable")
+        out.append((keys[order], order, counts[order].astype(np.int64)))
+    return out
+
+
 class Automaton:
-    """States are the words of a block and the start; an arc reads a word from a state and leads to that word's state.
+    """States are the root, and the n-grams of orders 1 to n - 1 of a block (the start is one) that were seen in training;
+    an arc reads a word from a state and leads to the longest state that the text so far ends with.
 
-    With c(h w) pairs, c(h) times h is a context and m the smoothing mass, an arc that was seen weighs
-    log10((c(h w) + m p(w)) / (c(h) + m)); otherwise the failure arc weighs log10(m / (c(h) + m)) and leads to
-    the root, where w weighs log10 p(w), p(w) = (c(w) + 1) / (N + V + 1). The probabilities of a state sum to 1.
+    For a context h of order j - 1, c(h) its count, h' without its first word and m the smoothing mass of order j,
+    an arc whose n-gram was seen weighs log10 of p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m). Otherwise the failure
+    arc weighs log10(m / (c(h) + m)) and leads to h', and so on down to the root, where w weighs log10 of
+    p(w) = (c(w) + 1) / (N + V + 1). The probabilities of a state sum to 1.
     """
 
-    def __init__(self, v: int, pairs, pair_counts, counts, contexts, n: int, distinct: int, mass: float):
+    def __init__(self, levels: list[Level], totals: list, n: int, distinct: int, masses: tuple):
         import numpy as np
 
-        p = (counts + 1) / (n + distinct + 1)
-        self.v, self.root = v, np.log10(p)
-        self.fail = np.log10(mass / (contexts + mass))
-        seen = pair_counts > 0
-        self.arcs = pairs[seen]
-        h, w = self.arcs // v, self.arcs % v
-        self.weights = np.log10((pair_counts[seen] + mass * p[w]) / (contexts[h] + mass))
+        self.v = len(levels[0].hashes)  # the start is a word that is never read
+        p = (totals[0] + 1) / (n + distinct + 1)
+        self.root = np.log10(p)
+        first = np.cumsum([1, *(len(t) for t in totals[:-1])])  # the number of each order's first state
+        self.start = int(first[0]) + self.v - 1
+        self.leads = np.where(totals[0] > 0, first[0] + np.arange(self.v), 0) if len(levels) > 1 else np.zeros(self.v, np.int64)
+        suffix, fail, arcs, weights, leads = [np.zeros(1 + self.v, np.int64)], [np.zeros(1)], [], [], []
+        for j, mass in enumerate(masses, 1):
+            level, context = levels[j], totals[j - 1]
+            fail.append(np.log10(mass / (context + mass)))
+            seen = totals[j] > 0
+            p = np.where(seen, (totals[j] + mass * p[level.suffix]) / (context[level.prefix] + mass), 0.0)
+            last = j == len(masses)
+            to = first[j - 1] + level.suffix if last else first[j] + np.arange(len(seen))
+            arcs.append(((first[j - 1] + level.prefix) * self.v + level.word)[seen])
+            weights.append(np.log10(p[seen]))
+            leads.append(to[seen])
+            if not last:
+                suffix.append(first[j - 1] + level.suffix)
+        self.suffix, self.fail = np.concatenate(suffix), np.concatenate(fail)
+        self.arcs, self.weights, self.to = (np.concatenate([*x, [-1]]) for x in (arcs, weights, leads))  # the last is none
+        self.first = np.searchsorted(self.arcs[:-1], np.arange(len(self.fail) + 1) * self.v)  # each state's arcs lie together
 
     def step(self, states, words):
-        """What reading words from states weighs; the next states are the words'."""
+        """What reading words from states weighs, and the states it leads to: by an arc, or down failure arcs first."""
         import numpy as np
 
-        key = states * self.v + words
-        at = np.searchsorted(self.arcs, key)
-        at[at == len(self.arcs)] = 0
-        found = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), bool)
-        out = self.fail[states] + self.root[words]
-        out[found] = self.weights[at[found]]
-        return out
+        out, to = np.zeros(len(states)), np.zeros(len(states), np.int64)
+        todo, own = np.arange(len(states)), states
+        while len(todo):
+            read = words[todo]
+            key, at = own * self.v + read, self.first[own]
+            found = (self.arcs[at] == key) & (own > 0)  # most contexts have one arc
+            more = np.nonzero(~found & (self.first[own + 1] > at + 1))[0]
+            at[more] = np.searchsorted(self.arcs[:-1], key[more])
+            found[more] = self.arcs[at[more]] == key[more]
+            hit = todo[found]
+            out[hit] += self.weights[at[found]]
+            to[hit] = self.to[at[found]]
+            ended = ~found & (own == 0)
+            hit = todo[ended]
+            out[hit] += self.root[read[ended]]
+            to[hit] = self.leads[read[ended]]
+            left = ~found & ~ended
+            todo, own = todo[left], own[left]
+            out[todo] += self.fail[own]
+            own = self.suffix[own]
+        return out, to
 
     def traverse(self, words, sizes):
         """Left to right over all documents of a block side by side: one state and one sum for each."""
@@ -124,62 +191,94 @@ class Automaton:
         order = np.argsort(-sizes, kind="stable")
         starts = (np.cumsum(sizes) - sizes)[order]
         active = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")  # documents longer than t
-        total, states = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
-        for t, n in enumerate(active):
-            read = words[starts[:n] + t].astype(np.int64)
-            total[:n] += self.step(states[:n], read)
-            states[:n] = read
+        total, states = np.zeros(len(sizes)), np.full(len(sizes), self.start if len(self.fail) > 1 else 0, np.int64)
+        for t, n in enumerate(active.tolist()):
+            weight, states[:n] = self.step(states[:n], words[starts[:n] + t].astype(np.int64))
+            total[:n] += weight
         out = np.empty(len(sizes))
         out[order] = total
         return out
 
 
 def blocks(batches, limit: int) -> Iterator[Block]:
-    ids, held, texts, n = [], [], [], 0
+    ids, held, sizes, flat, number = [], [], [], [], {END: 0}
     for batch in batches:
         for doc_id, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = tokens(text.as_py())
             ids.append(doc_id)
             held.append(not train)
-            texts.append(words)
-            n += len(words)
-            if n >= limit:
-                yield Block(ids, held, texts)
-                ids, held, texts, n = [], [], [], 0
+            sizes.append(len(words))
+            flat.extend([number.setdefault(w, len(number)) for w in words])
+            if len(flat) >= limit:
+                block = [Block(ids, held, sizes, flat, number)]
+                ids, held, sizes, flat, number, words = [], [], [], [], {END: 0}, None
+                yield block.pop()  # nothing of it is held here
     if ids:
-        yield Block(ids, held, texts)
+        block = [Block(ids, held, sizes, flat, number)]
+        ids, held, sizes, flat, number, words, batch = [], [], [], [], {}, None, None
+        yield block.pop()
+
+
+def packed_keys(rest) -> bytes:
+    """Sorted numbers as their differences, in 4 bytes each if they fit."""
+    import numpy as np
+
+    gaps = np.diff(rest, prepend=np.uint64(0))
+    width = 4 if gaps.max(initial=0) < 1 << 32 else 8
+    return bytes([width]) + gaps.astype(f"<u{width}").tobytes()
+
+
+def keys_of(data: bytes):
+    import numpy as np
+
+    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64))
 
 
 def packed_counts(counts) -> bytes:
+    """A byte for each count, 255 for those of 255 and more, which follow whole."""
+    import struct
     import zlib
 
     import numpy as np
 
-    return zlib.compress(np.asarray(counts, "<u8").tobytes(), 1)
+    counts = np.asarray(counts, np.uint64)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return struct.pack("<Q", len(small)) + zlib.compress(small.tobytes() + counts[small == 255].astype("<u8").tobytes(), 1)
 
 
 def counts_of(data: bytes):
+    import struct
     import zlib
 
     import numpy as np
 
-    return np.frombuffer(zlib.decompress(data), "<u8")
+    (n,), raw = struct.unpack_from("<Q", data), zlib.decompress(data[8:])
+    out = np.frombuffer(raw, np.uint8, n).astype(np.uint64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n)
+    return out
 
 
-def score(docs: DataFrame, train: str = TRAIN, mass: float = 30.0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Log10 probabilities of whole texts (doc_id, text) under a bigram model of all rows for which train holds.
+def score(docs: DataFrame, train: str = TRAIN, masses: tuple = MASSES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Log10 probabilities of whole texts (doc_id, text) under an n-gram model of all rows for which train holds; n is the
+    number of masses plus 1.
 
     1. Tasks turn documents into blocks, files of word numbers in the shared folder, and send for each block
        and bucket the hashes of its n-grams with their training counts: one row, already summed.
     2. A task for each bucket adds up the counts of all blocks and answers each with the totals of its own
-       n-grams, in its order. No task and no driver holds the corpus' n-grams; they grow with the corpus.
+       n-grams, in its order. No task and no driver holds the corpus' n-grams; they grow with the corpus, and
+       the buckets with the bytes of its texts.
     3. A task for each block builds the automaton over its n-grams and reads its documents through it.
-    N-grams meet by 64-bit hashes. Null and empty texts hold the end alone. Repeated rows all count.
+    Words meet by 64-bit hashes, n-grams by a bucket and 40 bits in it; buckets are of like size whatever the input.
+    Null and empty texts hold the end alone; a very long text is a block of its own. Repeated rows all count. Without
+    rows the result is empty; without training rows every token has p = 1. Other columns play no part.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
     here = S.scratch(spark, "lm")
-    buckets = max(LEAST_BUCKETS, 4 * S.shuffles(spark))
+    order = len(masses) + 1
+    # Texts that train counts, times that the start is a context; bytes of all.
+    texts, size = docs.agg(F.count(F.when(F.expr(train), 1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 4 * S.shuffles(spark), math.ceil(size / BUCKET_BYTES)))
 
     def count(batches):
         import zlib
@@ -188,24 +287,34 @@ def score(docs: DataFrame, train: str = TRAIN, mass: float = 30.0, block_tokens:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        edges = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
-        for i, block in enumerate(blocks(batches, block_tokens)):
+        S.thrifty()
+        edges = np.arange(buckets, dtype=np.uint64) << np.uint64(REST)
+        i = -1
+        for block in blocks(batches, block_tokens):
+            i += 1
             data = block.dump()
             name = f"{TaskContext.get().partitionId()}-{i}-{zlib.crc32(data):08x}"
             S.put(f"{here}/blocks/{name}", data)
-            for kind, (keys, counts, _) in enumerate(block.grams()):
+            levels = [block.levels(order)]
+            del data, block
+            for kind, (keys, _, counts) in enumerate(asked(levels.pop(), buckets)):
                 cut = [*np.searchsorted(keys, edges).tolist(), len(keys)]
                 parts = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(parts), pa.int32()), pa.array([b for b, *_ in parts], pa.int32()), pa.array([name] * len(parts)), pa.array([keys[x:y].astype("<u8").tobytes() for _, x, y in parts], pa.binary()), pa.array([packed_counts(counts[x:y]) for _, x, y in parts], pa.binary())],
-                    ["kind", "bucket", "block", "keys", "counts"],
-                )
+                rest = keys & np.uint64((1 << REST) - 1)
+                for low in range(0, len(parts), 512):
+                    now = parts[low : low + 512]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([kind] * len(now), pa.int32()), pa.array([b for b, *_ in now], pa.int32()), pa.array([name] * len(now)), pa.array([packed_keys(rest[x:y]) for _, x, y in now], pa.binary()), pa.array([packed_counts(counts[x:y]) for _, x, y in now], pa.binary())],
+                        ["kind", "bucket", "block", "keys", "counts"],
+                    )
+                del keys, counts, rest
+            S.trim()
 
     def total(table):
         import numpy as np
         import pyarrow as pa
 
-        keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
+        keys = [keys_of(k) for k in table.column("keys").to_pylist()]
         counts = [counts_of(c) for c in table.column("counts").to_pylist()]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros(len(distinct), np.uint64)
@@ -220,25 +329,32 @@ def score(docs: DataFrame, train: str = TRAIN, mass: float = 30.0, block_tokens:
             "distinct": pa.array([stats[0] if i == 0 else 0 for i in range(n)], pa.int64()), "n": pa.array([stats[1] if i == 0 else 0 for i in range(n)], pa.int64()),
         })
 
-    asked = docs.select("doc_id", F.expr(train).alias("train"), "text").mapInArrow(count, "kind int, bucket int, block string, keys binary, counts binary")
-    answers = S.saved(asked.groupBy("kind", "bucket").applyInArrow(total, "kind int, bucket int, block string, totals binary, distinct long, n long"), f"{here}/answers")
+    sent = docs.select("doc_id", F.expr(train).alias("train"), "text").mapInArrow(count, "kind int, bucket int, block string, keys binary, counts binary")
+    answers = S.saved(sent.groupBy("kind", "bucket").applyInArrow(total, "kind int, bucket int, block string, totals binary, distinct long, n long"), f"{here}/answers")
     distinct, n = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    texts = docs.where(train).count()  # times that the start is a context
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
+        S.thrifty()
+        S.trim()
         block = Block.load(S.get(f"{here}/blocks/{table.column('block')[0].as_py()}"))
-        (hashes, _, u), (_, _, pairs) = block.grams()
+        levels = block.levels(order)
         rows = sorted(zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("totals").to_pylist(), strict=True))
-        sums = [np.concatenate([counts_of(t) for k, _, t in rows if k == kind]).astype(np.int64) for kind in (0, 1)]
-        counts = np.empty(len(hashes), np.int64)
-        counts[u] = sums[0]
-        contexts = counts.copy()
-        contexts[0] = texts
-        order = np.argsort(pairs)
-        model = Automaton(len(hashes), pairs[order], sums[1][order], counts, contexts, n, distinct, mass)
+        totals = []
+        for kind, (keys, places, _) in enumerate(asked(levels, buckets)):
+            sums = np.zeros(len(keys), np.int64)
+            if len(keys):
+                sums[places] = np.concatenate([counts_of(t) for k, _, t in rows if k == kind]).astype(np.int64)
+            totals.append(sums)
+        del rows, keys, places
+        cut = np.cumsum([0, *(len(x.hashes) for x in levels[1:])])
+        counts = totals[0]
+        totals = [np.append(counts, texts), *(totals[1][cut[i] : cut[i + 1]] for i in range(order - 1))]
+        model = Automaton(levels, totals, n, distinct, masses)
+        del levels, totals, sums
+        S.trim()
         starts = np.cumsum(block.sizes) - block.sizes
         add = lambda x: np.add.reduceat(x[block.words], starts)
         return pa.table({
