@@ -254,14 +254,14 @@ def test_pii_learns_contexts(spark, lookup):
     rows += [(500, "please call number +1 12345678901234567 today thanks"), (501, "the total was 123456789012 units"), (502, None), (503, ""), (None, "call number 7"), rows[0], rows[0]]
     docs = documents(spark, rows)
     patterns = pii.learn(docs)
-    assert {(r["kind"], r["pattern"]) for r in patterns.collect()} == {("phone", "number _ today")}
+    assert {(r["kind"], r["pattern"]) for r in patterns.collect()} == {("phone", "number _ today"), ("phone", "call number _"), ("phone", "_ today w")}
     got = pii.extract(docs, patterns, lookup).collect()
     assert len(got) == len(rows)
     for r in got:
         base, spans = ([tuple(s) for s in r[c]] for c in ("base", "spans"))
         assert base == plain_spans(r["text"] or "") and set(base) <= set(spans)
-        if r["doc_id"] not in (500,):
-            assert base == spans or "number" in r["text"]
+        more = set(spans) - set(base)
+        assert not more or r["doc_id"] == 500
     assert pii.extract(documents(spark, []), pii.learn(documents(spark, []))).count() == 0
 
 
@@ -288,13 +288,70 @@ def test_pii_finds_unseen_formats(spark, lookup):
     rows += [(2000, "dial " + "12 " * 40 + "tonight"), (2001, "host " + "(" * 9000 + "1" + ")" * 9000), (2002, "total was 0171 555 23 46 units")]
     docs = documents(spark, rows)
     patterns = pii.learn(docs)
-    assert {(r["kind"], r["pattern"]) for r in patterns.collect()} == {("phone", "dial _ tonight"), ("ip", "host _ $"), ("email", "write _ soon")}
+    assert {(r["kind"], r["pattern"]) for r in patterns.collect()} >= {("phone", "dial _ tonight"), ("ip", "host _ $"), ("email", "write _ soon")}
     got = {r["doc_id"]: {tuple(s) for s in r["spans"]} - {tuple(s) for s in r["base"]} for r in pii.extract(docs, patterns, lookup).collect()}
     for i, (kind, a, x, _) in enumerate(want):
         assert got.pop(1000 + i) == {(len(a), len(a + x), kind)}, (a, x)
     assert not any(got.values())
 
 
+def planted(rng, n=40):
+    """Identifiers of all kinds in contexts of their own, and in a second context of which only the first tells anything."""
+    number = lambda k: "".join(rng.choices("123456789", k=k))
+    rows = []
+    for i in range(n):
+        rows.append((i, f"please dial +1 ({number(3)}) {number(3)}-{number(4)} tonight {prose(rng, 3)}"))
+        rows.append((100 + i, f"{prose(rng, 3)} reach host {rng.randrange(256)}.2.3.{i + 1} first"))
+        rows.append((200 + i, f"write u{number(5)}@mail.example.com soon"))
+        rows.append((300 + i, f"{prose(rng, 2)} charge card: {card(rng)} now"))
+        rows.append((400 + i, f"total was {number(10)} units, ref {number(16)} of w"))
+    return rows
+
+
+def card(rng):
+    body = rng.choices(range(10), k=15)
+    total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(body))
+    return "".join(map(str, body)) + str(-total % 10)
+
+
+def test_pii_second_generation(spark):
+    rng = random.Random(31)
+    rows = planted(rng, 80)
+    for i in range(14):  # in a context of many seeds, and each again in a context without any
+        rows += [(600 + i, f"please dial 0171 555 {30 + i}-9 tonight or"), (620 + i, f"ring bell 0171 555 {30 + i}-9 quickly")]
+    want = {
+        1000: ("phone", "dial (", "030 555-1234", ") tonight"),
+        1001: ("ip", "w1 reach host ", "fe80::1:22:3", " first"),
+        1002: ("email", "write ", "anna@b\u00fccher.example", " soon"),
+        1003: ("card", "w2 charge card: ", "4000 1234 5678 9011", " now"),
+        1004: ("phone", "ring bell ", "(040) 777.1234", " quickly"),  # known by the second generation only
+    }
+    rows += [(i, a + x + b) for i, (_, a, x, b) in want.items()]
+    rows += [(2000, "total was 0171 555 23 46 units"), (2001, "ref 4000123456789012 of w"), (2002, "ring bell quickly"), (2003, "w3 0171 555 99-1 w4")]
+    docs = documents(spark, rows)
+    first, all_ = ({(r["kind"], r["pattern"]) for r in pii.learn(docs, rounds=n).collect()} for n in (0, 4))
+    assert ("phone", "bell _ quickly") in all_ - first and first <= all_
+    got = {r["doc_id"]: {tuple(s) for s in r["spans"]} - {tuple(s) for s in r["base"]} for r in pii.extract(docs, pii.learn(docs)).collect()}
+    for i, (kind, a, x, _) in want.items():
+        assert got[i] == {(len(a), len(a + x), kind)}, (i, x, got[i])
+    assert not any(got[i] for i in got if i not in want and not 600 <= i < 640) and all(got[600 + i] and got[620 + i] for i in range(14))
+
+
+def test_pii_finds_hidden_seeds(spark):
+    """A fifth of the seeds is hidden: contexts alone find at least nine in ten of them again, and of the rest nothing."""
+    docs = documents(spark, planted(random.Random(32), 100))
+    patterns = {(r["pattern"], r["kind"]) for r in pii.learn(docs, hide=5).collect()}
+    hidden, found = 0, 0
+    for r in docs.collect():
+        for ps, instance, kinds, seed, *_ in pii.mentions(r["text"]):
+            if seed and zlib.crc32(instance.encode()) % 5 == 0:
+                hidden += 1
+                found += any((p, seed) in patterns for p in ps)
+            elif seed is None:
+                assert not any((p, k) in patterns for p in ps for k in kinds), r["text"]
+    assert hidden > 40 and found / hidden > 0.9
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

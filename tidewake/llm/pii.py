@@ -22,6 +22,8 @@ HEAD, TAIL, BRACKETS = "\"'.,;: -\u2013\u2014", "\"'.,;:!? -\u2013\u2014", {"(":
 #: No identifier of these kinds has more digits, or is longer.
 MOST_DIGITS, LONGEST = 19, 320
 WORD = re.compile(r"[^\W\d_]+")
+#: A label right before an identifier.
+LABEL = re.compile(r"([^\W\d_]+)[ \t]*([:=#])[\s\"'(\[]*\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -68,14 +70,24 @@ def fits(token: str) -> list[str]:
     return [k for k in KINDS if may[k]]
 
 
-def context(text: str, start: int, end: int) -> str | None:
-    """The lexical pattern around a span: the words to its left and right on its line, ^ and $ at the line's ends; none
-    without any word, or if 40 code points hold neither a word nor the line's end."""
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns around a span, from the 40 code points on each side on its line, ^ and $ being the line's ends:
+    the word on either side; the two words on the left; the two on the right; and a word with a colon, an equals or a
+    number sign right before the span. A side without a word and without the line's end in reach gives no pattern."""
     before, after = text[max(0, start - 40) : start].rpartition("\n"), text[end : end + 40].partition("\n")
-    left, right = WORD.findall(before[2]), WORD.findall(after[0])
-    a = left[-1].lower() if left else "^" if before[1] or start <= 40 else None
-    b = right[0].lower() if right else "$" if after[1] or end + 40 >= len(text) else None
-    return f"{a} _ {b}" if a and b and (left or right) else None
+    left, right = WORD.findall(before[2].lower()), WORD.findall(after[0].lower())
+    left = (["^"] if before[1] or start <= 40 else []) + left
+    right = right + (["$"] if after[1] or end + 40 >= len(text) else [])
+    out = []
+    if left and right and (left[-1] != "^" or right[0] != "$"):
+        out.append(f"{left[-1]} _ {right[0]}")
+    if len(left) > 1:
+        out.append(f"{left[-2]} {left[-1]} _")
+    if len(right) > 1:
+        out.append(f"_ {right[0]} {right[1]}")
+    if m := LABEL.search(before[2]):
+        out.append(f"{m[1].lower()}{m[2]} _")
+    return out
 
 
 def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -125,7 +137,7 @@ def candidates(text: str, free):
 
 
 def mentions(text: str | None):
-    """(pattern, instance, kinds it could be of, kind or None, start, end) of identifiers; kind where a fixed pattern finds it."""
+    """(patterns, instance, kinds it could be of, kind or None, start, end) of identifiers; kind where a fixed pattern finds it."""
     spans = base_spans(text)
     covers: list[tuple[int, int, set]] = []  # spans that overlap, together
     for a, b, kind in spans:
@@ -135,7 +147,7 @@ def mentions(text: str | None):
             covers.append((a, b, {kind}))
     starts = [c[0] for c in covers]
     for a, b, kind in spans:
-        if p := context(text, a, b):
+        if p := contexts(text, a, b):
             found = covers[bisect_right(starts, a) - 1][2]
             yield p, text[a:b], [k for k in KINDS if k == kind or k not in found and k in fits(text[a:b])], kind, a, b
 
@@ -144,47 +156,61 @@ def mentions(text: str | None):
         return i < 0 or covers[i][1] <= a
 
     for a, b in candidates(text or "", free):
-        if (kinds := fits(text[a:b])) and (p := context(text, a, b)):
+        if (kinds := fits(text[a:b])) and (p := contexts(text, a, b)):
             yield p, text[a:b], kinds, None, a, b
 
 
-def learn(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
-    """Patterns (kind, pattern) of high confidence, from a graph of patterns and instances over all of docs.
+def learn(docs: DataFrame, rounds: int = 4, support: int = 3, confidence: float = 0.8, hide: int = 0) -> DataFrame:
+    """Patterns (kind, pattern, confidence) of high confidence, from a graph of patterns and instances over all of docs.
 
-    Instances found by the fixed patterns are seeds of score 1, others that fit a kind start at 0.
-    A pattern has as score for a kind the mean of the scores of its distinct instances that fit it; an
-    instance that isn't a seed takes the best score of its patterns. After `rounds` passes a pattern counts
-    if at least `support` distinct seeds stand in it and its score is `confidence` or more. Edges are
-    summed where they are read; each pass ends in a table in the shared folder.
+    Instances found by the fixed patterns are seeds of score 1, others that fit a kind start at 0. A pattern's confidence
+    for a kind is the sum of the scores of its distinct instances that fit it, divided by their number plus 1; it counts
+    if it is `confidence` or more and at least `support` of these instances are accepted, that is seeds or found by a
+    pattern that counts. An instance that isn't a seed takes the best confidence of its patterns that count. So what a
+    pattern finds supports further patterns: a second generation finds what no pattern of the first did. There are
+    `rounds` passes after the first, none if nothing counts. Edges are summed where they are read; each pass ends in a table in the
+    shared folder. Null and empty texts have no mentions; without rows the result is empty; a long text is read whole,
+    and repeated rows count once.
+
+    hide: if not 0, seeds whose crc32 is a multiple of it play no part, so that what the patterns find of them again
+    measures recall.
     """
     spark = docs.sparkSession
     here = S.scratch(spark, "pii")
 
     def edges(batches):
+        import zlib
+
         import pyarrow as pa
 
         for batch in batches:
             got = set()
             for text in batch.column(0):
-                got.update((p, i, kind, kind == seed) for p, i, kinds, seed, *_ in mentions(text.as_py()) for kind in kinds)
+                for patterns, i, kinds, seed, *_ in mentions(text.as_py()):
+                    if not (hide and seed and zlib.crc32(i.encode("utf-8", "surrogatepass")) % hide == 0):
+                        got.update((p, i, kind, kind == seed) for p in patterns for kind in kinds)
             types = (pa.string(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], t) for j, t in enumerate(types)], ["pattern", "instance", "kind", "seed"])
 
     graph = docs.select("text").mapInArrow(edges, "pattern string, instance string, kind string, seed boolean")
     graph = S.saved(graph.groupBy("pattern", "instance", "kind").agg(F.max("seed").alias("seed")), f"{here}/edges")
-    kinds = graph.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    # Only patterns with enough seeds can ever count, and only their edges carry a score.
-    kinds = S.saved(kinds, f"{here}/kinds")
-    graph = S.saved(graph.join(kinds.drop("seeds"), ["pattern", "kind"]), f"{here}/graph")
-    score = F.when(F.col("seed"), 1.0).otherwise(0.0)
-    instances = graph.groupBy("instance", "kind").agg(F.max(score).alias("score"))
-    for i in range(rounds):
-        patterns = graph.join(instances, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.avg("score").alias("confidence"))
-        seeds = graph.groupBy("instance", "kind").agg(F.max(score).alias("seed_score"))
-        carried = graph.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("carried"))
-        instances = S.saved(seeds.join(carried, ["instance", "kind"]).select("instance", "kind", F.greatest("seed_score", F.when(F.col("carried") >= confidence, F.col("carried")).otherwise(0.0)).alias("score")), f"{here}/instances{i}")
-    patterns = graph.join(instances, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.avg("score").alias("confidence"))
-    return S.saved(patterns.where(F.col("confidence") >= confidence), f"{here}/patterns")
+    # A pattern with fewer instances than `support` can never count: only the others' edges carry a score. Its number of
+    # instances rides along.
+    enough = graph.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= support)
+    graph = S.saved(graph.join(enough, ["pattern", "kind"]), f"{here}/graph")
+    # All but few instances that aren't seeds stay at 0; the table of scores holds the others only.
+    scores = S.saved(graph.where("seed").select("instance", "kind", F.lit(1.0).alias("score")).distinct(), f"{here}/scores0")
+    i = 0
+    while True:
+        sums = graph.join(scores, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("accepted"), F.max("all").alias("all"))
+        rated = sums.withColumn("confidence", F.col("sum") / (F.col("all") + 1)).where((F.col("accepted") >= support) & (F.col("confidence") >= confidence))
+        patterns = S.saved(rated.select("kind", "pattern", "confidence"), f"{here}/patterns{i}")
+        if i == rounds or patterns.isEmpty():
+            return patterns
+        i += 1
+        found = graph.where("not seed").join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
+        seeds = graph.where("seed").select("instance", "kind", F.lit(1.0).alias("score"))
+        scores = S.saved(found.unionByName(seeds).groupBy("instance", "kind").agg(F.max("score").alias("score")), f"{here}/scores{i}")
 
 
 #: Patterns up to this many travel to each worker as one lookup table; beyond, mentions are joined to them.
@@ -194,11 +220,10 @@ LOOKUP = 200_000
 def extract(docs: DataFrame, patterns: DataFrame, lookup: int = LOOKUP) -> DataFrame:
     """docs (doc_id, text) with base, spans: arrays of (start, end, kind) in code points; spans holds all of base
     and what the learned patterns add. Null and empty texts have none; repeated rows stay."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "kind")))
-    known = patterns.groupBy("pattern").agg(F.transform(ranked, lambda x: x["kind"]).alias("kinds"))
+    known = patterns.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("less"), "kind"))).alias("kinds"))
     spark = docs.sparkSession
     rows = known.limit(lookup + 1).collect()
-    table = {r["pattern"]: r["kinds"] for r in rows}
+    table = {r["pattern"]: [tuple(k) for k in r["kinds"]] for r in rows}
     kept = [f for f in docs.schema.fields if f.name not in ("base", "spans")]
     span = "array<struct<start:int,end:int,kind:string>>"
     here = S.scratch(spark, "pii-patterns")
@@ -209,7 +234,7 @@ def extract(docs: DataFrame, patterns: DataFrame, lookup: int = LOOKUP) -> DataF
         def write(key, pdf):
             import pickle
 
-            S.put(f"{here}/{int(key[0])}.pkl", pickle.dumps({p: list(k) for p, k in zip(pdf["pattern"], pdf["kinds"], strict=True)}))
+            S.put(f"{here}/{int(key[0])}.pkl", pickle.dumps({p: [(x["less"], x["kind"]) for x in k] for p, k in zip(pdf["pattern"], pdf["kinds"], strict=True)}))
             return pdf.iloc[:1][["pattern"]]
 
         known.groupBy(F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(files))).applyInPandas(write, "pattern string").collect()
@@ -228,9 +253,10 @@ def extract(docs: DataFrame, patterns: DataFrame, lookup: int = LOOKUP) -> DataF
             except FileNotFoundError:
                 return {}
 
-        def kind_of(p, kinds):
-            known = (table if table is not None else part(zlib.crc32(p.encode()) % 256)).get(p, ())
-            return next((k for k in known if k in kinds), None)
+        def kind_of(patterns, kinds):
+            """The kind of the most confident pattern that has one of kinds."""
+            known = [c for p in patterns for c in (table if table is not None else part(zlib.crc32(p.encode()) % 256)).get(p, ()) if c[1] in kinds]
+            return min(known, default=(0, None))[1]
 
         names = [f.name for f in kept]
         for batch in batches:
