@@ -18,10 +18,6 @@ def clock(ids: Column) -> Column:
     return F.array_sort(F.array_distinct(ids))
 
 
-def dominates(a: Column, b: Column) -> Column:
-    return (F.size(a) > F.size(b)) & (F.size(F.array_except(b, a)) == 0)
-
-
 def live(deleted: Column, expires_us: Column, now_us: Column) -> Column:
     """Not deleted, and no expiry (null) or now strictly before it."""
     return ~deleted & (expires_us.isNull() | (now_us < expires_us))

@@ -1,5 +1,6 @@
 """Folds of a mutation log: seq, op (put, delete, get), key, value, at_us, ttl_us (0: none)."""
 
+import heapq
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame
@@ -25,11 +26,11 @@ def _fold(log: DataFrame, step, capacity: int) -> DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
         held, out = OrderedDict(), []
         for op, key, at, ttl in zip(pdf["op"], pdf["key"], pdf["at_us"], pdf["ttl_us"], strict=True):
-            out.append((step(held, op, key, at, at + ttl if ttl else None, capacity), len(held)))
+            out.append((step(held, op, key, at, at + ttl if ttl else None, capacity), len(held) - (None in held)))
         pdf["outcome"], pdf["size"] = [o for o, _ in out], [n for _, n in out]
-        return pdf[["store", "seq", "outcome", "size"]]
+        return pdf[["store", "seq", "op", "outcome", "size"]]
 
-    return log.groupBy("store").applyInPandas(run, "store long, seq long, outcome string, size long")
+    return log.groupBy("store").applyInPandas(run, "store long, seq long, op string, outcome string, size long")
 
 
 def _lru(held, op, key, at, expires, capacity):
@@ -52,15 +53,23 @@ def _lru(held, op, key, at, expires, capacity):
 
 
 def _durable(held, op, key, at, expires, capacity):
-    for k in [k for k, x in held.items() if x is not None and at >= x]:
-        del held[k]
+    """held also has, under None, a heap of (expiry, key) of what may expire."""
     if op == "delete":
         return "deleted" if held.pop(key, held) is not held else "absent"
     if op == "get":
+        if key in held and held[key] is not None and at >= held[key]:
+            del held[key]
         return "hit" if key in held else "miss"
-    if key not in held and 0 < capacity <= len(held):
+    due = held.setdefault(None, [])
+    while due and due[0][0] <= at:
+        x, k = heapq.heappop(due)
+        if held.get(k) == x:
+            del held[k]
+    if key not in held and 0 < capacity <= len(held) - 1:
         return "rejected"
     held[key] = expires
+    if expires is not None:
+        heapq.heappush(due, (expires, key))
     return "stored"
 
 
@@ -70,5 +79,17 @@ def lru(log: DataFrame, capacity: int) -> DataFrame:
 
 
 def durable(log: DataFrame, capacity: int) -> DataFrame:
-    """A bounded store: expired keys go first, a new key at capacity is rejected, an overwrite never is."""
+    """A bounded store: a put first drops all that has expired, then a new key at capacity is rejected, an overwrite never
+    is; a get drops its own key if that has expired."""
     return _fold(log, _durable, capacity)
+
+
+def point_get(state: DataFrame, key: str, now_us: int) -> DataFrame:
+    """The live entry of one key, or none."""
+    return live_at(state.where(F.col("key") == key), now_us)
+
+
+def responses(trace: DataFrame) -> DataFrame:
+    """A trace (op, outcome) of a store with the status of its API: 507 for a rejected put, 404 for a miss."""
+    status = F.when(F.col("outcome") == "rejected", 507).when(F.col("outcome").isin("miss", "expired"), 404).when(F.col("outcome") == "hit", 200).otherwise(204)
+    return trace.withColumn("status", status)

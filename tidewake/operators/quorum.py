@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake import functions
 from tidewake.operators import causal
 
 
@@ -25,12 +26,13 @@ def decided(replies: DataFrame, need: int) -> DataFrame:
     return replies.select("key").distinct().join(counts, "key", "left").select("key", (F.coalesce("n_ok", F.lit(0)) >= need).alias("reached")).join(good.select("key", "rank"), "key", "left")
 
 
-def read(state: DataFrame, replies: DataFrame, r: int) -> DataFrame:
+def read(state: DataFrame, replies: DataFrame, r: int, now_us: int | None = None) -> DataFrame:
     """(key, status, value, siblings, context): 503 without a quorum, 404 if no merged record is live, 409 if
-    several remain and one is live, else 200."""
+    several remain and one is live, else 200. At now_us, if that is given, records past their expires_us aren't live;
+    they still take part in the merge."""
     quorum = decided(replies, r)
     merged = causal.maximal(quorum.where("reached").join(state, ["key", "rank"]).drop("rank", "reached"))
-    live = ~F.col("deleted")
+    live = ~F.col("deleted") if now_us is None else functions.live(F.col("deleted"), F.col("expires_us"), F.lit(now_us))
     sums = merged.groupBy("key").agg(F.count(F.lit(1)).alias("siblings"), F.sum(live.cast("long")).alias("live"), F.max(F.when(live, F.col("value"))).alias("one"))
     keys = quorum.select("key", "reached").distinct().join(sums, "key", "left").join(causal.context(merged), "key", "left")
     status = F.when(~F.col("reached"), 503).when(F.coalesce("live", F.lit(0)) == 0, 404).when(F.col("siblings") > 1, 409).otherwise(200)

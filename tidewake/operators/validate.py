@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.operators import cluster
+
 #: The longest TTL in milliseconds: the largest signed 64-bit number of nanoseconds.
 MAX_TTL_MS = 9223372036854
 ALLOWED = ("value", "ttl_ms", "context")
@@ -48,7 +50,19 @@ def mutation_status(method: Column, body: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), 200).otherwise(400)
 
 
+def mutation(body: Column) -> Column:
+    """The fields of a valid body: value, ttl_ms, context (sorted ids; null if absent or null, which {} is not)."""
+    r = F.from_json(body, "value string, ttl_ms long, context map<string,long>")
+    return F.struct(r["value"].alias("value"), r["ttl_ms"].alias("ttl_ms"), F.array_sort(F.map_keys(r["context"])).alias("context"))
+
+
 def record_faults(records: DataFrame) -> DataFrame:
-    """Records whose id is empty or not in their clock, tombstones with a value, and clocks with empty ids."""
-    fault = F.when(F.coalesce("id", F.lit("")) == "", "id").when(~F.array_contains("clock", F.col("id")), "clock").when(F.col("deleted") & F.col("value").isNotNull(), "tombstone").when(F.array_contains("clock", ""), "context")
+    """Records with what is wrong with them: an id that is empty or not in the clock, a tombstone with a value or an
+    expiry, a clock with an empty id."""
+    fault = cluster.record_fault(*[F.col(c) for c in ("id", "clock", "value", "deleted", "expires_us")])
     return records.withColumn("fault", fault).where("fault is not null")
+
+
+def unversioned(entries: DataFrame) -> DataFrame:
+    """Entries without siblings: a store that has any isn't one of a replica."""
+    return entries.where(F.col("siblings").isNull() | (F.size("siblings") == 0))

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from tidewake import streaming
-from tidewake.operators import causal, fold, quorum, ring, validate
+from tidewake.operators import causal, cluster, fold, quorum, requests, ring, validate
 from tidewake.plans import views
-from tidewake.sources import wal
+from tidewake.sources import shared, wal
 
 NOW_US = 1705276800000000  # 2024-01-15
 CAPACITY = 20
@@ -86,7 +86,7 @@ def replica_divergence(spark, sf_dir):
 
 
 def lru_trace(spark, sf_dir):
-    return fold.lru(views.ops(events(spark, sf_dir)), CAPACITY)
+    return fold.lru(views.ops(events(spark, sf_dir)), CAPACITY).drop("op")
 
 
 def lru_hit_rate(spark, sf_dir):
@@ -95,17 +95,21 @@ def lru_hit_rate(spark, sf_dir):
     return trace.where(F.col("outcome").isin("hit", "miss", "expired")).groupBy("store").agg(F.count(F.lit(1)).alias("gets"), F.sum(hit).alias("hits"))
 
 
-def durable_capacity(spark, sf_dir):
+def durable_trace(spark, sf_dir):
     return fold.durable(views.ops(events(spark, sf_dir)), CAPACITY)
 
 
+def durable_capacity(spark, sf_dir):
+    return durable_trace(spark, sf_dir).drop("op")
+
+
 def _logged(spark, sf_dir, only="true"):
     """Puts and deletes of the log, numbered without gaps in each store, as log files of some of them; and the log."""
     from pyspark.sql import Window
 
     log = views.ops(events(spark, sf_dir)).where("op <> 'get'")
     log = log.withColumn("seq", F.row_number().over(Window.partitionBy("store").orderBy("seq")).cast("long"))
-    here = streaming.folder(spark, "wal")
+    here = shared.folder(spark, "wal")
     put = F.col("op") == "put"
     log = log.withColumn("value", F.when(put, F.col("value"))).withColumn("expires_us", F.when(put & (F.col("ttl_us") > 0), F.col("at_us") + F.col("ttl_us")))
     wal.append(log.where(only), here)
@@ -147,11 +151,140 @@ def recover_siblings(spark, sf_dir):
     own = own.withColumn("before", F.lag("own").over(Window.partitionBy("u").orderBy("event_id")))
     own = own.select((F.col("u") % 4).alias("store"), "event_id", F.lit("put").alias("op"), "key", F.lit(None).cast("string").alias("value"), F.when(alone, F.array("before", "own")).otherwise(F.array("own")).alias("siblings"))
     own = own.withColumn("seq", F.row_number().over(Window.partitionBy("store").orderBy("event_id")).cast("long"))
-    here = streaming.folder(spark, "wal")
+    here = shared.folder(spark, "wal")
     wal.append(own, here)
     return wal.recover(spark, here, NOW_US).select(_store(), "key", "seq", F.explode("siblings").alias("s")).select("store", "key", "seq", "s.id", F.array_join(F.array_sort(F.map_keys("s.clock")), ",").alias("clock"), "s.value", "s.deleted")
 
 
+def wal_append(spark, sf_dir):
+    """Logs of each store's first ten records, and the rest appended without numbers of their own."""
+    here, log = _logged(spark, sf_dir, "seq <= 10")
+    wal.extend(spark, log.where("seq > 10"), here)
+    return wal.strict(wal.scan(spark, here)).select(_store(), "seq", "op", "key", F.col("value").cast("string").alias("value"))
+
+
+def compacted_state(spark, sf_dir):
+    """Logs of each store's first thirty records, compacted, and the rest appended: what is live at NOW_US."""
+    here, log = _logged(spark, sf_dir, "seq <= 30")
+    new = shared.folder(spark, "compacted")
+    wal.compact(spark, here, new)
+    wal.extend(spark, log.where("seq > 30"), new)
+    return wal.recover(spark, new, NOW_US).select(_store(), "key", "seq", F.col("value").cast("string").alias("value"), "expires_us")
+
+
+def _flat_state(df):
+    return df.withColumn("clock", F.array_join("clock", ","))
+
+
+def read_live(spark, sf_dir):
+    """Reads at NOW_US as the API answers them, with the owner and replicas that head the answer."""
+    out = quorum.read(views.replica_state(events(spark, sf_dir)), views.replies(events(spark, sf_dir)), 2, NOW_US)
+    placed = ring.place(out, ring.points(spark, views.MEMBERS), 3)
+    return placed.select("key", F.col("status").cast("long").alias("status"), "value", "siblings", F.array_join("context", ",").alias("context"), F.col("nodes")[0].alias("owner"), F.array_join("nodes", ",").alias("replicas"))
+
+
+def _answers(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return requests.apply_mutations(views.requests(e), views.replica_state(e), views.replies(e), views.replies(e), 2, 2)
+
+
+def apply_mutations(spark, sf_dir):
+    out = _flat_state(_answers(spark, sf_dir)).withColumn("status", F.col("status").cast("long"))
+    return out.withColumn("stored", F.array_join(F.transform("stored", lambda r: r.cast("string")), ","))
+
+
+def partial_commit(spark, sf_dir):
+    """What failed writes leave on the replicas that took them."""
+    return requests.effects(_answers(spark, sf_dir).where("status = 503")).select("key", F.col("rank").cast("long").alias("rank"), "id", "deleted")
+
+
+def _delivered(spark, sf_dir):
+    """Each record twice, the second time after later ones."""
+    own = views.records(events(spark, sf_dir)).select((F.col("u") % 4).alias("store"), "event_id", "key", "id", "clock")
+    return own.withColumn("seq", F.explode(F.array(F.col("event_id") * 2, F.col("event_id") * 2 + 2001))).drop("event_id")
+
+
+def merge_capacity(spark, sf_dir):
+    return causal.deliveries(_delivered(spark, sf_dir), 100)
+
+
+def standalone_api(spark, sf_dir):
+    trace = fold.responses(durable_trace(spark, sf_dir))
+    return trace.groupBy("store", "op", F.col("status").cast("long").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def record_faults(spark, sf_dir):
+    """Records of which some are made invalid."""
+    own = views.records(events(spark, sf_dir)).withColumn("n", F.col("event_id") % 6)
+    own = own.withColumn("id", F.when(F.col("n") == 0, "").otherwise(F.col("id"))).withColumn("clock", F.when(F.col("n") == 1, F.array(F.lit("other"))).when(F.col("n") == 2, F.concat("clock", F.array(F.lit("")))).otherwise(F.col("clock")))
+    own = own.withColumn("expires_us", F.when(F.col("n") == 3, 1).otherwise(F.col("expires_us")))
+    return validate.record_faults(own).select("event_id", "fault")
+
+
+def ring_positions(spark, sf_dir):
+    return ring.positions(ring.points(spark, views.MEMBERS)).withColumn("position", F.col("position").cast("string"))
+
+
+def placement_preview(spark, sf_dir):
+    request = '{"key":"user:1","nodes":["a","b","c"],"virtual_nodes":8,"replicas":2}'
+    rows = cluster.preview(spark, request)[1]
+    return rows.select("node", "idx", F.col("position").cast("string").alias("position"), F.col("key_position").cast("string").alias("key_position"), F.array_join("replicas", ",").alias("replicas"))
+
+
+def _cluster():
+    return cluster.Cluster("b", {n: f"http://{n}.example:8080" for n in views.MEMBERS})
+
+
+def placement_report(spark, sf_dir):
+    out = cluster.report(spark, views.keys(table(spark, sf_dir, "customer")), _cluster())
+    return out.withColumn("key_position", F.col("key_position").cast("string")).withColumn("replicas", F.array_join("replicas", ","))
+
+
+def cluster_fingerprints(spark, sf_dir):
+    own = _cluster()
+    return spark.range(1).select(F.lit(own.fingerprint()).alias("replicated"), F.lit(own.owner_fingerprint()).alias("single_owner"))
+
+
+def fan_out(spark, sf_dir):
+    asked = views.requests(events(spark, sf_dir)).select("req_id", "key")
+    return cluster.fan_out(asked, ring.points(spark, views.MEMBERS), 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+def owner_routing(spark, sf_dir):
+    n = F.col("req_id") % 7
+    asked = views.requests(events(spark, sf_dir)).select("req_id", "node", "key", (n < 2).alias("internal"), F.when(n == 1, "old").otherwise("new").alias("config"), (n != 3).alias("reachable"), F.lit(204).alias("local_status"))
+    out = cluster.owner_routing(asked, ring.points(spark, views.MEMBERS), "new")
+    return out.select("req_id", "owner", "served_by", F.col("status").cast("long").alias("status"))
+
+
+def replica_calls(spark, sf_dir):
+    """A read or a write of each record at some node, with configurations, records and stores that fail at times."""
+    own = views.records(events(spark, sf_dir)).withColumn("n", F.col("event_id") % 8)
+    one = F.struct("id", "clock", "value", "deleted", "expires_us")
+    other = F.struct("id", "clock", F.lit("x").alias("value"), "deleted", "expires_us")
+    node = F.element_at(F.array(*map(F.lit, views.MEMBERS)), (F.col("event_id") % 5 + 1).cast("int"))
+    sent = F.when(F.col("n") == 1, F.array().cast("array<struct<id:string,clock:array<string>,value:string,deleted:boolean,expires_us:bigint>>")).when(F.col("n") == 2, F.array(one, other)).otherwise(F.array(one, one))
+    placed = ring.place(own.select("key", "event_id", "n", node.alias("node"), sent.alias("records")), ring.points(spark, views.MEMBERS), 3)
+    method = F.when(F.col("event_id") % 2 == 0, "PUT").otherwise("GET")
+    status = cluster.replica_status(F.array_contains("nodes", F.col("node")), F.when(F.col("n") == 3, "old").otherwise("new"), "new", method, F.col("records"), F.col("n") != 4)
+    return placed.select("event_id", "node", status.cast("long").alias("status"))
+
+
+def point_get(spark, sf_dir):
+    return fold.point_get(log_lww(spark, sf_dir), "u7", NOW_US)
+
+
+def key_records(spark, sf_dir):
+    return flat(causal.records_of(views.records(events(spark, sf_dir)), "k:31"))
+
+
+def unversioned_entries(spark, sf_dir):
+    """Entries without siblings, as in a store that was written by the standalone service."""
+    own = views.records(events(spark, sf_dir))
+    entries = own.select("event_id", "key", F.when(F.col("event_id") % 4 > 0, F.array("id")).when(F.col("event_id") % 8 == 0, F.array().cast("array<string>")).alias("siblings"))
+    return validate.unversioned(entries).select("event_id", "key")
+
+
 def _stream(spark, sf_dir):
     path = f"{sf_dir}/event[s].parquet"  # a pattern may name a file as well as a folder
     return spark.readStream.schema(events(spark, sf_dir).schema).parquet(path)
@@ -165,7 +298,7 @@ def stream_lww(spark, sf_dir):
 
 def stream_siblings(spark, sf_dir):
     own = views.records(events(spark, sf_dir)).select("key", "id", "clock", "value", "deleted")
-    here = streaming.folder(spark, "records")
+    here = shared.folder(spark, "records")
     own.repartition(3).write.parquet(here)
     stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(here)
     return flat(streaming.siblings(stream))
@@ -188,7 +321,7 @@ def validate_bodies(spark, sf_dir):
     return rows.select("event_id", "method", validate.mutation_status(F.col("method"), F.col("body")).cast("long").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (ring_owner, ring_owner_load, ring_replicas, ring_movement, log_lww, log_live_at, causal_siblings, causal_context, causal_conflicts, quorum_read, quorum_write, context_free_write, repair_rows, replica_divergence, lru_trace, lru_hit_rate, durable_capacity, wal_scan, recover_state, recover_snapshot, recover_siblings, stream_lww, stream_siblings, validate_mutations, validate_bodies)}
+QUERIES = {f.__name__: f for f in (ring_owner, ring_owner_load, ring_replicas, ring_movement, log_lww, log_live_at, causal_siblings, causal_context, causal_conflicts, quorum_read, quorum_write, context_free_write, repair_rows, replica_divergence, lru_trace, lru_hit_rate, durable_capacity, wal_scan, wal_append, compacted_state, recover_state, recover_snapshot, recover_siblings, read_live, apply_mutations, partial_commit, merge_capacity, standalone_api, record_faults, ring_positions, placement_preview, placement_report, cluster_fingerprints, fan_out, owner_routing, replica_calls, point_get, key_records, unversioned_entries, stream_lww, stream_siblings, validate_mutations, validate_bodies)}
 
 
 def _ring(members: str, name: str) -> str:
@@ -199,6 +332,7 @@ def _ring(members: str, name: str) -> str:
   (SELECT key, kp, coalesce(min(CASE WHEN hi >= kp THEN rn END), 1) AS rn FROM keys CROSS JOIN {name}_arc GROUP BY key, kp) h JOIN {name}_nx n ON n.rn = h.rn)"""
 
 
+_MEMBERS = "'a','b','c','d','e'"
 _KEYS = "WITH keys AS (SELECT 'user:' || c_custkey AS key, substr(sha256('key:user:' || c_custkey), 1, 16) AS kp FROM customer),\n"
 _FIVE = _KEYS + _ring("'a','b','c','d','e'", "five")
 _OPS = """ops AS (SELECT user_id % 4 AS store, event_id + 1 AS seq, CASE WHEN event_type IN ('purchase', 'signup') THEN 'put' WHEN event_type = 'error' THEN 'delete' ELSE 'get' END AS op,
@@ -243,10 +377,29 @@ _LRU = _trace(
     f"CASE WHEN op = 'delete' THEN CASE WHEN len({_OWN}) > 0 THEN 'deleted' ELSE 'absent' END WHEN op = 'put' THEN CASE WHEN len({_OTHERS}) >= {CAPACITY} THEN 'evicted' ELSE 'stored' END WHEN len({_OWN}) = 0 THEN 'miss' WHEN {_STALE} THEN 'expired' ELSE 'hit' END",
 ).replace("{0}", "t.s")
 _FULL = f"(len({_OWN}) = 0 AND len(s) >= {CAPACITY})"
+# A put drops all that has expired, a get its own key only.
 _DURABLE = _trace(
-    f"CASE WHEN op = 'delete' THEN {_OTHERS} WHEN op = 'get' OR {_FULL} THEN s ELSE {_PUT} END",
-    f"CASE WHEN op = 'delete' THEN CASE WHEN len({_OWN}) > 0 THEN 'deleted' ELSE 'absent' END WHEN op = 'get' THEN CASE WHEN len({_OWN}) > 0 THEN 'hit' ELSE 'miss' END WHEN {_FULL} THEN 'rejected' ELSE 'stored' END",
-).replace("{0}", "list_filter(t.s, lambda e: e.x < 0 OR o.at_us < e.x)")
+    f"CASE WHEN op = 'delete' THEN {_OTHERS} WHEN op = 'get' THEN CASE WHEN {_STALE} THEN {_OTHERS} ELSE s END WHEN {_FULL} THEN s ELSE {_PUT} END",
+    f"CASE WHEN op = 'delete' THEN CASE WHEN len({_OWN}) > 0 THEN 'deleted' ELSE 'absent' END WHEN op = 'get' THEN CASE WHEN len({_OWN}) > 0 AND NOT coalesce({_STALE}, false) THEN 'hit' ELSE 'miss' END WHEN {_FULL} THEN 'rejected' ELSE 'stored' END",
+).replace("{0}", "CASE WHEN o.op = 'put' THEN list_filter(t.s, lambda e: e.x < 0 OR o.at_us < e.x) ELSE t.s END")
+_EXPIRING = "CASE WHEN NOT deleted AND event_id % 3 = 0 THEN epoch_us(ts) + event_id % 50 * 3600000000 END AS expires_us"
+_LIVE = (
+    _QUORUM.replace("SELECT event_id, event_id * 31 % 1999 AS u", "SELECT event_id, ts, event_id * 31 % 1999 AS u").replace("AS value, deleted FROM l)", f"AS value, deleted, {_EXPIRING} FROM l)")
+    .replace("held AS (SELECT key, rank, id, clock, value, deleted", "held AS (SELECT key, rank, id, clock, value, deleted, expires_us").replace("got AS (SELECT DISTINCT h.key, id, clock, value, deleted", "got AS (SELECT DISTINCT h.key, id, clock, value, deleted, expires_us")
+    .replace("FILTER (NOT deleted)", f"FILTER (NOT deleted AND (expires_us IS NULL OR {NOW_US} < expires_us))")
+)
+_RING3 = "keys AS (SELECT DISTINCT key, substr(sha256('key:' || key), 1, 16) AS kp FROM {0}),\n" + _ring("'a','b','c','d','e'", "five")
+_ASKED = """asked AS (SELECT event_id AS req_id, ['a','b','c','d','e'][event_id % 5 + 1] AS node, 'k:' || (event_id * 31 % 1999) AS key, event_type = 'click' AS put, event_id % 10 AS n, epoch_us(ts) AS at_us
+  FROM events WHERE event_type IN ('click', 'view'))"""
+# Without a context (n of 0 and 1 give one) the read decides first; the record's id is the node and a hash of the request.
+_ANSWERS = f"""{_QUORUM}, {_ASKED},
+met AS (SELECT q.*, coalesce(a.status, 503) AS first, coalesce(a.siblings, 0) AS siblings, coalesce(w.status, 503) AS written, coalesce(w.stored, '') AS stored,
+    CASE WHEN n = 0 THEN [] WHEN n = 1 THEN ['e' || (req_id - req_id % 3)] ELSE coalesce(string_split(a.context, ','), []) END AS context, node || ':' || substr(sha256(node || '/' || req_id), 1, 32) AS own
+  FROM asked q LEFT JOIN answer a ON a.key = q.key LEFT JOIN written w ON w.key = q.key),
+ruled AS (SELECT *, CASE WHEN n = 4 THEN 400 WHEN n > 1 AND first = 503 THEN 503 WHEN n > 1 AND siblings > 1 THEN 409 END AS refused FROM met),
+answers AS (SELECT req_id, key, CAST(coalesce(refused, written) AS BIGINT) AS status, CASE WHEN refused IS NULL THEN own END AS id,
+    CASE WHEN refused IS NULL THEN array_to_string(list_sort(list_distinct(list_append(context, own))), ',') END AS clock, CASE WHEN refused IS NULL AND put THEN 'v' || req_id END AS value,
+    CASE WHEN refused IS NULL THEN NOT put END AS deleted, CASE WHEN refused IS NULL AND put AND n = 3 THEN at_us + 60000000 END AS expires_us, CASE WHEN refused IS NULL THEN stored END AS stored FROM ruled)"""
 _WAL = f"WITH {_OPS}, log AS (SELECT store, row_number() OVER (PARTITION BY store ORDER BY seq) AS seq, op, key, CASE WHEN op = 'put' THEN value END AS value FROM ops WHERE op <> 'get')\n"
 _SIBLINGS = f"{_RECORDS} SELECT key, id, array_to_string(clock, ',') AS clock, value, deleted FROM r b WHERE {_BEATEN.format('r')}"
 
@@ -281,6 +434,38 @@ SELECT store, key, n AS seq, value, CAST(x AS BIGINT) AS expires_us FROM last WH
 top AS (SELECT * FROM log WHERE k = 1),
 both_of AS (SELECT store, key, seq, event_id FROM top UNION ALL SELECT store, key, seq, p FROM top WHERE len(clock) = 1 AND p IS NOT NULL)
 SELECT b.store, b.key, b.seq, r.id, array_to_string(list_sort(r.clock), ',') AS clock, coalesce(r.value, '') AS value, r.deleted FROM both_of b JOIN r ON r.event_id = b.event_id""",
+    "wal_append": f"{_WAL} SELECT * FROM log",
+    "read_live": f"""{_LIVE}, {_RING3.format("reply")} SELECT a.key, CAST(status AS BIGINT) AS status, CASE WHEN status = 200 THEN one END AS value, siblings, context, p.owner, p.replicas FROM answer a
+JOIN (SELECT key, min(CASE WHEN k = 1 THEN node END) AS owner, string_agg(node, ',' ORDER BY k) AS replicas FROM five WHERE k <= 3 GROUP BY key) p ON p.key = a.key""",
+    "apply_mutations": f"{_ANSWERS} SELECT * FROM answers",
+    "partial_commit": f"{_ANSWERS} SELECT key, CAST(unnest(string_split(stored, ',')) AS BIGINT) AS rank, id, deleted FROM answers WHERE status = 503 AND stored <> ''",
+    "merge_capacity": f"""{_RECORDS}, d AS (SELECT u % 4 AS store, key, id, clock, event_id * 2 + x AS seq FROM r, (SELECT unnest([0, 2001]) AS x)),
+came AS (SELECT store, key, row_number() OVER (PARTITION BY store ORDER BY min(seq), key) AS place FROM d GROUP BY store, key)
+SELECT d.store, d.seq, d.key, CASE WHEN place > 100 THEN 'rejected'
+  WHEN EXISTS (SELECT 1 FROM d o WHERE o.store = d.store AND o.key = d.key AND o.seq < d.seq AND (o.id = d.id OR (len(o.clock) > len(d.clock) AND list_has_all(o.clock, d.clock)))) THEN 'unchanged' ELSE 'stored' END AS outcome
+FROM d JOIN came c ON c.store = d.store AND c.key = d.key""",
+    "standalone_api": f"""SELECT store, op, status, count(*) AS n FROM (SELECT d.store, o.op, CAST(CASE WHEN outcome = 'rejected' THEN 507 WHEN outcome = 'miss' THEN 404 WHEN outcome = 'hit' THEN 200 ELSE 204 END AS BIGINT) AS status
+FROM ({_DURABLE}) d JOIN (SELECT user_id % 4 AS store, event_id + 1 AS seq, CASE WHEN event_type IN ('purchase', 'signup') THEN 'put' WHEN event_type = 'error' THEN 'delete' ELSE 'get' END AS op FROM events) o ON o.store = d.store AND o.seq = d.seq) GROUP BY store, op, status""",
+    "record_faults": f"""{_RECORDS} SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'id' WHEN 1 THEN 'clock' WHEN 2 THEN 'context' ELSE 'tombstone' END AS fault FROM r WHERE event_id % 6 IN (0, 1, 2) OR (event_id % 6 = 3 AND deleted)""",
+    "ring_positions": f"WITH keys AS (SELECT '' AS key, '' AS kp), {_ring(_MEMBERS, 'five')} SELECT node, CAST(idx AS INTEGER) AS idx, CAST(CAST('0x' || pos AS UBIGINT) AS VARCHAR) AS position FROM five_pts",
+    "placement_preview": f"""WITH keys AS (SELECT 'user:1' AS key, substr(sha256('key:user:1'), 1, 16) AS kp), {_ring("'a','b','c'", "three").replace("range(64)", "range(8)")}
+SELECT node, CAST(idx AS INTEGER) AS idx, CAST(CAST('0x' || pos AS UBIGINT) AS VARCHAR) AS position, (SELECT CAST(CAST('0x' || kp AS UBIGINT) AS VARCHAR) FROM keys) AS key_position, (SELECT string_agg(node, ',' ORDER BY k) FROM three WHERE k <= 2) AS replicas FROM three_pts""",
+    "placement_report": f"""{_FIVE} SELECT key, 'replicated' AS mode, 'b' AS receiving_node, min(CASE WHEN k = 1 THEN node END) AS owner, CAST(CAST('0x' || kp AS UBIGINT) AS VARCHAR) AS key_position, string_agg(node, ',' ORDER BY k) AS replicas, 64 AS virtual_nodes, 2 AS read_quorum, 2 AS write_quorum FROM five WHERE k <= 3 GROUP BY key, kp""",
+    "cluster_fingerprints": """WITH n AS (SELECT string_agg('{"id":"' || x || '","address":"http://' || x || '.example:8080"}', ',' ORDER BY x) AS nodes FROM (SELECT unnest(['a','b','c','d','e']) AS x))
+SELECT sha256('{"Protocol":1,"Nodes":[' || nodes || '],"Vnodes":64,"N":3,"R":2,"W":2}') AS replicated, sha256('{"Nodes":[' || nodes || '],"VirtualNodes":64}') AS single_owner FROM n""",
+    "fan_out": f"WITH {_ASKED}, {_RING3.format('asked')} SELECT req_id, q.key, node_of AS node, k AS rank FROM asked q JOIN (SELECT key, node AS node_of, k FROM five WHERE k <= 3) f ON f.key = q.key",
+    "owner_routing": f"""WITH {_ASKED}, {_RING3.format("asked")}, x AS (SELECT req_id, q.node, f.node AS owner, req_id % 7 AS n FROM asked q JOIN five f ON f.key = q.key AND f.k = 1),
+y AS (SELECT *, CASE WHEN n < 2 AND (n = 1 OR node <> owner) THEN 409 WHEN n = 3 AND node <> owner THEN 503 END AS bad FROM x)
+SELECT req_id, owner, CASE WHEN bad IS NULL THEN owner END AS served_by, CAST(coalesce(bad, 204) AS BIGINT) AS status FROM y""",
+    "replica_calls": f"""{_RECORDS}, {_RING3.format("r")}, c AS (SELECT event_id, key, ['a','b','c','d','e'][event_id % 5 + 1] AS node, event_id % 8 AS n, event_id % 2 = 0 AS put FROM r)
+SELECT event_id, c.node, CAST(CASE WHEN f.node IS NULL OR n = 3 THEN 409 WHEN put AND n = 2 THEN 400 WHEN n = 4 THEN 503 WHEN put THEN 204 ELSE 200 END AS BIGINT) AS status
+FROM c LEFT JOIN (SELECT key, node FROM five WHERE k <= 3) f ON f.key = c.key AND f.node = c.node""",
+    "point_get": f"SELECT * FROM ({_LWW}) WHERE key = 'u7' AND (expires_us IS NULL OR {NOW_US} < expires_us)",
+    "key_records": f"SELECT * FROM ({_SIBLINGS}) WHERE key = 'k:31'",
+    "unversioned_entries": f"{_RECORDS} SELECT event_id, key FROM r WHERE event_id % 4 = 0",
+    "compacted_state": f"""WITH {_OPS}, log AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY seq) AS n FROM ops WHERE op <> 'get'),
+last AS (SELECT *, CASE WHEN ttl_us > 0 THEN at_us + ttl_us END AS x, row_number() OVER (PARTITION BY store, key ORDER BY n DESC) AS k FROM log)
+SELECT store, key, n AS seq, value, CAST(x AS BIGINT) AS expires_us FROM last WHERE k = 1 AND op = 'put' AND (x IS NULL OR {NOW_US} < x)""",
     "stream_lww": _LWW,
     "stream_siblings": _SIBLINGS,
     "validate_mutations": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS method, CAST(CASE WHEN event_id % 11 IN (0, 2, 3, 4, 5, 6) OR (event_id % 11 = 1 AND event_type <> 'error') THEN 400 ELSE 200 END AS BIGINT) AS status FROM events",

@@ -225,6 +225,75 @@ def _write(log: DataFrame, folder: str, suffix: str, pack, *more: str) -> None:
     rows.groupBy("store").applyInPandas(write, "store long").count()
 
 
+def tails(spark: SparkSession, path: str) -> DataFrame:
+    """How far the log files below path can be read: path, bytes, valid_bytes (whole frames), error of the first bad frame."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                end, error = 0, None
+                for payload, error, at in frames(bytes(content)):
+                    end = at if payload is not None else end
+                rows.append((path, len(content), end, error))
+            yield pd.DataFrame(rows, columns=["path", "bytes", "valid_bytes", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, bytes long, valid_bytes long, error string")
+
+
+def extend(spark: SparkSession, ops: DataFrame, folder: str) -> None:
+    """Appends ops (store, seq for their order, and a log's other columns) to the stores' logs in folder, numbered on from
+    the last record, or else from the store's snapshot. A frame that a log's end broke off goes; a log with a bad frame
+    fails the job. The log is written anew and then moved into place, so a repeated task does no harm while it is the
+    only one that writes to the store."""
+    number = F.regexp_extract("path", r"store-(\d+)", 1).cast("long")
+    files = spark.read.format("binaryFile").load(folder).where("path like '%.wal' or path like '%.snapshot'").select(number.alias("store"), "path", "content")
+    expires = F.col("expires_us") if "expires_us" in ops.columns else F.lit(None).cast("long")
+    siblings = F.to_json("siblings") if "siblings" in ops.columns else F.lit(None).cast("string")
+    rows = ops.select("store", "seq", "op", "key", F.col("value").cast("binary").alias("value"), expires.cast("string").alias("expires"), siblings.alias("siblings"))
+
+    def write(old, new):
+        import pandas as pd
+
+        if not len(new):
+            return pd.DataFrame({"store": []}, dtype="int64")
+        last, kept = 0, b""
+        for path, content in zip(old["path"], old["content"], strict=True):
+            if path.endswith(".snapshot"):
+                top, *_, error = next(iter(read_snapshot(bytes(content))))
+                if error:
+                    raise ValueError(f"{path}: {error}")
+                last = max(last, top)
+            else:
+                data, end, seq = bytes(content), 0, 0
+                for payload, error, end in frames(data):
+                    if error:
+                        raise ValueError(f"{path}: {error}")
+                    seq = json.loads(payload).get("sequence") or seq + 1
+                kept, last = data[:end], max(last, seq)
+        new = new.sort_values("seq")
+        fields = zip(new["op"], new["key"], new["value"], new["expires"], new["siblings"], strict=True)
+        made = [frame(record(last + i, o, k, v and bytes(v), int(x) if x else None, json.loads(z) if z else None)) for i, (o, k, v, x, z) in enumerate(fields, 1)]
+        _put(folder, f"store-{int(new['store'].iloc[0]):05d}.wal", kept + b"".join(made))
+        return new.iloc[:1][["store"]]
+
+    files.groupBy("store").cogroup(rows.groupBy("store")).applyInPandas(write, "store long").count()
+
+
+def compact(spark: SparkSession, path: str, folder: str, now_us: int | None = None) -> None:
+    """Writes the state of the stores below path as snapshots in folder, each at its store's last sequence, so that
+    empty logs follow them. What has expired at now_us, if that is given, is left out. The input stays as it is."""
+    number = F.regexp_extract("path", r"store-(\d+)", 1).cast("long").alias("store")
+    boundary = _snapshots(spark, path).where("key is null").select(F.regexp_replace("path", r"\.snapshot$", "").alias("path"), F.col("sequence").alias("boundary"))
+    log = strict(scan(spark, path, boundary)).select("path", "seq")
+    top = log.unionByName(boundary.withColumnRenamed("boundary", "seq")).groupBy("path").agg(F.max("seq").alias("boundary")).select(number, "boundary")
+    state = recover(spark, path, now_us).select(number, "seq", "key", "value", "expires_us", "siblings")
+    save_snapshots(top.join(state, "store", "left"), folder)
+
+
 def snapshot(state: dict[str, dict], sequence: int) -> bytes:
     """An envelope of the JSON of a state, records by key, and its CRC-32."""
     inner = json.dumps({"version": 1, "sequence": sequence, "entries": dict(sorted(state.items()))}, separators=(",", ":"))

@@ -1,17 +1,11 @@
 """Incremental versions of the log fold and the causal merge; both equal the batch result."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.operators import causal, fold
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidewake-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+from tidewake.sources import shared
+from tidewake.sources.shared import folder
 
 
 def _drain(stream: DataFrame, step, here: str, mode: str) -> None:
@@ -26,20 +20,25 @@ def last_write(stream: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{here}/state")
 
 
-def siblings(stream: DataFrame) -> DataFrame:
+def siblings(stream: DataFrame, here: str | None = None) -> DataFrame:
     """Maximal records of a stream of records. Dominance is transitive, so the merge of a batch with the maximal
     records so far is the merge of all; no watermark, since order doesn't matter and nothing may be dropped.
-    Each batch writes a new table, so a repeated batch gives the same."""
-    spark, here = stream.sparkSession, folder(stream.sparkSession, "stream-siblings")
-    last = {"at": None}
+
+    here: a shared folder that holds the progress and the state, for a stream that goes on later. Batch i merges with
+    the table that batch i - 1 left, found by its number, so a batch that is repeated or comes after a restart gives the
+    same. Tables older than the last two are removed."""
+    spark = stream.sparkSession
+    here = here or folder(spark, "stream-siblings")
 
     def step(df, i):
-        both = df if last["at"] is None else spark.read.parquet(last["at"]).unionByName(df)
+        both = spark.read.parquet(f"{here}/state{i - 1}").unionByName(df) if i else df
         causal.maximal(both).write.mode("overwrite").parquet(f"{here}/state{i}")
-        last["at"] = f"{here}/state{i}"
+        if i > 1:
+            shared.remove(spark, f"{here}/state{i - 2}")
 
     _drain(stream, step, here, "append")
-    return spark.read.parquet(last["at"]) if last["at"] else spark.createDataFrame([], stream.schema)
+    done = [int(x.removeprefix("state")) for x in shared.names(spark, here) if x.startswith("state")]
+    return spark.read.parquet(f"{here}/state{max(done)}") if done else spark.createDataFrame([], stream.schema)
 
 
 def late_counts(stream: DataFrame, lateness: str, width: str) -> DataFrame:
