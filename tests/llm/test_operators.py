@@ -13,12 +13,13 @@ import pytest
 from tidewake.llm import bin_packing, chat_format, decontaminate, mixing, mtree, scratch, token_records
 
 LETTERS = [chr(c) for c in range(97, 110)]
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, part int"
+CLASHING = ("of", "of_th", "windows", "th", "hits", "_id", "_hash", "_th", "_f", "_s", "f", "s", "row", "id", "at", "y", "items", "N_HIT", "t", "all", "pfp")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, part int, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def documents(spark, rows):
     """With columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, "en", s, 0, -1, "k", -1) for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, 0, -1, "k", -1, *CLASHING) for i, t, s in rows], DOCS)
 
 
 def prose(rng, n):
@@ -198,6 +199,7 @@ def test_decontaminate(spark, rows):
     want = sorted((i is None, i or 0, a, b, c) for i, a, b, c in hit_brute([(i, t) for i, t, _ in docs], items))
     assert mine == want and sum(x[3] > 0 for x in mine) > 20
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got) and got[0]["source"] is not None
+    assert all(r[c] == c for r in got for c in CLASHING if c not in ("items", "N_HIT")) and "N_HIT" not in got[0].asDict()
     none = decontaminate.decontaminate(documents(spark, docs), spark.createDataFrame([], "item_id long, text string"))
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(docs)
     assert decontaminate.decontaminate(documents(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0

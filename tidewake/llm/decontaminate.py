@@ -32,8 +32,9 @@ def grams(w: Column, k: int) -> Column:
 
 
 def minima(h: Column, w: int) -> Column:
-    """The least hash of each window of w hashes."""
-    return F.when(F.size(h) >= w, F.transform(F.sequence(F.lit(1), F.size(h) - (w - 1)), lambda i: F.array_min(F.slice(h, i, w)))).otherwise(F.array().cast("array<bigint>"))
+    """The places of the first least hash of each window of w hashes, each once."""
+    places = F.transform(F.sequence(F.lit(1), F.size(h) - (w - 1)), lambda i: let(F.slice(h, i, w), lambda s: i + F.array_position(s, F.array_min(s)).cast("int") - 1))
+    return F.when(F.size(h) >= w, F.array_distinct(places)).otherwise(F.array().cast("array<int>"))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int, k: int) -> DataFrame:
@@ -52,47 +53,49 @@ def benchmark_windows(benchmark: DataFrame, n: int, k: int) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5) -> DataFrame:
     """Which words of each document (doc_id, text) lie in a window of n benchmark words that occurs in it.
 
-    Fingerprints are the least k-gram hash of each n-word window, that is of n - k + 1 k-grams: a window
-    that both sides hold has the same least hash at the same place in both, so each shared span of n words
-    and more meets in the join. From there it is extended: the window's own words are compared, word by word,
-    around each place of the hash. An item shorter than n but not empty is one window, met by the hash of
-    all its words. Returns every row with n_words, n_hit, items (sorted ids), contaminated; null and empty
-    texts have no words; equal ids with different texts are told apart by the text's hash; repeated rows stay.
+    Fingerprints are the least k-gram hash of each n-word window, that is of n - k + 1 k-grams, and its place: a
+    window that both sides hold has the same least hash first at the same place in both, so each shared span of n
+    words and more meets in the join. From there it is extended: the window's own words are compared, word by word,
+    around the place of the hash - one comparison for each place and window that met. An item shorter than n but not
+    empty is one window, met by the hash of all its words.
+
+    Returns every row with n_words, n_hit, items (sorted ids), contaminated, which replace columns of these names; all
+    others stay. Null and empty texts have no words; an item without words has no windows, one without
+    id is never listed; without items nothing is hit, without documents there are no rows. Equal ids with different texts are told apart by the
+    text's hash; repeated rows and ties each count; very long texts are read whole.
     """
     bench = S.saved(benchmark_windows(benchmark, n, k), f"{S.scratch(docs.sparkSession, 'winnowing')}/windows")
     lens = sorted(r[0] for r in bench.where(F.col("len") < n).select("len").distinct().collect())  # fewer than n
     count = bench.count()
     # A row for each fingerprint, with the windows that it stands for.
-    prints = bench.groupBy("fp").agg(F.collect_list(F.struct("fp", "size", "off", "len", "win", "items")).alias("windows"))
+    prints = bench.groupBy("size", "fp").agg(F.collect_list(F.struct("off", "len", "win", "items")).alias("windows")).select("windows", F.col("size").alias("psize"), F.col("fp").alias("pfp"))
     hint = F.broadcast if count <= BROADCAST_WINDOWS else lambda x: x
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("t"), F.xxhash64("text").alias("th"))
 
     def marks(w: Column) -> Column:
-        found = let(grams(w, k), lambda h: minima(h, n - k + 1))
-        return F.array_distinct(F.flatten(F.array(found, *[grams(w, m) for m in lens])))
-
-    hashed = F.xxhash64("text")
-    exploded = docs.select("doc_id", hashed.alias("th"), F.explode(let(words(F.col("text")), marks)).alias("fp"))
-    met = exploded.join(hint(prints), "fp").groupBy("doc_id", "th").agg(F.flatten(F.collect_set("windows")).alias("windows"))
-
-    def starts(w: Column, windows: Column) -> Column:
-        """(start, len, items) of each window that occurs."""
-
-        def of(size: int):
-            # For each window of this k-gram size, the places of its hash, then the words around them.
-            return lambda h: F.flatten(F.transform(F.filter(windows, lambda x: x["size"] == size), lambda x: F.transform(
-                F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i - x["off"] >= 1) & (F.get(h, i - 1) == x["fp"]) & (F.array_join(F.slice(w, F.greatest(i - x["off"], F.lit(1)), x["len"]), " ") == x["win"])),
-                lambda i: F.struct((i - x["off"]).alias("start"), (i - x["off"] + x["len"]).alias("end"), x["items"].alias("items")),
-            )))
-
-        return F.flatten(F.array(*[let(grams(w, size), of(size)) for size in dict.fromkeys([k, *lens])]))
-
-    right = met.select(F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "windows")
-    fits = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))
-    w = words(F.col("text"))
+        """(k-gram size, hash, place) of the fingerprints of an array of words."""
+        at = lambda h, size: lambda p: F.struct(F.lit(size).alias("size"), F.get(h, p - 1).alias("fp"), p.alias("at"))
+        found = let(grams(w, k), lambda h: F.transform(minima(h, n - k + 1), at(h, k)))
+        each = lambda m: F.transform(grams(w, m), lambda h, i: F.struct(F.lit(m).alias("size"), h.alias("fp"), (i + 1).alias("at")))
+        return F.flatten(F.array(found, *map(each, lens)))
+
+    exploded = held.select("id", "th", F.explode(let(words(F.col("t")), marks)).alias("m")).select("id", "th", "m.*")
+    met = exploded.join(hint(prints), (F.col("fp") == F.col("pfp")) & (F.col("size") == F.col("psize")))
+    # Repeated rows make the same meetings: one of each is enough.
+    met = met.groupBy("id", "th").agg(F.collect_set(F.struct("at", "windows")).alias("all")).select(F.col("id").alias("of"), F.col("th").alias("of_th"), "all")
+
+    def starts(w: Column) -> Column:
+        """(start, end, items) of each window that occurs."""
+        begun = lambda m: lambda x: F.struct((m["at"] - x["off"]).alias("start"), (m["at"] - x["off"] + x["len"]).alias("end"), x["items"].alias("items"))
+        occurs = lambda m: lambda x: (m["at"] > x["off"]) & (F.array_join(F.slice(w, F.greatest(m["at"] - x["off"], F.lit(1)), x["len"]), " ") == x["win"])
+        return F.flatten(F.transform("all", lambda m: F.transform(F.filter(m["windows"], occurs(m)), begun(m))))
+
+    fits = F.col("id").eqNullSafe(F.col("of")) & F.col("th").eqNullSafe(F.col("of_th"))
     none = F.array().cast("array<struct<start:int,end:int,items:array<bigint>>>")
-    hits = F.when(F.col("windows").isNull(), none).otherwise(F.sort_array(let(w, lambda w: starts(w, F.col("windows")))))
-    both = docs.withColumn("th", hashed).join(right, fits, "left").withColumn("n_words", F.size(w).cast("long")).withColumn("hits", hits)
+    hits = F.when(F.col("all").isNull(), none).otherwise(F.sort_array(let(words(F.col("t")), starts)))
+    both = held.join(met, fits, "left").select("row", F.size(words(F.col("t"))).cast("long").alias("n_words"), hits.alias("hits"))
     swept = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n")))
     items = F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))
-    out = both.withColumn("n_hit", swept["n"].cast("long")).withColumn("items", items)
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("of", "of_th", "th", "windows", "hits")
+    added = {"n_words": F.col("n_words"), "n_hit": F.col("n_hit"), "items": items, "contaminated": F.col("n_hit") > 0}
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in added]
+    return both.withColumn("n_hit", swept["n"].cast("long")).select(*kept, *[c.alias(x) for x, c in added.items()])
