@@ -43,20 +43,21 @@ FEATURES = ("log_chars", "log_words", "word_length", "distinct_words", "distinct
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """docs plus a struct `_f` of FEATURES."""
-    s = statistics(F.col("text"))
-    raw = docs.withColumn("_s", F.struct(*[c.alias(k) for k, c in s.items()]))
-    n, d, ln, ld = F.col("_s.word_stats.n"), F.col("_s.word_stats.distinct"), F.col("_s.line_stats.n"), F.col("_s.line_stats.distinct")
+    """`row`, a struct of all columns of docs, and `f`, a struct of FEATURES: no name of theirs can clash with one of docs."""
+    s = statistics(F.col("row.text"))
+    raw = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    raw = raw.select("row", F.struct(*[c.alias(k) for k, c in s.items()]).alias("s"))
+    n, d, ln, ld = F.col("s.word_stats.n"), F.col("s.word_stats.distinct"), F.col("s.line_stats.n"), F.col("s.line_stats.distinct")
     one = F.lit(1.0)
     made = {
-        "log_chars": F.log1p(F.col("_s.chars")),
+        "log_chars": F.log1p(F.col("s.chars")),
         "log_words": F.log1p(n),
-        "word_length": F.col("_s.chars") / F.greatest(n, one),
+        "word_length": F.col("s.chars") / F.greatest(n, one),
         "distinct_words": d / F.greatest(n, one),
         "distinct_lines": ld / F.greatest(ln, one),
         "line_words": F.log1p(n / F.greatest(ln, one)),
     }
-    return raw.withColumn("_f", F.struct(*[made.get(k, F.col(f"_s.{k}")).alias(k) for k in FEATURES])).drop("_s")
+    return raw.select("row", F.struct(*[made.get(k, F.col(f"s.{k}")).alias(k) for k in FEATURES]).alias("f"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,12 +144,12 @@ def fit(x, y, trees: int = 40, depth: int = 3, penalty: float = 2e-3, steps: int
 
 
 def compiled(model: dict) -> Column:
-    """The model as one column over `_f`: the logistic of the sum of weights of the rules that hold."""
+    """The model as one column over `f`: the logistic of the sum of weights of the rules that hold."""
     total = F.lit(model["bias"])
     for rule, weight in zip(model["rules"], model["weights"], strict=True):
         holds = None
         for f, t, low in rule:
-            c = F.col(f"_f.{FEATURES[f]}")
+            c = F.col(f"f.{FEATURES[f]}")
             c = c <= F.lit(t) if low else c > F.lit(t)
             holds = c if holds is None else holds & c
         total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
@@ -156,19 +157,24 @@ def compiled(model: dict) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Learns labels.quality from the labelled rows that held_out leaves: at most `rows`, those of least hash
-    of the id. Labels, language, source and id are no features. Rows without a label or id don't count;
-    a document with several labels counts with each. With none, or one class, the model is a constant."""
+    """Learns labels.quality from the labelled rows that held_out leaves: at most `rows` labels, those of least hash of
+    the id, and of the documents that have them at most `rows`, ordered likewise; of equal hashes those of smaller id,
+    statistics and label. Labels, language, source and id are no features. Rows without a label or id don't count; a
+    document with several labels counts with each, a repeated one each time. With none, or one class, the model is a
+    constant."""
     import numpy as np
 
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y"))
-    known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("of"), F.col("quality").alias("y"))
+    known = known.orderBy(F.xxhash64("of"), "of", "y").limit(rows)
     # At most `rows` ids of 8 bytes: bounded by the parameter.
-    got = with_features(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))).select("_y", *[F.col(f"_f.{k}").alias(k) for k in FEATURES], "doc_id")
-    frame = got.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "_y").limit(2 * rows).toPandas()
-    return fit(frame[list(FEATURES)].to_numpy(float).reshape(len(frame), len(FEATURES)), (frame["_y"] >= 1).to_numpy(float))
+    got = with_features(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of")))
+    got = got.select(F.col("row.doc_id").alias("doc_id"), F.col("row.y").alias("y"), *[F.col(f"f.{k}").alias(k) for k in FEATURES])
+    frame = got.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "y").limit(rows).toPandas()
+    return fit(frame[list(FEATURES)].to_numpy(float).reshape(len(frame), len(FEATURES)), (frame["y"] >= 1).to_numpy(float))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with score (0 to 1, every row, null and empty texts too); extra columns stay, an own `score` is replaced."""
-    return with_features(docs.drop("score")).withColumn("score", compiled(model)).drop("_f")
+    """docs with score (0 to 1, every row; null and empty texts too, and very long ones whole). Other columns stay
+    whatever their names, an own `score` is replaced; repeated rows and ties are scored alike; without rows there are none."""
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "score"]
+    return with_features(docs).select(*kept, compiled(model).alias("score"))
