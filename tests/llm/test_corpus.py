@@ -10,12 +10,13 @@ import pytest
 
 from tidewake.llm import backoff_lm, components, jaccard_join, mixing, pii, rule_quality, scratch
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, component long, score string, id int"
+CLASHING = ("of", "_id", "_hash", "_th", "_f", "_s", "f", "s", "row", "hash", "of_hash", "y", "text_hash", "n", "k", "root", "label", "base", "spans")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, component long, score string, id int, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def documents(spark, rows):
     """With columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, "en", "s", 0, -1, "x", -1) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", "s", 0, -1, "x", -1, *CLASHING) for i, t in rows], DOCS)
 
 
 def words(text):
@@ -207,7 +208,8 @@ def test_rule_quality(spark):
     assert 0 < len(model["rules"]) < 60
     got = rule_quality.score(df, model)
     out = got.collect()
-    assert len(out) == len(docs) and all(0 <= r["score"] <= 1 for r in out) and "lang" in got.columns
+    assert len(out) == len(docs) and all(0 <= r["score"] <= 1 for r in out) and set(got.columns) == set(df.columns)
+    assert all(r[c] == c for r in out for c in CLASHING)
     y = dict((i, y) for (i, _), y in made)
     held = [r for r in out if r["doc_id"] in y and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert sum((r["score"] >= 0.5) == bool(y[r["doc_id"]]) for r in held) / len(held) > 0.97
@@ -353,7 +355,7 @@ def test_pii_finds_hidden_seeds(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
+    from tidewake.llm import pipeline as corpus_pipeline
 
     rng = random.Random(10)
     made = list(quality_rows(rng, 400))

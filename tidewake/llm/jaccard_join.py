@@ -762,19 +762,21 @@ def _answer(rows: DataFrame, labels: DataFrame, here: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each component: the least id, then the least hash of the text. Rows without words
-    all stay, but of rows equal in id and text one stays."""
-    joined = S.saved(join(docs, k, num, den), f"{S.scratch(docs.sparkSession, 'kept')}/joined")
+    """docs with one row of each component: the least id (null first), then the least hash of the text. Rows without words
+    all stay, but of rows equal in id and text one stays, whichever it is. Columns stay whatever their names; without
+    rows there are none."""
+    here = S.scratch(docs.sparkSession, "kept")
+    joined = S.saved(join(docs, k, num, den), f"{here}/joined")
     kept = joined.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*").distinct()
     rows = joined.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"])
-    drop = S.saved(rows.join(kept, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), f"{S.scratch(docs.sparkSession, 'kept')}/drop")
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & rows["text_hash"].eqNullSafe(kept["text_hash"])
+    other = lambda df: df.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"))
+    drop = S.saved(other(rows.join(kept, same, "left_anti")), f"{here}/drop")
     hint = F.broadcast if drop.count() <= BROADCAST_ROWS else lambda x: x
-    hashed = docs.withColumn("_th", F.xxhash64("text"))
-    out = hashed.join(hint(drop), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")), "left_anti")
-    twins = rows.where("n > 1").join(kept, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    if twins.isEmpty():
-        return out.drop("_th")
-    is_twin = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash"))
-    single = out.join(twins, is_twin, "left_anti")
-    return single.unionByName(out.join(twins, is_twin, "left_semi").dropDuplicates(["doc_id", "_th"])).drop("_th")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    match = F.col("id").eqNullSafe(F.col("of")) & F.col("hash").eqNullSafe(F.col("of_hash"))
+    out = held.join(hint(drop), match, "left_anti")
+    twins = other(rows.where("n > 1").join(kept, same, "left_semi"))
+    if not twins.isEmpty():
+        out = out.join(twins, match, "left_anti").unionByName(out.join(twins, match, "left_semi").dropDuplicates(["id", "hash"]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
