@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from . import scratch as S
 
 #: Tokens of a block: its automaton and its documents are what one task holds.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 #: Buckets of hashed n-grams at least and at most, and bytes of text for each: a bucket's counts from all blocks are what
 #: one counting task holds.
-LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 512, 1 << 24, 1 << 22
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 2048, 1 << 25, 1 << 21
 #: Bits by which n-grams of one bucket are told apart.
-REST = 40
+REST = 38
 #: Smoothing mass of each order from 2 up; their number sets the order.
 MASSES = (100.0, 3.0)
 TRAIN = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2"
@@ -268,7 +268,7 @@ def score(docs: DataFrame, train: str = TRAIN, masses: tuple = MASSES, block_tok
        n-grams, in its order. No task and no driver holds the corpus' n-grams; they grow with the corpus, and
        the buckets with the bytes of its texts.
     3. A task for each block builds the automaton over its n-grams and reads its documents through it.
-    Words meet by 64-bit hashes, n-grams by a bucket and 40 bits in it; buckets are of like size whatever the input.
+    Words meet by 64-bit hashes, n-grams by a bucket and 38 bits in it; buckets are of like size whatever the input.
     Null and empty texts hold the end alone; a very long text is a block of its own. Repeated rows all count. Without
     rows the result is empty; without training rows every token has p = 1. Other columns play no part.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
