@@ -90,9 +90,9 @@ def op10_mtree(spark, sf_dir):
 
 
 def pipeline(spark, sf_dir):
-    import corpus_pipeline
+    from . import pipeline as stages
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_records, op2_backoff_lm, op3_jaccard_join, op4_rule_quality, op5_pii, op6_chat_format, op7_bin_packing, op8_decontaminate, op9_mixing, op10_mtree, pipeline)}
