@@ -1,60 +1,5 @@
-"""From raw documents to shards: each stage works on all rows that the one before kept.
+"""From raw documents to shards. The stages and what they do are in tidewake.llm.pipeline."""
 
-A stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read as the next
-stage's docs. All but the last return the columns of documents.
-"""
+from tidewake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidewake.llm import bin_packing, decontaminate, jaccard_join, mixing, rule_quality, scratch
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the rule ensemble, fitted on this corpus' labels, gives 0.5 or more; null and empty texts are scored like any."""
-    model = rule_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rule_quality.score(docs, model).where("score >= 0.5").select(COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of five-word shingle sets linked at 0.8."""
-    return jaccard_join.keep_one(docs.select(COLUMNS), 5, 80, 100)
-
-
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item, or a shorter item whole."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs.select(COLUMNS), items).where(~F.col("contaminated")).select(COLUMNS)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents as the mix of sources says."""
-    mixed = mixing.mix(docs.select(COLUMNS), carry=True).where("copies > 0")
-    return mixed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
-
-
-def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sixteen shards of near-equal bytes; equal texts share one."""
-    return bin_packing.pack(docs.select(COLUMNS), 16).select("doc_id", "size", "text_crc32", "shard", "slot")
-
-
-STAGES = [
-    ("quality_classifier", quality),
-    ("ngram_jaccard_join", near_duplicates),
-    ("benchmark_decontamination", benchmark),
-    ("source_mixing", mixture),
-    ("sharding", shards),
-]
-
-#: The fitted classifier and the hashes of the mix aren't expressible in SQL; tests hold stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    here = scratch.scratch(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.saved(stage(spark, docs, sf_dir), f"{here}/{i}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
