@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewake.llm import bin_packing, chat_format, decontaminate, mixing, mtree, scratch, token_records
 
@@ -106,8 +107,25 @@ def test_packing(spark, rows):
     assert set(sizes) == set(range(4)) and max(sizes.values()) < 1.02 * min(sizes.values())
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert all(len(x) == 1 for x in groups.values())
-    hot = bin_packing.pack(documents(spark, [(i, "hot" * 9, "a") for i in range(900)] + more[:50]), 4).groupBy("shard").sum("size").collect()
-    assert max(r[1] for r in hot) < 1.25 * min(r[1] for r in hot) and len(hot) == 4
+    # Packing in several levels, by few rows a bucket, is as even and keeps groups whole.
+    levels = bin_packing.pack(documents(spark, rows + more), 4, parcels=40, bucket_rows=30).collect()
+    assert Counter(r["doc_id"] for r in levels) == Counter(i for i, *_ in rows + more) and len({(r["grouped"], r["shard"]) for r in levels}) == len(groups)
+    filled = Counter()
+    for r in levels:
+        filled[r["shard"]] += r["size"]
+    assert len(filled) == 4 and max(filled.values()) < 1.1 * min(filled.values())
+    # A group over a mean shard stays whole unless it may be divided; many equal rows are as good as any.
+    many = documents(spark, [(i % 3, "hot" * 9, "a") for i in range(900)] + [(7, None, "a")] * 90 + more[:50])
+    whole, parts = bin_packing.pack(many, 4).collect(), bin_packing.pack(many, 4, divide=True).collect()
+    assert len({r["shard"] for r in whole if r["size"] == 28}) == 1 and len({r["shard"] for r in whole if r["grouped"] == "null"}) == 1
+    evened = Counter()
+    for r in parts:
+        evened[r["shard"]] += r["size"]
+    assert len(whole) == len(parts) == 1040 and max(evened.values()) < 1.3 * min(evened.values()) and len(evened) == 4
+    for result in (whole, parts):
+        for shard in range(4):
+            own = sorted(r["slot"] for r in result if r["shard"] == shard)
+            assert own == list(range(len(own)))
     assert bin_packing.pack(documents(spark, []), 4).count() == 0
 
 
@@ -144,6 +162,33 @@ def test_mixing(spark, rows):
     assert mixing.mix(documents(spark, [(1, None, None)])).collect()[0]["taken"] == 0
 
 
+def test_mixing_takes_the_least_keys(spark, rows):
+    """Which documents the exponential keys choose, by sorting all of them."""
+    df = documents(spark, rows)
+    hashed = F.xxhash64(F.lit(17), "doc_id", "text")
+    keyed = df.select("doc_id", "text", "source", hashed.alias("h")).collect()
+    got = defaultdict(list)
+    for r in mixing.mix(df).collect():
+        got[r["source"]].append(r)
+    unsigned = lambda h: (h & (1 << 64) - 1) >> 11
+    weigh = lambda t, n: 4.0 if 4 <= (m := len(t or "") / max(n, 1)) <= 9 else 2.0 if 3 <= m <= 14 else 1.0
+    for source, own in got.items():
+        target, size = own[0]["target"], own[0]["source_size"]
+        epochs = min(int(target // size), 2) if size else 0
+        rest, below, want = target - epochs * size, 0, []
+        docs = []
+        for r in keyed:
+            if r["source"] == source:
+                n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+                docs.append((-math.log((unsigned(r["h"]) + 0.5) / (1 << 53)) / weigh(r["text"], n), r["h"], r["doc_id"], n))
+        for _, _, doc_id, n in sorted(docs, key=lambda d: (d[0], d[1], d[2] or 0)):
+            below += n
+            want.append((str(doc_id), n, epochs + int(rest > 0 and below - n / 2 <= rest)))
+        mine = sorted((str(r["doc_id"]), r["size"], r["copies"]) for r in own)
+        # An empty document is as good on either side of the cut.
+        assert [x for x in mine if x[1]] == [x for x in sorted(want) if x[1]], source
+
+
 def test_chats(spark):
     odd = ["", None, "\\", "\\b", "### user: x </turn>\n", "#\\h<\\l", "é\n</turn>", "a:b", "\\### Assistant: </turn> ok"]
     rng, turns = random.Random(2), []
