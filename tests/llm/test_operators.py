@@ -250,17 +250,51 @@ def test_decontaminate(spark, rows):
     assert decontaminate.decontaminate(documents(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-def test_top_k(spark):
+def top_brute(rows, k=20, every=20):
+    """Every pair of rows: all that the rows of one query id find is ranked together."""
+    fine = [(i, [math.floor(64 * float(np.float32(v))) for v in x]) for i, x, *_ in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    scored = defaultdict(list)
+    for q, x in fine:
+        if q % every == 0:
+            scored[q] += [(-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in fine if i != q and len(y) == len(x)]
+    return sorted((q, n + 1, i, -s) for q, found in scored.items() for n, (s, i) in enumerate(sorted(found)[:k]))
+
+
+@pytest.mark.parametrize(("tree", "asked"), [(150, 2048), (40, 5)])
+def test_top_k(spark, tree, asked):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 8)).astype("float32") / 3
     rows = [(i, [float(v) for v in x[i % 300]], 0) for i in range(400)] + [(1000 + i, [float(v) for v in x[7]], 0) for i in range(90)]
-    rows += [(2000, None, 0), (2020, [1.0, None] + [0.0] * 6, 0), (2040, [float("nan")] * 8, 0), (2060, [float("inf")] + [0.0] * 7, 0), (2080, [0.5, 0.25], 0), (2081, [0.25, 0.5], 0), (2100, [], 0), (None, [0.0] * 8, 0), rows[3]]
-    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, key int"), k=20, tree=150).collect()
-    fine = {r[0]: [math.floor(64 * float(np.float32(v))) for v in r[1]] for r in rows if r[0] is not None and r[1] is not None and all(v is not None and math.isfinite(v) for v in r[1])}
-    want = []
-    for q in fine:
-        if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))
-            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:20])]
-    assert sorted(map(tuple, got)) == sorted(want)
-    assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    rows += [(2000, None, 0), (2020, [1.0, None] + [0.0] * 6, 0), (2040, [float("nan")] * 8, 0), (2060, [float("inf")] + [0.0] * 7, 0), (2080, [0.5, 0.25], 0), (2081, [0.25, 0.5], 0), (2100, [], 0), (2101, [], 0), (None, [0.0] * 8, 0)]
+    # Repeated rows, repeated queries, ids with several vectors, and one with more of them than results are asked for.
+    rows += [rows[3]] * 3 + [rows[20], rows[40], rows[40], (60, rows[7][1], 0), (61, rows[9][1], 0)] + [(80, [float(v) for v in x[i]], 0) for i in range(30)]
+    schema = "vec_id long, embedding array<float>, key int"
+    got = mtree.top_k(spark.createDataFrame(rows, schema), k=20, tree=tree, asked=asked).collect()
+    assert sorted(map(tuple, got)) == top_brute(rows)
+    assert mtree.top_k(spark.createDataFrame([], schema)).count() == 0 and mtree.top_k(spark.createDataFrame([(1, [0.5], 0)], schema)).count() == 0
+
+
+def test_top_k_is_what_its_sql_says(spark, tmp_path):
+    import duckdb
+
+    from tidewake.llm import queries
+
+    rows = [(20, [0.5, 0.25]), (20, [0.5, 0.25]), (1, [0.25, 0.5]), (1, [0.25, 0.5]), (2, [1.0, 0.0]), (40, [0.0, 1.0]), (40, [1.0, 1.0]), (3, [0.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.sql(queries.ORACLE_SQL["op10_mtree"]).fetchall()
+    assert sorted(map(tuple, queries.op10_mtree(spark, str(tmp_path)).collect())) == sorted(want) == top_brute(rows)
+
+
+def test_mtree_bounds_lose_nothing():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 1, (300, 4)) for c in rng.normal(0, 60, (12, 4))]).round().astype(int)
+    tree = mtree.MTree(x, np.arange(len(x)), page=16)
+    for q in x[::97]:
+        want = sorted(((int(v), i) for i, v in enumerate(x @ q)), key=lambda t: (-t[0], t[1]))[:9]
+        assert [t[:2] for t in tree.search(q, 9)] == want
+        halves = [mtree.MTree(x[h::2], np.arange(len(x))[h::2], page=16) for h in (0, 1)]
+        assert [t[:2] for t in halves[1].search(q, 9, None, halves[0].search(q, 9))] == want
+    leaves = sum(p["child"] is None for p in tree.pages)
+    assert tree.opened < 0.5 * leaves * len(x[::97])  # clusters let pages be left out
