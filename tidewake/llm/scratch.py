@@ -1,5 +1,6 @@
 """Tables and files in the folder that driver and executors share."""
 
+import contextlib
 import os
 import re
 import tempfile
@@ -42,6 +43,23 @@ def put(uri: str, data: bytes) -> None:
     files.move(own, path)
 
 
+@contextlib.contextmanager
+def writer(uri: str):
+    """A stream to a file that appears whole when it ends, as with put."""
+    files, path = filesystem(uri)
+    files.create_dir(os.path.dirname(path), recursive=True)
+    own = f"{path}.{uuid.uuid4().hex}.tmp"
+    with files.open_output_stream(own) as out:
+        yield out
+    files.move(own, path)
+
+
+def get_range(uri: str, at: int, size: int) -> bytes:
+    files, path = filesystem(uri)
+    with files.open_input_file(path) as file:
+        return file.read_at(size, at)
+
+
 def get(uri: str) -> bytes:
     files, path = filesystem(uri)
     with files.open_input_stream(path) as file:

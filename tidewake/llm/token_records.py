@@ -4,8 +4,9 @@ A part file is MAGIC, then records; a record is
     u32 length of the payload | u32 masked crc32 of those 4 bytes | payload | u32 masked crc32 of the payload
 and a payload
     u8 1 if the id is null | u8 bytes of a token id | i64 id | token ids,
-all little-endian. Beside it an index file has i64 id, u64 offset of the record and u64 tokens for each
-record, for reads in any order. Parts are in ascending order of the id, and so are the records of a part.
+all little-endian. Beside it an index file has i64 id, u64 offset of the record, u64 tokens and u8 1 if the id is null
+for each record, for reads in any order. A part is one or several files; parts, their files and records are in ascending
+order of the id.
 """
 
 import struct
@@ -19,6 +20,9 @@ from . import scratch as S
 
 MAGIC = b"TWREC01\n"
 MASK_DELTA = 0xA282EAD8
+ENTRY = "<qQQB"
+#: Bytes after which a task goes on in another file.
+ROLL_BYTES = 64 << 20
 
 
 def masked(data: bytes) -> int:
@@ -56,23 +60,35 @@ def records(data: bytes) -> Iterator[tuple]:
         at = end
 
 
-def lookup(folder: str, part: int, row: int) -> tuple:
-    """One record of a part by its place in the index."""
-    doc_id, at, _ = struct.unpack_from("<qQQ", S.get(f"{folder}/part-{part:06d}.idx"), 24 * row)
-    return record(S.get(f"{folder}/part-{part:06d}.rec"), at)[:2]
+def lookup(folder: str, part: int, roll: int, row: int) -> tuple:
+    """One record of a file by its place in the index; only its entry and the record itself are read."""
+    _, at, _, _ = struct.unpack(ENTRY, S.get_range(f"{name(folder, part, roll)}.idx", struct.calcsize(ENTRY) * row, struct.calcsize(ENTRY)))
+    file = f"{name(folder, part, roll)}.rec"
+    size, check = struct.unpack("<II", head := S.get_range(file, at, 8))
+    if masked(head[:4]) != check:
+        raise ValueError(f"length checksum differs at {at}")
+    return record(S.get_range(file, at, 12 + size), 0)[:2]
+
 
+def name(folder: str, part: int, roll: int) -> str:
+    return f"{folder}/part-{part:06d}-{roll:05d}"
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, parts: int | None = None) -> list[int]:
+
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, parts: int | None = None, roll_bytes: int = ROLL_BYTES) -> list[tuple]:
     """Encodes every whole text of docs (doc_id, text; null: empty), adds end_id and writes record files.
 
-    Rows are dealt to parts by ranges of doc_id and sorted there; each task writes its own part, so the
-    work is one range shuffle. A repeated id keeps all its rows, in order of text; null ids come first.
-    Returns the tokens of each part. A token id takes 2 bytes where the vocabulary allows it.
+    Rows are dealt to parts by ranges of doc_id and sorted there; each task writes its own part, a record at a time, to
+    files of roll_bytes or one record more, so the work is one range shuffle and no task holds a part. Null ids come
+    first. A repeated id keeps all its rows, in order of the text's hash; where it or one row has many, these are
+    dealt to several parts. A very long text is one record, of less than 4 GiB. Without rows there are no files. Columns
+    other than doc_id and text play no part. Returns (part, roll, tokens) of each file, in order. A token id takes 2
+    bytes where the vocabulary allows it.
     """
     spark = docs.sparkSession
     parts = parts or S.shuffles(spark)
 
     def encode(batches):
+        import contextlib
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,50 +100,66 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         t = Tokenizer.from_file(tokenizer)
         t.encode_special_tokens = True  # their strings are ordinary text
         width = 2 if max(t.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        part, out, index, at, total = TaskContext.get().partitionId(), [MAGIC], [], len(MAGIC), 0
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low in range(0, len(ids), 128):
-                for doc_id, e in zip(ids[low : low + 128], t.encode_batch_fast([x or "" for x in texts[low : low + 128].to_pylist()], add_special_tokens=False), strict=True):
-                    tokens = np.array([*e.ids, end_id], f"<u{width}")
-                    out.append(frame(struct.pack("<BBq", doc_id is None, width, doc_id or 0) + tokens.tobytes()))
-                    index.append(struct.pack("<qQQ", doc_id or 0, at, len(tokens)))
-                    at += len(out[-1])
-                    total += len(tokens)
-        if index:
-            S.put(f"{folder}/part-{part:06d}.rec", b"".join(out))
-            S.put(f"{folder}/part-{part:06d}.idx", b"".join(index))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.int64())], ["part", "tokens"])
-
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = dealt.mapInArrow(encode, "part int, tokens long").collect()  # a row for each part
-    totals = [0] * (max((r["part"] for r in made), default=-1) + 1)
-    for r in made:
-        totals[r["part"]] = r["tokens"]
-    return totals
-
-
-def read_records(spark, folder: str, totals: list[int]) -> DataFrame:
-    """What the record files hold, a row for each: doc_id, start, n_tokens, ids_crc32 (over 4-byte ids), part, byte_offset."""
-    starts = [sum(totals[:0])]
-    for n in totals:
-        starts.append(starts[-1] + n)
+
+        def rows():
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                for low in range(0, len(ids), 128):
+                    for doc_id, e in zip(ids[low : low + 128], t.encode_batch_fast([x or "" for x in texts[low : low + 128].to_pylist()], add_special_tokens=False), strict=True):
+                        yield doc_id, np.array([*e.ids, end_id], f"<u{width}")
+
+        part, roll, left = TaskContext.get().partitionId(), 0, rows()
+        now = next(left, None)
+        while now is not None:
+            at, total = len(MAGIC), 0
+            with contextlib.ExitStack() as files:
+                out, index = (files.enter_context(S.writer(f"{name(folder, part, roll)}.{x}")) for x in ("rec", "idx"))
+                out.write(MAGIC)
+                while now is not None and (at < roll_bytes or not total):
+                    doc_id, tokens = now
+                    data = frame(struct.pack("<BBq", doc_id is None, width, doc_id or 0) + tokens.tobytes())
+                    out.write(data)
+                    index.write(struct.pack(ENTRY, doc_id or 0, at, len(tokens), doc_id is None))
+                    at, total = at + len(data), total + len(tokens)
+                    now = next(left, None)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([roll], pa.int32()), pa.array([total], pa.int64())], ["part", "roll", "tokens"])
+            roll += 1
+
+    order = ("doc_id", "th", "salt")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.spark_partition_id().alias("salt"))
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    made = dealt.mapInArrow(encode, "part int, roll int, tokens long").collect()  # a row for each file
+    return sorted((r["part"], r["roll"], r["tokens"]) for r in made)
+
+
+def read_records(spark, folder: str, files: list[tuple]) -> DataFrame:
+    """What the record files hold, a row for each: doc_id, start, n_tokens, ids_crc32 (over 4-byte ids), part, roll, byte_offset."""
 
     def read(batches):
         import numpy as np
         import pyarrow as pa
 
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")] + [("part", pa.int32()), ("roll", pa.int32()), ("byte_offset", pa.int64())])
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for batch in batches:
-            for part in batch.column(0).to_pylist():
-                if not totals[part]:
-                    continue
-                rows, start = [], starts[part]
-                for doc_id, ids, at in records(S.get(f"{folder}/part-{part:06d}.rec")):
-                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype(np.dtype("<u4")).tobytes()), part, at))
+            for part, roll, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = []
+                for doc_id, ids, at in records(S.get(f"{name(folder, part, roll)}.rec")):
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype(np.dtype("<u4")).tobytes()), part, roll, at))
                     start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.int32(), pa.int64()], strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "byte_offset"])
-
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, byte_offset long"
-    if not totals:
-        return spark.createDataFrame([], schema)
-    return spark.range(0, len(totals), 1, len(totals)).select(F.col("id")).mapInArrow(read, schema)
+                    if len(rows) == 10_000:
+                        yield batch_of(rows)
+                        rows = []
+                if rows:
+                    yield batch_of(rows)
+
+    starts, rows = 0, []
+    for part, roll, tokens in files:
+        rows.append((part, roll, starts))
+        starts += tokens
+    given = spark.createDataFrame(rows, "part int, roll int, start long")
+    given = given.repartition(max(1, len(rows)), "part", "roll") if rows else given
+    return given.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, roll int, byte_offset long")
