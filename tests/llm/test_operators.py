@@ -42,27 +42,42 @@ def test_token_records(spark, rows):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     folder = scratch.scratch(spark, "t")
-    totals = token_records.write_records(documents(spark, rows), folder, path)
-    got = sorted(token_records.read_records(spark, folder, totals).collect(), key=lambda r: r["start"])
+    docs = documents(spark, rows)
+    files = token_records.write_records(docs, folder, path, roll_bytes=3000)
+    assert len(files) > 5
+    got = sorted(token_records.read_records(spark, folder, files).collect(), key=lambda r: r["start"])
     t = Tokenizer.from_file(path)
     start = 0
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
     assert len(got) == len(order)
     for r, (doc_id, text, _) in zip(got, order, strict=True):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         crc = zlib.crc32(np.array(ids, "<u4").tobytes())
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), crc)
         start += len(ids)
-    part = max(r["part"] for r in got)
-    of_part = [r for r in got if r["part"] == part]
-    doc_id, ids = token_records.lookup(folder, part, 1)
-    assert (doc_id, len(ids)) == (of_part[1]["doc_id"], of_part[1]["n_tokens"])
-    data = bytearray(scratch.get(f"{folder}/part-{part:06d}.rec"))
+    part, roll, _ = files[-1]
+    own = [r for r in got if (r["part"], r["roll"]) == (part, roll)]
+    for place in (0, len(own) - 1):
+        doc_id, ids = token_records.lookup(folder, part, roll, place)
+        assert (doc_id, len(ids)) == (own[place]["doc_id"], own[place]["n_tokens"])
+    assert token_records.lookup(folder, *files[0][:2], 0)[0] is None  # a null id isn't the id 0
+    data = bytearray(scratch.get(f"{token_records.name(folder, part, roll)}.rec"))
     data[30] ^= 1
     with pytest.raises(ValueError):
         list(token_records.records(bytes(data)))
 
 
+def test_token_records_of_one_row_often(spark):
+    path = __import__("public_tokenizers").path("byte_bpe_50k.json")
+    docs = documents(spark, [(5, "one row many times", "a")] * 900 + [(None, "x", "a")] * 300 + [(6, "y", "a")]).repartition(8)
+    folder = scratch.scratch(spark, "t")
+    files = token_records.write_records(docs, folder, path, parts=4)
+    assert len({f[0] for f in files}) > 2  # several parts share the row
+    got = sorted(token_records.read_records(spark, folder, files).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 300 + [5] * 900 + [6] and got[-1]["start"] == sum(r["n_tokens"] for r in got[:-1])
+
+
 def test_token_records_of_none(spark):
     folder = scratch.scratch(spark, "t")
     assert token_records.read_records(spark, folder, token_records.write_records(documents(spark, []), folder, __import__("public_tokenizers").path("byte_bpe_50k.json"))).count() == 0
@@ -208,9 +223,32 @@ def test_chats(spark):
         loss = "".join(x for *_, r, x in own if r == "assistant")
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert not got[50]["valid"] and got[51]["valid"]
+    accepted = re.compile("(system )?user assistant( user assistant)*")
+    assert all(got[c]["valid"] == (accepted.fullmatch(" ".join(r for *_, r, _ in own)) is not None) for c, own in by.items())
     assert chat_format.digests(chat_format.read_chats(chat_format.format_chats(df.limit(0)))).count() == 0
 
 
+def test_chats_of_other_templates(spark):
+    """Marks with characters of regular expressions, and a machine whose flags depend on its state."""
+    steps = {("start", "user"): ("one", False), ("one", "tool"): ("two", True), ("two", "tool"): ("two", False), ("two", "assistant"): ("end", True)}
+    template = {"open": "<|", "role_end": "|>(", "close": ").*[$]", "loss": ("assistant",), "start": "start", "accept": ("end",), "steps": steps}
+    odd = ["<|user|>(x).*[$]", "\\", "\\b\\h", "a|b", "(", ").*[$]", ".*", "é\u2028", ""]
+    turns = [(1, 0, "user", odd[0]), (1, 1, "tool", odd[1]), (1, 2, "tool", odd[2]), (1, 3, "assistant", odd[3])]
+    turns += [(2, i, "assistant" if i % 2 else "us|er", odd[i % 9]) for i in range(40)]
+    turns += [(3, i, "user" if i % 2 == 0 else "assistant", f"turn {i} " + "z" * (i % 50)) for i in range(3000)]
+    turns += [(4, 0, "user", "w" * 300_000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat_format.format_chats(df, template)
+    got = {r["conv_id"]: r for r in chat_format.read_chats(made, template).collect()}
+    for c in (1, 2, 3, 4):
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(r, x) for i, _, r, x in turns if i == c]
+    assert got[1]["valid"] and not got[2]["valid"] and not got[3]["valid"]
+    assert got[1]["loss_text"] == odd[1] + odd[3] and got[2]["loss_text"] == "".join(x for i, _, r, x in turns if i == 2 and r == "assistant")
+    for r in made.collect():
+        ends = [s["start"] + s["length"] for s in r["segments"]]
+        assert [s["start"] for s in r["segments"]] == [0, *ends[:-1]] and ends[-1] == len(r["formatted"])
+
+
 def hit_brute(texts, items, n=10):
     tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = defaultdict(set)

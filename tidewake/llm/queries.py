@@ -18,8 +18,8 @@ def op1_token_records(spark, sf_dir):
     from . import scratch, token_records
 
     folder = scratch.scratch(spark, "records")
-    totals = token_records.write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_records.read_records(spark, folder, totals)
+    files = token_records.write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_records.read_records(spark, folder, files)
 
 
 def op2_backoff_lm(spark, sf_dir):
@@ -56,7 +56,7 @@ def op6_chat_format(spark, sf_dir):
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     formatted = chat_format.format_chats(turns.unionByName(more))
     return chat_format.digests(chat_format.read_chats(scratch.saved(formatted, scratch.scratch(spark, "chats"))))
 
