@@ -119,28 +119,37 @@ def fit(x, y, trees: int = 40, depth: int = 3, penalty: float = 2e-3, steps: int
     for _ in range(trees):
         part = rng.choice(len(y), max(20, min(len(y) // 2, 4000)), replace=False)
         rules += grow(x[part], y[part], rng, int(rng.integers(1, depth + 1)), max(5, len(part) // 100))
-    rules = list(dict.fromkeys(rules))
-    a = np.stack([fires(r, x) for r in rules], 1).astype(float)
-    _, keep = np.unique(a, axis=1, return_index=True)  # rules that fire alike are one
-    keep = [i for i in sorted(keep) if 0 < a[:, i].mean() < 1]
-    rules, a = [rules[i] for i in keep], a[:, keep]
-    if not rules:
+    # A column of bits for each rule; of rules that fire alike the first stays, those that always or never fire go.
+    kept: dict[bytes, tuple] = {}
+    for rule in dict.fromkeys(rules):
+        on = fires(rule, x)
+        if 0 < on.sum() < len(y):
+            kept.setdefault(np.packbits(on).tobytes(), rule)
+    if not kept:
         return model
-    scale = a.std(0)
-    a = (a - a.mean(0)) / scale
+    rules = list(kept.values())
+    a = np.empty((len(y), len(rules)), np.float32)
+    for i, bits in enumerate(kept):
+        a[:, i] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(y))
+    del kept
+    # Columns are centred and scaled where they are multiplied, not in copies.
+    mean = a.mean(0, dtype=np.float64)
+    scale = np.sqrt(mean * (1 - mean))
+    times = lambda v: (a @ (v / scale).astype(np.float32)).astype(np.float64) - float(mean @ (v / scale))
+    turned = lambda v: ((a.T @ v.astype(np.float32)).astype(np.float64) - mean * v.sum()) / scale
+    gram = ((a.T @ a).astype(np.float64) / len(y) - np.outer(mean, mean)) / np.outer(scale, scale)
     w, z, b, t = np.zeros(len(rules)), np.zeros(len(rules)), model["bias"], 1.0
-    step = 4 / max(np.linalg.norm(a, 2) ** 2 / len(y), 1e-9)
+    step = 4 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-9)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ z + b, -30, 30)))
-        new = z - step * (a.T @ (p - y)) / len(y)
+        p = 1 / (1 + np.exp(-np.clip(times(z) + b, -30, 30)))
+        new = z - step * turned(p - y) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         b -= float((p - y).mean())
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / after * (new - w), new, after
     on = np.nonzero(np.abs(w) > 1e-6)[0]
     raw = w[on] / scale[on]
-    x_mean = np.array([fires(rules[i], x).mean() for i in on])
-    return {"rules": [rules[i] for i in on], "weights": [float(v) for v in raw], "bias": float(b - (raw * x_mean).sum())}
+    return {"rules": [rules[i] for i in on], "weights": [float(v) for v in raw], "bias": float(b - raw @ mean[on])}
 
 
 def compiled(model: dict) -> Column:
