@@ -422,3 +422,29 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"]: r["copies"] for r in mixing.mix(spark.read.parquet(f"{tmp_path}/out2")).collect() if r["copies"]} == Counter(r["doc_id"] for r in seen[3])
     assert Counter(r["doc_id"] for r in seen[3]) == Counter(r["doc_id"] for r in seen[4])
     assert {r["shard"] for r in seen[4]} == set(range(16)) and corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+@pytest.mark.parametrize("case", ["no documents", "no labels, no benchmark", "nothing kept"])
+def test_pipeline_of_little(spark, tmp_path, case):
+    from tidewake.llm import pipeline
+
+    rng = random.Random(41)
+    docs = [] if case == "no documents" else [(i, prose(rng, 30), "en", None if i % 3 else "a", 0) for i in range(30)] + [(99, None, None, None, None), (98, "", "", "", 0)]
+    labels = [(i, 0, 0) for i in range(30)] if case == "nothing kept" else [(i, i % 2, 0) for i in range(30)] if case == "no documents" else []
+    items = [(1, docs[0][1])] if case == "nothing kept" else [(1, "some words of an item")] if case == "no documents" else []
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    # Without labels every document scores 0.5 and stays.
+    assert {r["doc_id"] for r in got} >= ({r[0] for r in docs[:30]} if case.startswith("no labels") else set()) and (got or not case.startswith("no labels"))
+    assert got == [] or case.startswith("no labels")
+
+
+def test_scratch_asks_for_a_shared_folder():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch(Session, "x")

@@ -35,7 +35,9 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, m
     keys fall into buckets, bucket sums are added up, and only the bucket in which the rest ends is ordered.
     A document enters whole, the last if its middle lies within the rest: the error is half a document.
     Returns doc_id, size, source, source_size, target, copies, taken; carry: and `row`, all columns of docs. Null text: size 0, taken 0. Repeated
-    rows count each; equal ones are interchangeable. Without rows the result is empty.
+    rows count each; equal ones are interchangeable, and ties go by hash, then id. Very long texts are counted whole, and
+    one longer than its source's rest may be left out. Columns of docs come back in `row` only, so none can clash. Without
+    rows the result is empty. The windows over all sources have a row for each source, not for each document.
     """
     spark = docs.sparkSession
     here = S.scratch(spark, "mixing")
