@@ -232,7 +232,7 @@ def test_rules_fire_as_compiled(spark):
     model = rule_quality.fit(x, y, trees=8, penalty=0.02)
     assert 2 < len(model["rules"])
     table = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, " + ", ".join(f"{f} double" for f in rule_quality.FEATURES))
-    got = {r[0]: r[1] for r in table.select("i", spark_struct(table).alias("f")).select("i", rule_quality.compiled(model)).collect()}
+    got = {r[0]: r[1] for r in table.select("i", spark_struct(table).alias("f")).select("i", rule_quality.compiled(model, table_column("f"))).collect()}
     total = model["bias"] + sum(w * rule_quality.fires(r, x) for r, w in zip(model["rules"], model["weights"], strict=True))
     assert np.allclose([got[i] for i in range(600)], 1 / (1 + np.exp(-total)), atol=1e-9)
     # The same objective by plain proximal steps over the rules with weight: theirs can't be bettered by much.
@@ -254,6 +254,12 @@ def test_rules_fire_as_compiled(spark):
     assert abs(loss(own, bias) - loss(w, b)) < 2e-3
 
 
+def table_column(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
+
+
 def spark_struct(table):
     from pyspark.sql import functions as F
 

@@ -15,8 +15,7 @@ def let(value: Column, body) -> Column:
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text; null counts as empty. Built-in functions only: the JVM compiles them."""
-    text = F.coalesce(text, F.lit(""))
+    """Statistics of a whole text that isn't null. Built-in functions only."""
     chars = F.char_length(text).cast("double")
     share = lambda n: n / F.greatest(chars, F.lit(1.0))
     without = lambda classes: chars - F.char_length(F.regexp_replace(text, classes, ""))
@@ -43,21 +42,25 @@ FEATURES = ("log_chars", "log_words", "word_length", "distinct_words", "distinct
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """`row`, a struct of all columns of docs, and `f`, a struct of FEATURES: no name of theirs can clash with one of docs."""
-    s = statistics(F.col("row.text"))
-    raw = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    raw = raw.select("row", F.struct(*[c.alias(k) for k, c in s.items()]).alias("s"))
-    n, d, ln, ld = F.col("s.word_stats.n"), F.col("s.word_stats.distinct"), F.col("s.line_stats.n"), F.col("s.line_stats.distinct")
-    one = F.lit(1.0)
-    made = {
-        "log_chars": F.log1p(F.col("s.chars")),
-        "log_words": F.log1p(n),
-        "word_length": F.col("s.chars") / F.greatest(n, one),
-        "distinct_words": d / F.greatest(n, one),
-        "distinct_lines": ld / F.greatest(ln, one),
-        "line_words": F.log1p(n / F.greatest(ln, one)),
-    }
-    return raw.select("row", F.struct(*[made.get(k, F.col(f"s.{k}")).alias(k) for k in FEATURES]).alias("f"))
+    """`row`, a struct of all columns of docs, and `f`, a struct of FEATURES: no name of theirs can clash with one of docs.
+    Each statistic is computed once in one expression, wherever the optimizer moves it."""
+
+    def made(s: Column) -> Column:
+        n, d, ln, ld = s["word_stats"]["n"], s["word_stats"]["distinct"], s["line_stats"]["n"], s["line_stats"]["distinct"]
+        one = F.lit(1.0)
+        own = {
+            "log_chars": F.log1p(s["chars"]),
+            "log_words": F.log1p(n),
+            "word_length": s["chars"] / F.greatest(n, one),
+            "distinct_words": d / F.greatest(n, one),
+            "distinct_lines": ld / F.greatest(ln, one),
+            "line_words": F.log1p(n / F.greatest(ln, one)),
+        }
+        return F.struct(*[own.get(k, s[k]).alias(k) for k in FEATURES])
+
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return row.select("row", let(F.struct(*[c.alias(k) for k, c in statistics(text).items()]), made).alias("f"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,13 +155,13 @@ def fit(x, y, trees: int = 40, depth: int = 3, penalty: float = 2e-3, steps: int
     return {"rules": [rules[i] for i in on], "weights": [float(v) for v in raw], "bias": float(b - raw @ mean[on])}
 
 
-def compiled(model: dict) -> Column:
-    """The model as one column over `f`: the logistic of the sum of weights of the rules that hold."""
+def compiled(model: dict, f: Column) -> Column:
+    """The model as one column over the features f: the logistic of the sum of weights of the rules that hold."""
     total = F.lit(model["bias"])
     for rule, weight in zip(model["rules"], model["weights"], strict=True):
         holds = None
-        for f, t, low in rule:
-            c = F.col(f"f.{FEATURES[f]}")
+        for i, t, low in rule:
+            c = f[FEATURES[i]]
             c = c <= F.lit(t) if low else c > F.lit(t)
             holds = c if holds is None else holds & c
         total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
@@ -186,4 +189,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs with score (0 to 1, every row; null and empty texts too, and very long ones whole). Other columns stay
     whatever their names, an own `score` is replaced; repeated rows and ties are scored alike; without rows there are none."""
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "score"]
-    return with_features(docs).select(*kept, compiled(model).alias("score"))
+    return with_features(docs).select(*kept, let(F.col("f"), lambda f: compiled(model, f)).alias("score"))
