@@ -11,7 +11,7 @@ from .backoff_lm import _UPPER, mixed
 from .components import components
 
 #: Words of a block, which is what one task holds; of a slice, which is hashed at once; rows of a page of a shared key's members.
-BLOCK_WORDS, SLICE, PAGE_ROWS = 1_000_000, 60_000, 4096
+BLOCK_WORDS, SLICE, PAGE_ROWS = 1_000_000, 60_000, 16_384
 #: Buckets of keys at least, and bytes of text for each: keys take about as much.
 LEAST_BUCKETS, BUCKET_BYTES = 512, 1 << 23
 #: Bits of a block's number in its task, and of a row's in its block.
@@ -408,6 +408,11 @@ def read_blocks(batches, limit: int) -> Iterator[tuple]:
         yield block.pop()
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Broadcast up to a count of rows, which hold two longs at most; beyond, the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def numbered(partition: int, seq: int) -> int:
     """A block's number; it stays below 2^39, so that it and a row's number make one long."""
     if seq >= 1 << SEQ_BITS or partition >= 1 << 39 - SEQ_BITS:
@@ -428,8 +433,8 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
        which reads their sets from its file: first as digests, which tell equal sets, and 16 bits of each
        element, which bound the overlap from above; then whole, for pairs still open. Components of blocks so join.
     3. Keys whose members still lie in several components get the rest: the blocks list all their members,
-       and those outside the largest component are looked up in R-trees over the count vectors, page by
-       page; summed coordinate minima bound the overlap, and every pair across components and blocks that
+       and those outside the largest component are looked up in R-trees over the count vectors, part by part and
+       page by page; summed coordinate minima bound the overlap, and every pair across components and blocks that
        survives is checked. So no link is lost.
     Elements are 64-bit hashes. Null and empty texts have an empty set and no link. A text with fewer than k
     words is one shingle. Repeated rows all stay. docs is read twice if it isn't a table: it must be the same
@@ -686,10 +691,6 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         may = S.saved(met_by(pairs, False), f"{here}/{name}-may")
         return S.saved(may.where("sure").unionByName(met_by(may.where("not sure"), True)).drop("sure"), f"{here}/{name}-links")
 
-    def few(rows):
-        """Broadcast up to a count of rows, which hold two longs at most; beyond, the join shuffles."""
-        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
     def named(rows, roots, labels):
         """rows with l<root>, the label of each root column so far."""
         for c in roots:
@@ -722,11 +723,14 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     # Two members are a pair that is checked already; keys with the same members ask the same.
     same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).where("n > 2")
     members = S.saved(members.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), f"{here}/asked")
-    largest = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
-    largest = S.saved(largest.withColumn("pages", F.ceil(F.col("all") / PAGE_ROWS)), f"{here}/largest")
+    largest = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    largest = S.saved(largest.select("key", "main", F.ceil(F.col("all") / PAGE_ROWS).alias("pages"), F.ceil((F.col("all") - F.col("most")) / PAGE_ROWS).alias("sides")), f"{here}/largest")
     points = members.join(vectors_of(members, "members"), "id").join(largest, "key")
-    page = points.withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages"))).select("key", "page", "id", "root", "label", "n", "v", F.lit(False).alias("asks"))
-    outside = points.where("label <> main").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).select("key", "page", "id", "root", "label", "n", "v", F.lit(True).alias("asks"))
+    # Each page of a key's members meets each part of those outside its largest component, so no task gets more than both.
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["key", "page", "side", "id", "root", "label", "n", "v"]
+    page = points.where("sides > 0").withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages"))).withColumn("side", each("sides")).select(*columns, F.lit(False).alias("asks"))
+    outside = points.where("label <> main").withColumn("side", F.pmod(F.xxhash64("id", F.lit(5)), F.col("sides"))).withColumn("page", each("pages")).select(*columns, F.lit(True).alias("asks"))
 
     def search(table):
         import numpy as np
@@ -745,7 +749,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
                     out.add((ids[x], ids[y], roots[x], roots[y]))
         return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("a", "b", "ra", "rb"))})
 
-    rest = page.unionByName(outside).groupBy("key", "page").applyInArrow(lambda t: search(t.select(["id", "root", "label", "n", "v", "asks"])), "a long, b long, ra long, rb long").distinct()
+    rest = page.unionByName(outside).groupBy("key", "page", "side").applyInArrow(lambda t: search(t.select(["id", "root", "label", "n", "v", "asks"])), "a long, b long, ra long, rb long").distinct()
     rest = S.saved(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{here}/rest")
     if not rest.isEmpty():
         more = linked(rest, "rest")
@@ -757,8 +761,10 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
 def _answer(rows: DataFrame, labels: DataFrame, here: str) -> DataFrame:
     of = labels.select(F.col("id").alias("of"), "label")
     rows = S.saved(rows.join(of, F.col("root") == F.col("of"), "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "root").alias("component")), f"{here}/labelled")
-    least = rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "of")
-    return rows.join(least, (F.col("component") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "text_hash")
+    # A row alone has its own id: only components of several rows are looked up.
+    least = rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("component").alias("of"), "component_id")
+    least = S.saved(least, f"{here}/least")
+    return rows.join(few(least), (F.col("component") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "text_hash")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
