@@ -304,6 +304,12 @@ def stream_siblings(spark, sf_dir):
     return flat(streaming.siblings(stream))
 
 
+def stream_window_counts(spark, sf_dir):
+    """Operations a day, of the days that lie two hours before the last event and more."""
+    stream = _stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("op"))
+    return streaming.window_counts(stream, "2 hours", "1 day").select(F.unix_micros("start").alias("start_us"), "op", "n")
+
+
 def validate_mutations(spark, sf_dir):
     n = F.col("event_id") % 11
     body = F.when(n == 0, "not json").when(n == 1, "{}").when(n == 2, '{"value":"x","ttl_ms":-1}').when(n == 3, '{"value":"x","other":1}').when(n == 4, '{"value":"x","context":{"fake":2}}').when(n == 5, '{"value":"x","context":{"":1}}').when(n == 6, '{"value":"x","ttl_ms":9223372036855}').when(n == 7, '{"value":"x","context":{}}').otherwise(F.concat(F.lit('{"value":"'), F.col("event_id").cast("string"), F.lit('","ttl_ms":5,"context":{"a:1":1}}')))
@@ -321,7 +327,7 @@ def validate_bodies(spark, sf_dir):
     return rows.select("event_id", "method", validate.mutation_status(F.col("method"), F.col("body")).cast("long").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (ring_owner, ring_owner_load, ring_replicas, ring_movement, log_lww, log_live_at, causal_siblings, causal_context, causal_conflicts, quorum_read, quorum_write, context_free_write, repair_rows, replica_divergence, lru_trace, lru_hit_rate, durable_capacity, wal_scan, wal_append, compacted_state, recover_state, recover_snapshot, recover_siblings, read_live, apply_mutations, partial_commit, merge_capacity, standalone_api, record_faults, ring_positions, placement_preview, placement_report, cluster_fingerprints, fan_out, owner_routing, replica_calls, point_get, key_records, unversioned_entries, stream_lww, stream_siblings, validate_mutations, validate_bodies)}
+QUERIES = {f.__name__: f for f in (ring_owner, ring_owner_load, ring_replicas, ring_movement, log_lww, log_live_at, causal_siblings, causal_context, causal_conflicts, quorum_read, quorum_write, context_free_write, repair_rows, replica_divergence, lru_trace, lru_hit_rate, durable_capacity, wal_scan, wal_append, compacted_state, recover_state, recover_snapshot, recover_siblings, read_live, apply_mutations, partial_commit, merge_capacity, standalone_api, record_faults, ring_positions, placement_preview, placement_report, cluster_fingerprints, fan_out, owner_routing, replica_calls, point_get, key_records, unversioned_entries, stream_lww, stream_siblings, stream_window_counts, validate_mutations, validate_bodies)}
 
 
 def _ring(members: str, name: str) -> str:
@@ -468,6 +474,8 @@ last AS (SELECT *, CASE WHEN ttl_us > 0 THEN at_us + ttl_us END AS x, row_number
 SELECT store, key, n AS seq, value, CAST(x AS BIGINT) AS expires_us FROM last WHERE k = 1 AND op = 'put' AND (x IS NULL OR {NOW_US} < x)""",
     "stream_lww": _LWW,
     "stream_siblings": _SIBLINGS,
+    "stream_window_counts": """SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type AS op, count(*) AS n FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""",
     "validate_mutations": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS method, CAST(CASE WHEN event_id % 11 IN (0, 2, 3, 4, 5, 6) OR (event_id % 11 = 1 AND event_type <> 'error') THEN 400 ELSE 200 END AS BIGINT) AS status FROM events",
     "validate_bodies": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS method, CAST(CASE WHEN event_id % 8 = 7 THEN 200 ELSE 400 END AS BIGINT) AS status FROM events",
 }

@@ -41,6 +41,11 @@ def siblings(stream: DataFrame, here: str | None = None) -> DataFrame:
     return spark.read.parquet(f"{here}/state{max(done)}") if done else spark.createDataFrame([], stream.schema)
 
 
-def late_counts(stream: DataFrame, lateness: str, width: str) -> DataFrame:
-    """Events per window, with a watermark. Spark extra."""
-    return stream.withWatermark("at", lateness).groupBy(F.window("at", width), "op").count()
+def window_counts(stream: DataFrame, lateness: str, width: str) -> DataFrame:
+    """Events (at, op) per window of event time that the watermark has closed: start, op, n. Later ones are too late.
+    Spark extra."""
+    spark, here = stream.sparkSession, folder(stream.sparkSession, "stream-windows")
+    counts = stream.withWatermark("at", lateness).groupBy(F.window("at", width).alias("w"), "op").agg(F.count(F.lit(1)).alias("n")).select("w.start", "op", "n")
+    # A batch that is repeated writes its own folder again.
+    _drain(counts, lambda df, i: df.write.mode("overwrite").parquet(f"{here}/out/batch={i}"), here, "append")
+    return spark.read.schema("start timestamp, op string, n long, batch int").parquet(f"{here}/out").drop("batch")
