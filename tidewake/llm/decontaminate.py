@@ -70,7 +70,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
     # A row for each fingerprint, with the windows that it stands for.
     prints = bench.groupBy("size", "fp").agg(F.collect_list(F.struct("off", "len", "win", "items")).alias("windows")).select("windows", F.col("size").alias("psize"), F.col("fp").alias("pfp"))
     hint = F.broadcast if count <= BROADCAST_WINDOWS else lambda x: x
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("t"), F.xxhash64("text").alias("th"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
 
     def marks(w: Column) -> Column:
         """(k-gram size, hash, place) of the fingerprints of an array of words."""
@@ -79,7 +79,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
         each = lambda m: F.transform(grams(w, m), lambda h, i: F.struct(F.lit(m).alias("size"), h.alias("fp"), (i + 1).alias("at")))
         return F.flatten(F.array(found, *map(each, lens)))
 
-    exploded = held.select("id", "th", F.explode(let(words(F.col("t")), marks)).alias("m")).select("id", "th", "m.*")
+    exploded = held.select("id", "th", F.explode(let(words(F.col("row.text")), marks)).alias("m")).select("id", "th", "m.*")
     met = exploded.join(hint(prints), (F.col("fp") == F.col("pfp")) & (F.col("size") == F.col("psize")))
     # Repeated rows make the same meetings: one of each is enough.
     met = met.groupBy("id", "th").agg(F.collect_set(F.struct("at", "windows")).alias("all")).select(F.col("id").alias("of"), F.col("th").alias("of_th"), "all")
@@ -92,8 +92,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
 
     fits = F.col("id").eqNullSafe(F.col("of")) & F.col("th").eqNullSafe(F.col("of_th"))
     none = F.array().cast("array<struct<start:int,end:int,items:array<bigint>>>")
-    hits = F.when(F.col("all").isNull(), none).otherwise(F.sort_array(let(words(F.col("t")), starts)))
-    both = held.join(met, fits, "left").select("row", F.size(words(F.col("t"))).cast("long").alias("n_words"), hits.alias("hits"))
+    hits = F.when(F.col("all").isNull(), none).otherwise(F.sort_array(let(words(F.col("row.text")), starts)))
+    both = held.join(met, fits, "left").select("row", F.size(words(F.col("row.text"))).cast("long").alias("n_words"), hits.alias("hits"))
     swept = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n")))
     items = F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))
     added = {"n_words": F.col("n_words"), "n_hit": F.col("n_hit"), "items": items, "contaminated": F.col("n_hit") > 0}
