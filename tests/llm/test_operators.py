@@ -298,7 +298,7 @@ def top_brute(rows, k=20, every=20):
     return sorted((q, n + 1, i, -s) for q, found in scored.items() for n, (s, i) in enumerate(sorted(found)[:k]))
 
 
-@pytest.mark.parametrize(("tree", "asked"), [(150, 2048), (40, 5)])
+@pytest.mark.parametrize(("tree", "asked"), [(150, 128), (40, 5)])
 def test_top_k(spark, tree, asked):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 8)).astype("float32") / 3

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import scratch as S
 
 #: Vectors of a tree, entries of a page, query vectors of a task.
-TREE, PAGE, ASKED = 20_000, 512, 2048
+TREE, PAGE, ASKED = 20_000, 512, 128
 #: Rows of the table of vector lengths up to which it is broadcast: three numbers each.
 BROADCAST_ROWS = 100_000
 
