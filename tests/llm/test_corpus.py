@@ -122,6 +122,50 @@ def test_shortened_sets_bound_overlap():
         assert len(np.unique(x)) == len(a) and len(np.intersect1d(x, y)) >= len(np.intersect1d(a, b)) and (x[1:] > x[:-1]).all()
 
 
+def test_jaccard_leaves_only_what_its_result_reads(spark, rows, tmp_path, monkeypatch):
+    base = f"file://{tmp_path}"
+    monkeypatch.setattr(scratch, "scratch", lambda _, name: f"{base}/{name}")
+    monkeypatch.setattr(jaccard_join, "PAGE_ROWS", 16)
+    joined, kept = jaccard_join.join(documents(spark, rows), 3, 90, 100, 3_000), jaccard_join.keep_one(documents(spark, rows))
+    assert {x.name for x in (tmp_path / "jaccard").iterdir()} == {"labelled", "least"} and {x.name for x in (tmp_path / "kept").iterdir()} == {"drop", "twins"}
+    assert joined.count() == len(rows) and 0 < kept.count() < len(rows)
+    scratch.drop(f"{base}/kept")
+    scratch.drop(f"{base}/kept")
+    assert {x.name for x in tmp_path.iterdir()} == {"jaccard"}
+
+
+def test_hubs_keep_pairs_and_gather_keys(spark, tmp_path):
+    rng = random.Random(3)
+    keys = {k: rng.sample(range(30 * (k % 4), 30 * (k % 4) + 30), 27) for k in range(400)} | {1000 + k: rng.sample(range(500, 900), 3) for k in range(50)} | {2000: [1, 2]}
+    made = [(k, i, i, i * 7919 % 1009) for k, of in keys.items() for i in of]
+    got = jaccard_join.gathered(spark.createDataFrame(made, "key long, id long, root long, rank long"), f"file://{tmp_path}").collect()
+    hubs = defaultdict(set)
+    for r in got:
+        hubs[r["id"]].add(r["key"])
+    assert all(hubs[a] & hubs[b] for of in keys.values() if len(of) > 2 for a in of for b in of)
+    assert len(got) == len({(r["key"], r["id"]) for r in got}) < len(made) / 10
+
+
+def test_fine_vectors_bound_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    for n in (1, 50, 700, 3000, 90_000):
+        a = draw(n)
+        b = np.unique(np.concatenate((a[: n * 3 // 4], draw(n // 4 + 1))))
+        x, y = (jaccard_join.unpacked(jaccard_join.packed(z), len(z)) for z in (a, b))
+        assert x.sum() == len(a) and y.sum() == len(b) and jaccard_join.common(x, y) >= len(np.intersect1d(a, b))
+        own = jaccard_join.Shingles.__new__(jaccard_join.Shingles)
+        own.hashes, own.sizes, own.cut = a, np.array([len(a)]), np.array([0, len(a)])
+        coarse = jaccard_join.folded(x, jaccard_join.COORDINATES)
+        assert (coarse == own.vectors()[0]).all()
+        if n == 3000:  # three quarters in common: the coarse vectors let them through, the fine ones don't
+            least = jaccard_join.overlap(len(a), len(b), 80, 100)
+            assert np.minimum(coarse, jaccard_join.folded(y, jaccard_join.COORDINATES)).sum() >= least > jaccard_join.common(x, y)
+    assert (jaccard_join.unpacked(jaccard_join.packed(np.full(40_000, 5, np.uint64)), 40_000)).max() == 40_000
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

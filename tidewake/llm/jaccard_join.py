@@ -17,8 +17,8 @@ LEAST_BUCKETS, BUCKET_BYTES = 512, 1 << 23
 #: Bits of a block's number in its task, and of a row's in its block.
 SEQ_BITS, ROW_BITS = 18, 24
 ROW = (1 << ROW_BITS) - 1
-#: Coordinates of a count vector, and entries of an R-tree node.
-COORDINATES, NODE = 128, 32
+#: Coordinates of a count vector, at most of a fine one, and entries of an R-tree node.
+COORDINATES, MOST_COORDINATES, NODE = 128, 4096, 32
 #: Tasks that send a block's sets; bytes of a batch of sets; rows of a table up to which it is broadcast.
 SPREAD, SENT_BYTES, BROADCAST_ROWS = 4, 1 << 20, 1_000_000
 #: Rows of a batch of keys, one for each bucket.
@@ -289,6 +289,56 @@ def stars(keys, members) -> Iterator:
     return (keys[~first], pivot[~first], members[~first]), (keys[first], members[first])
 
 
+def fine(n: int) -> int:
+    """Coordinates of the fine count vector of a set of n elements: a power of two from n / 2 on, within bounds."""
+    return min(max(COORDINATES, 1 << max(0, (n + 1) // 2 - 1).bit_length()), MOST_COORDINATES)
+
+
+def packed(hashes) -> bytes:
+    """The fine count vector of a set, in 4 bits a count where all are below 16, else in 1 or 4 bytes. Element groups are
+    those of Shingles.vectors, divided further, so that folds of it are the vectors of fewer coordinates."""
+    import numpy as np
+
+    d = fine(len(hashes))
+    v = np.bincount((mixed(hashes, np.uint64(77)) >> np.uint64(40)).astype(np.int64) % d, minlength=d)
+    most = int(v.max())
+    if most < 16:
+        v = v.astype(np.uint8)
+        return (v[0::2] | v[1::2] << 4).tobytes()
+    return v.astype("<u1" if most < 256 else "<u4").tobytes()
+
+
+def unpacked(data, n: int):
+    import numpy as np
+
+    d, raw = fine(n), np.frombuffer(data, "<u1")
+    if len(raw) * 2 == d:
+        return np.stack((raw & 15, raw >> 4), axis=1).reshape(-1).astype(np.int32)
+    return raw.astype(np.int32) if len(raw) == d else raw.view("<u4").astype(np.int32)
+
+
+def folded(v, d: int):
+    """A count vector in d coordinates, of which its own are a multiple."""
+    return v if len(v) == d else v.reshape(-1, d).sum(0)
+
+
+def common(x, y) -> int:
+    """Summed minima of two fine vectors in the coordinates of the coarser: at least what their sets share."""
+    import numpy as np
+
+    d = min(len(x), len(y))
+    return int(np.minimum(folded(x, d), folded(y, d)).sum())
+
+
+def gathered(members: DataFrame, here: str) -> DataFrame:
+    """Members (key, id, root, rank) of keys by hubs: a key's hub is its greatest rank, and a hub has all members of its
+    keys, each once. Members that share a key share its hub, and keys with nearly the same members mostly have one hub,
+    so that a pair which shares hundreds of keys meets a few times. Keys of two members are left out.
+    Returns key (the hub's), id, root."""
+    hubs = S.saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("hub")).where("n > 2").select("key", "hub"), f"{here}/hubs")
+    return members.join(few(hubs), "key").select(F.col("hub").alias("key"), "id", "root").distinct()
+
+
 def links(a, b, num: int, den: int) -> bool:
     """Whether two sets of distinct hashes link: den * |a n b| >= num * |a u b|."""
     import numpy as np
@@ -420,7 +470,7 @@ def numbered(partition: int, seq: int) -> int:
     return partition << SEQ_BITS | seq
 
 
-def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words: int = BLOCK_WORDS) -> DataFrame:
+def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words: int = BLOCK_WORDS, here: str | None = None) -> DataFrame:
     """Components of documents (doc_id, text) whose sets of k-word shingles have den * |A n B| >= num * |A u B|.
 
     1. Tasks turn texts into blocks (files of word numbers in the shared folder) and deal each distinct set's
@@ -432,10 +482,12 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
        count vectors may overlap enough. A set is sent once to each block that has members to check it with,
        which reads their sets from its file: first as digests, which tell equal sets, and 16 bits of each
        element, which bound the overlap from above; then whole, for pairs still open. Components of blocks so join.
-    3. Keys whose members still lie in several components get the rest: the blocks list all their members,
-       and those outside the largest component are looked up in R-trees over the count vectors, part by part and
-       page by page; summed coordinate minima bound the overlap, and every pair across components and blocks that
-       survives is checked. So no link is lost.
+    3. Keys whose members still lie in several components get the rest: the blocks list all their members, which
+       are gathered by hubs, and those outside a hub's largest component are looked up in R-trees over the count
+       vectors, part by part and page by page; summed coordinate minima bound the overlap, then those of vectors
+       with more coordinates for larger sets, and every pair across components and blocks that survives is checked.
+       So no link is lost.
+    What only serves on the way goes from the shared folder (here: a new one) as soon as nothing reads it any more.
     Elements are 64-bit hashes. Null and empty texts have an empty set and no link. A text with fewer than k
     words is one shingle. Repeated rows all stay. docs is read twice if it isn't a table: it must be the same
     rows in the same order each time, as a table's are. Returns doc_id, n_shingles, component_id (least id of
@@ -443,7 +495,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     their own), text_hash (xxhash64 of the text).
     """
     spark = docs.sparkSession
-    here = S.scratch(spark, "jaccard")
+    here = here or S.scratch(spark, "jaccard")
     # A word takes two bytes with the blank after it: no set is larger than half the longest text. Buckets follow the input.
     total, longest = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
     buckets = max(LEAST_BUCKETS, 4 * S.shuffles(spark), math.ceil(total / BUCKET_BYTES))
@@ -463,7 +515,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
             seq += 1
             number = numbered(TaskContext.get().partitionId(), seq)
             s = Shingles(words, sizes, vocabulary, k)
-            S.put(f"{here}/blocks/{number}.words", zlib.compress(pickle.dumps((words, sizes, vocabulary), 5), 1))
+            S.put(f"{here}/blocks/{number}", zlib.compress(pickle.dumps((words, sizes, vocabulary), 5), 1))
             del words, vocabulary
             sums = digests(s)
             first: dict[tuple, int] = {}
@@ -480,7 +532,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
             extra = np.unique(np.stack((star[other].astype(np.int64), root[member[other]])), axis=1)
             held = s.sizes
             del s, pivot, other
-            S.put(f"{here}/blocks/{number}.rows", zlib.compress(pickle.dumps((ids, held, copy, root, keys, owners, star, member, extra), 5), 1))
+            S.put(f"{here}/held/{number}", zlib.compress(pickle.dumps((ids, held, copy, root, keys, owners, star, member, extra), 5), 1))
             del star, member, extra, ids, held, copy
             cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
             some = np.nonzero(cut[1:] > cut[:-1])[0]
@@ -525,7 +577,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
 
         for batch in batches:
             for n in batch.column(0).to_pylist():
-                (ids, hashed), sizes, copy, root, *_ = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))
+                (ids, hashed), sizes, copy, root, *_ = pickle.loads(zlib.decompress(S.get(f"{here}/held/{n}")))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashed, pa.int64()), pa.array(sizes, pa.int64()), pa.array(root[copy] + (n << ROW_BITS), pa.int64())], ["doc_id", "text_hash", "n_shingles", "root"])
 
     def extras_of(batches):
@@ -536,7 +588,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
 
         for batch in batches:
             for n in batch.column(0).to_pylist():
-                key, root = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))[-1]
+                key, root = pickle.loads(zlib.decompress(S.get(f"{here}/held/{n}")))[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(root + (n << ROW_BITS), pa.int64())], ["key", "root"])
 
     def members_of(table):
@@ -547,11 +599,15 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         import pyarrow as pa
 
         n = table.column("block")[0].as_py()
-        _, _, _, root, keys, owners, star, member, _ = pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{n}.rows")))
+        _, _, _, root, keys, owners, star, member, _ = pickle.loads(zlib.decompress(S.get(f"{here}/held/{n}")))
         wanted = np.unique(table.column("key").to_numpy().astype(np.uint64))
         first, more = np.isin(keys, wanted), np.isin(star, wanted)
         key, own = np.concatenate((keys[first], star[more])).astype(np.int64), np.concatenate((owners[first], member[more])).astype(np.int64)
-        return pa.table({"key": pa.array(key, pa.int64()), "id": pa.array(own + (n << ROW_BITS), pa.int64()), "root": pa.array(root[own] + (n << ROW_BITS), pa.int64())})
+        ids = own + (n << ROW_BITS)
+        # Rows with many keys come first, then a hash decides; rows of one rank would only share their hubs.
+        often = np.minimum(np.bincount(own, minlength=len(root)), (1 << 20) - 1)[own]
+        rank = often << 43 | (mixed(ids.astype(np.uint64), np.uint64(7)) >> np.uint64(21)).astype(np.int64)
+        return pa.table({"key": pa.array(key, pa.int64()), "id": pa.array(ids, pa.int64()), "root": pa.array(root[own] + (n << ROW_BITS), pa.int64()), "rank": pa.array(rank, pa.int64())})
 
     rows = S.saved(numbers.mapInArrow(rows_of, "doc_id long, text_hash long, n_shingles long, root long"), f"{here}/rows")
     pairs = S.saved(met.where("key <> -1").groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"), F.count(F.lit(1)).alias("n")), f"{here}/pairs")
@@ -560,7 +616,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         import pickle
         import zlib
 
-        return pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{number}.words")))
+        return pickle.loads(zlib.decompress(S.get(f"{here}/blocks/{number}")))
 
     def picked(block, local):
         """Shingles of some rows of an opened block."""
@@ -571,7 +627,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         return Shingles(np.concatenate([words[place[i] : place[i] + sizes[i]] for i in local.tolist()]), sizes[local], vocabulary, k)
 
     def fetch(batches):
-        """(id, n, v): the size and the count vector of each id's set; ids come sorted."""
+        """(id, n, v): the size and the fine count vector of each id's set; ids come sorted."""
         import numpy as np
         import pyarrow as pa
 
@@ -585,8 +641,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
                 own = ids[ids >> ROW_BITS == n]
                 last = int(own[-1])
                 s = picked(block, own & ROW)
-                v = s.vectors().astype("<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(s.sizes, pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(s.sizes, pa.int64()), pa.array([packed(s.of(i)) for i in range(len(own))], pa.binary())], ["id", "n", "v"])
 
     def vectors_of(ids, name):
         dealt = ids.select("id").repartition(S.shuffles(spark), F.shiftright("id", ROW_BITS)).sortWithinPartitions("id")
@@ -596,14 +651,12 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
         return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
     def bounded(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for x, y, n, m in zip(batch.column(4), batch.column(5), batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), "<i4") for z in (x, y))
-                out.append(int(np.minimum(x, y).sum()) >= overlap(n, m, num, den))
+                out.append(common(unpacked(x.as_buffer(), n), unpacked(y.as_buffer(), m)) >= overlap(n, m, num, den))
             yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "ra", "rb"]).filter(pa.array(out, pa.bool_()))
 
     def allowed(pairs, points):
@@ -718,38 +771,44 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block_words
     if several.isEmpty():
         return _answer(rows, labels, here)
     places = keys.join(few(several), "key").select("key", F.explode(F.array(F.shiftright("a", ROW_BITS), F.shiftright("b", ROW_BITS))).alias("block")).distinct()
-    members = places.groupBy("block").applyInArrow(members_of, "key long, id long, root long")
-    members = S.saved(named(members, ["root"], labels).withColumnRenamed("lroot", "label"), f"{here}/members")
-    # Two members are a pair that is checked already; keys with the same members ask the same.
-    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).where("n > 2")
-    members = S.saved(members.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), f"{here}/asked")
+    members = S.saved(places.groupBy("block").applyInArrow(members_of, "key long, id long, root long, rank long"), f"{here}/members")
+    for name in ("held", "met", "several"):
+        S.drop(f"{here}/{name}")
+    members = S.saved(named(gathered(members, here), ["root"], labels).withColumnRenamed("lroot", "label"), f"{here}/asked")
     largest = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    largest = S.saved(largest.select("key", "main", F.ceil(F.col("all") / PAGE_ROWS).alias("pages"), F.ceil((F.col("all") - F.col("most")) / PAGE_ROWS).alias("sides")), f"{here}/largest")
-    points = members.join(vectors_of(members, "members"), "id").join(largest, "key")
-    # Each page of a key's members meets each part of those outside its largest component, so no task gets more than both.
+    largest = S.saved(largest.where(F.col("all") > F.col("most")).select("key", "main", F.ceil(F.col("all") / PAGE_ROWS).alias("pages"), F.ceil((F.col("all") - F.col("most")) / PAGE_ROWS).alias("sides")), f"{here}/largest")
+    members = members.join(few(largest), "key")
+    points = members.join(vectors_of(members, "members"), "id")
+    # Each page of a hub's members meets each part of those outside its largest component, so no task gets more than both.
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["key", "page", "side", "id", "root", "label", "n", "v"]
-    page = points.where("sides > 0").withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages"))).withColumn("side", each("sides")).select(*columns, F.lit(False).alias("asks"))
-    outside = points.where("label <> main").withColumn("side", F.pmod(F.xxhash64("id", F.lit(5)), F.col("sides"))).withColumn("page", each("pages")).select(*columns, F.lit(True).alias("asks"))
+    columns = ["key", "page", "side", "id", "root", "label", "n", "v", "held", "asks"]
+    points = points.withColumn("own_page", F.pmod(F.xxhash64("id"), F.col("pages"))).withColumn("own_side", F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("id", F.lit(5)), F.col("sides"))))
+    page = points.withColumn("page", F.col("own_page")).withColumn("side", each("sides")).withColumn("held", F.lit(True)).withColumn("asks", F.coalesce(F.col("side") == F.col("own_side"), F.lit(False))).select(*columns)
+    outside = points.where("pages > 1 and own_side is not null").withColumn("side", F.col("own_side")).withColumn("page", each("pages")).where("page <> own_page").withColumn("held", F.lit(False)).withColumn("asks", F.lit(True)).select(*columns)
 
     def search(table):
         import numpy as np
         import pyarrow as pa
 
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        held, asks = (np.nonzero(table.column(c).to_numpy(zero_copy_only=False))[0] for c in ("held", "asks"))
         ids, roots, labels, sizes = (table.column(c).to_numpy() for c in ("id", "root", "label", "n"))
-        v = np.frombuffer(b"".join(table.column("v").to_pylist()), "<i4").reshape(-1, COORDINATES)
-        held = np.nonzero(~asks)[0]
-        tree = RTree(v[held], sizes[held], labels[held])
+        v = table.column("v").combine_chunks()
+        whole = lambda i: unpacked(v[int(i)].as_buffer(), int(sizes[i]))
+        coarse = np.zeros((len(ids), COORDINATES), np.int32)
+        for i in range(len(ids)):
+            coarse[i] = folded(whole(i), COORDINATES)
+        tree = RTree(coarse[held], sizes[held], labels[held])
         out = set()
-        for i in np.nonzero(asks)[0]:
-            for j in held[tree.search(v[i], int(sizes[i]), labels[i], num, den)]:
+        for i in asks.tolist():
+            own = whole(i)
+            for j in held[tree.search(coarse[i], int(sizes[i]), labels[i], num, den)].tolist():
                 if ids[i] >> ROW_BITS != ids[j] >> ROW_BITS:  # a block has checked its own
                     x, y = (i, j) if ids[i] < ids[j] else (j, i)
-                    out.add((ids[x], ids[y], roots[x], roots[y]))
+                    if (p := (ids[x], ids[y], roots[x], roots[y])) not in out and common(own, whole(j)) >= overlap(int(sizes[i]), int(sizes[j]), num, den):
+                        out.add(p)
         return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("a", "b", "ra", "rb"))})
 
-    rest = page.unionByName(outside).groupBy("key", "page", "side").applyInArrow(lambda t: search(t.select(["id", "root", "label", "n", "v", "asks"])), "a long, b long, ra long, rb long").distinct()
+    rest = page.unionByName(outside).groupBy("key", "page", "side").applyInArrow(lambda t: search(t.select(["id", "root", "label", "n", "v", "held", "asks"])), "a long, b long, ra long, rb long").distinct()
     rest = S.saved(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{here}/rest")
     if not rest.isEmpty():
         more = linked(rest, "rest")
@@ -764,6 +823,7 @@ def _answer(rows: DataFrame, labels: DataFrame, here: str) -> DataFrame:
     # A row alone has its own id: only components of several rows are looked up.
     least = rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("component").alias("of"), "component_id")
     least = S.saved(least, f"{here}/least")
+    S.drop(here, keep=("labelled", "least"))
     return rows.join(few(least), (F.col("component") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "text_hash")
 
 
@@ -772,7 +832,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     all stay, but of rows equal in id and text one stays, whichever it is. Columns stay whatever their names; without
     rows there are none."""
     here = S.scratch(docs.sparkSession, "kept")
-    joined = S.saved(join(docs, k, num, den), f"{here}/joined")
+    joined = S.saved(join(docs, k, num, den, here=f"{here}/join"), f"{here}/joined")
+    S.drop(f"{here}/join")
     kept = joined.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*").distinct()
     rows = joined.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & rows["text_hash"].eqNullSafe(kept["text_hash"])
@@ -782,7 +843,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     match = F.col("id").eqNullSafe(F.col("of")) & F.col("hash").eqNullSafe(F.col("of_hash"))
     out = held.join(hint(drop), match, "left_anti")
-    twins = other(rows.where("n > 1").join(kept, same, "left_semi"))
+    twins = S.saved(other(rows.where("n > 1").join(kept, same, "left_semi")), f"{here}/twins")
+    S.drop(here, keep=("drop", "twins"))
     if not twins.isEmpty():
         out = out.join(twins, match, "left_anti").unionByName(out.join(twins, match, "left_semi").dropDuplicates(["id", "hash"]))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

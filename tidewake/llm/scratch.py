@@ -66,6 +66,18 @@ def get(uri: str) -> bytes:
         return file.read()
 
 
+def drop(uri: str, keep: tuple = ()) -> None:
+    """Deletes a folder with all tables and files in it, or all but those named. Nothing may read them any more."""
+    from pyarrow import fs
+
+    files, path = filesystem(uri)
+    for x in files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if x.base_name not in keep:
+            (files.delete_dir if x.type == fs.FileType.Directory else files.delete_file)(x.path)
+    if not keep and files.get_file_info(path).type == fs.FileType.Directory:
+        files.delete_dir(path)
+
+
 def thrifty() -> None:
     """Has arrays of 128 KB and more mapped on their own, so that their memory goes back when they go: Python workers
     live on from task to task, and what they keep counts for their executor. A no-op without glibc."""
