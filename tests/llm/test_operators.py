@@ -68,6 +68,35 @@ def test_token_records(spark, rows):
         list(token_records.records(bytes(data)))
 
 
+def test_texts_encoded_by_parts(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    asked = []
+
+    class Counting:
+        to_str = t.to_str
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return t.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(token_records, "PIECES", 300)
+    encoded, rng = token_records.encoder(Counting(), "<u2"), random.Random(5)
+    odd = [" ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u180e", "\u200b", "\u2003", "\u2028", "\u3000", "\ufeff", "a", "the", "É", "e\u0301", "'", "'s", "'ll", "7", "12", "²", "Ⅷ", ".", "...", "!", "_", "<|endoftext|>", "Ġ", "語", "🙂", "\0"]
+    texts = ["", " ", "x", " x", "x ", "  x  "] + ["".join(rng.choices(odd, k=rng.randrange(1, 14))) for _ in range(6000)] + [" ".join(rng.choices(odd, k=300)) for _ in range(20)]
+    for low in range(0, len(texts), 500):
+        some = texts[low : low + 500]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoded(some)] == [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)]
+    asked.clear()
+    encoded(["one two three two two three"] * 50)
+    assert sorted(asked) == [" three", " two"] + ["one"] * 50  # a part that comes again isn't encoded again
+    t.add_tokens(["two th"])  # it may cross a cut, so texts are encoded whole
+    assert [np.frombuffer(x, "<u2").tolist() for x in token_records.encoder(t, "<u2")(["one two three"])] == [t.encode("one two three", add_special_tokens=False).ids]
+
+
 def test_token_records_of_one_row_often(spark):
     path = __import__("public_tokenizers").path("byte_bpe_50k.json")
     docs = documents(spark, [(5, "one row many times", "a")] * 900 + [(None, "x", "a")] * 300 + [(6, "y", "a")]).repartition(8)

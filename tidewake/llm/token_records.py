@@ -23,6 +23,10 @@ MASK_DELTA = 0xA282EAD8
 ENTRY = "<qQQB"
 #: Bytes after which a task goes on in another file.
 ROLL_BYTES = 64 << 20
+#: Pieces of texts whose ids a task remembers at most; some 120 bytes each.
+PIECES = 500_000
+#: A blank before what isn't white space: byte-level pieces end before it, whatever is on either side.
+CUT = r" (?=[^\s\u180e])"
 
 
 def masked(data: bytes) -> int:
@@ -74,6 +78,40 @@ def name(folder: str, part: int, roll: int) -> str:
     return f"{folder}/part-{part:06d}-{roll:05d}"
 
 
+def encoder(t, dtype: str):
+    """A function of a list of texts: the ids of each as bytes, as the tokenizer encodes it whole.
+
+    Where the tokenizer is byte-level BPE with the usual pattern, no piece of a text crosses a CUT, so a text's ids are
+    those of its parts between cuts, and a part that comes again needn't be encoded again."""
+    import json
+    import re
+
+    import numpy as np
+
+    def whole(texts):
+        return [np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    x = json.loads(t.to_str())
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    parted = x["model"]["type"] == "BPE" and not any(x.get(k) for k in ("normalizer", "truncation", "padding")) and not x["model"].get("dropout")
+    if not parted or usual.items() - (x["pre_tokenizer"] or {}).items() or not all(a["special"] for a in x["added_tokens"]):
+        return whole
+    cut, known = re.compile(CUT).split, {}
+
+    def by_parts(texts):
+        parts = [cut(x) for x in texts]
+        wanted = set().union(*(p[1:] for p in parts))
+        new = list(wanted.difference(known))
+        if len(known) + len(new) > PIECES:
+            known.clear()
+            new = list(wanted)
+        for i in range(0, len(new), 1000):
+            known.update(zip(new[i : i + 1000], whole([f" {w}" for w in new[i : i + 1000]]), strict=True))
+        return [b"".join((first, *map(known.__getitem__, p[1:]))) for first, p in zip(whole([p[0] for p in parts]), parts, strict=True)]
+
+    return by_parts
+
+
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, parts: int | None = None, roll_bytes: int = ROLL_BYTES) -> list[tuple]:
     """Encodes every whole text of docs (doc_id, text; null: empty), adds end_id and writes record files.
 
@@ -100,13 +138,14 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         t = Tokenizer.from_file(tokenizer)
         t.encode_special_tokens = True  # their strings are ordinary text
         width = 2 if max(t.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        encoded, end = encoder(t, f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
 
         def rows():
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
                 for low in range(0, len(ids), 128):
-                    for doc_id, e in zip(ids[low : low + 128], t.encode_batch_fast([x or "" for x in texts[low : low + 128].to_pylist()], add_special_tokens=False), strict=True):
-                        yield doc_id, np.array([*e.ids, end_id], f"<u{width}")
+                    for doc_id, data in zip(ids[low : low + 128], encoded([x or "" for x in texts[low : low + 128].to_pylist()]), strict=True):
+                        yield doc_id, data + end
 
         part, roll, left = TaskContext.get().partitionId(), 0, rows()
         now = next(left, None)
@@ -117,10 +156,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                 out.write(MAGIC)
                 while now is not None and (at < roll_bytes or not total):
                     doc_id, tokens = now
-                    data = frame(struct.pack("<BBq", doc_id is None, width, doc_id or 0) + tokens.tobytes())
+                    data = frame(struct.pack("<BBq", doc_id is None, width, doc_id or 0) + tokens)
                     out.write(data)
-                    index.write(struct.pack(ENTRY, doc_id or 0, at, len(tokens), doc_id is None))
-                    at, total = at + len(data), total + len(tokens)
+                    index.write(struct.pack(ENTRY, doc_id or 0, at, len(tokens) // width, doc_id is None))
+                    at, total = at + len(data), total + len(tokens) // width
                     now = next(left, None)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([roll], pa.int32()), pa.array([total], pa.int64())], ["part", "roll", "tokens"])
             roll += 1
