@@ -97,6 +97,42 @@ def test_texts_encoded_by_parts(monkeypatch):
     assert [np.frombuffer(x, "<u2").tolist() for x in token_records.encoder(t, "<u2")(["one two three"])] == [t.encode("one two three", add_special_tokens=False).ids]
 
 
+def test_parts_are_encoded_jointly_and_remembered():
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path, asked = public_tokenizers.path("byte_bpe_50k.json"), []
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+
+    class Counting:
+        to_str = t.to_str
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return t.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    rng, encoded = random.Random(7), token_records.encoder(Counting(), "<u2")
+    ends = ["", "", "", ",", ".\nNext", "'s", "\t", "\n", "é", "語", "12", "$$$", "\u2003x", "\u0120", "<|endoftext|>"]
+    texts = [" ".join(prose(rng, 1) * 2 + rng.choice(ends) for _ in range(2000)) for _ in range(8)] + ["two  blanks here ", ""]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoded(texts)] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        distinct = len({w for x in texts for w in x.split(" ")[1:]})
+        assert distinct > 5000 and len(asked) < len(texts) + distinct / 100
+        asked.clear()
+    assert len(encoded(texts)) == len(asked) == len(texts)  # only first parts
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")]))  # without blanks, and without ids for much else
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    texts = ["ab " + " ".join("ab" * n + c for n in range(9) for c in "abxyz"), "x y", ""]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in token_records.encoder(t, "<u2")(texts)] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    first, width = token_records.kept("run", path, 2)
+    assert width == 2 and token_records.kept("run", path, 2)[0] is first  # a worker's tasks share it
+    assert token_records.kept("another", path, 2)[0] is not first and token_records.kept("another", path, 1 << 16)[1] == 4
+
+
 def test_token_records_of_one_row_often(spark):
     path = __import__("public_tokenizers").path("byte_bpe_50k.json")
     docs = documents(spark, [(5, "one row many times", "a")] * 900 + [(None, "x", "a")] * 300 + [(6, "y", "a")]).repartition(8)

@@ -10,6 +10,7 @@ order of the id.
 """
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,10 +24,17 @@ MASK_DELTA = 0xA282EAD8
 ENTRY = "<qQQB"
 #: Bytes after which a task goes on in another file.
 ROLL_BYTES = 64 << 20
-#: Pieces of texts whose ids a task remembers at most; some 120 bytes each.
-PIECES = 500_000
+#: Parts of texts whose ids a worker remembers at most, besides those of a block; some 160 bytes each. A quarter of them
+#: are parts met in one block so far.
+PIECES = 800_000
+#: New parts that are encoded as one text; fewer than the least go one by one.
+JOINED, LEAST = 1000, 8
+#: Bytes of texts that are encoded at a time, or a single text.
+BLOCK_BYTES = 8 << 20
 #: A blank before what isn't white space: byte-level pieces end before it, whatever is on either side.
 CUT = r" (?=[^\s\u180e])"
+#: Any other blank. A text without one has a cut at each blank.
+UNCUT = r" (?:[\s\u180e]|\Z)"
 
 
 def masked(data: bytes) -> int:
@@ -82,11 +90,15 @@ def encoder(t, dtype: str):
     """A function of a list of texts: the ids of each as bytes, as the tokenizer encodes it whole.
 
     Where the tokenizer is byte-level BPE with the usual pattern, no piece of a text crosses a CUT, so a text's ids are
-    those of its parts between cuts, and a part that comes again needn't be encoded again."""
+    those of its parts between cuts, and a part that comes again needn't be encoded again. New parts are encoded many at
+    a time, joined to one text: each has one blank, before it, so its ids begin where a token begins with a blank."""
     import json
     import re
+    from itertools import pairwise
 
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     def whole(texts):
         return [np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,22 +108,74 @@ def encoder(t, dtype: str):
     parted = x["model"]["type"] == "BPE" and not any(x.get(k) for k in ("normalizer", "truncation", "padding")) and not x["model"].get("dropout")
     if not parted or usual.items() - (x["pre_tokenizer"] or {}).items() or not all(a["special"] for a in x["added_tokens"]):
         return whole
-    cut, known = re.compile(CUT).split, {}
+    vocabulary = x["model"]["vocab"]
+    begins = np.zeros(1 + max([*vocabulary.values(), *(a["id"] for a in x["added_tokens"])]), bool)
+    begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # a blank, as byte-level models write it
+    uncut, cut, width = re.compile(UNCUT).search, re.compile(CUT).split, np.dtype(dtype).itemsize
+    known, once = {}, {}  # parts met in several blocks, and in one
+    least = LEAST if x["model"].get("unk_token") is None else JOINED + 1  # that token may stand for a blank too
+
+    def learn(parts):
+        for i in range(0, len(parts), JOINED):
+            some = parts[i : i + JOINED]
+            if len(some) >= least:
+                data = whole([" " + " ".join(some)])[0]
+                ats = (np.flatnonzero(begins[np.frombuffer(data, dtype)]) * width).tolist()
+                if len(ats) == len(some):
+                    once.update(zip(some, (data[a:b] for a, b in pairwise([*ats, len(data)])), strict=True))
+                    continue
+            once.update(zip(some, whole([f" {w}" for w in some]), strict=True))  # few, or they hold blanks
+
+    def ids(parts):
+        if len(known) > PIECES - PIECES // 4:
+            known.clear()
+        found = list(map(known.get, parts))
+        gaps = [i for i, data in enumerate(found) if data is None]
+        new = [w for w in (parts[i] for i in gaps) if w not in once]
+        if len(new) < len(gaps):
+            known.update((w, once.pop(w)) for w in (parts[i] for i in gaps) if w in once)
+        if len(once) + len(new) > PIECES // 4:
+            once.clear()
+        learn([w for w in new if " " not in w])
+        learn([w for w in new if " " in w])
+        for i in gaps:
+            found[i] = once[parts[i]] if parts[i] in once else known[parts[i]]
+        return found
 
     def by_parts(texts):
-        parts = [cut(x) for x in texts]
-        wanted = set().union(*(p[1:] for p in parts))
-        new = list(wanted.difference(known))
-        if len(known) + len(new) > PIECES:
-            known.clear()
-            new = list(wanted)
-        for i in range(0, len(new), 1000):
-            known.update(zip(new[i : i + 1000], whole([f" {w}" for w in new[i : i + 1000]]), strict=True))
-        return [b"".join((first, *map(known.__getitem__, p[1:]))) for first, p in zip(whole([p[0] for p in parts]), parts, strict=True)]
+        odd = [uncut(x) is not None for x in texts]
+        split = pc.split_pattern(pa.array([x for x, o in zip(texts, odd, strict=True) if not o], pa.large_string()), " ")
+        split = pa.concat_arrays([split, pa.array([cut(x) for x, o in zip(texts, odd, strict=True) if o], split.type)])
+        at = split.offsets.to_numpy()
+        later = np.ones(len(split.values), bool)
+        later[at[:-1]] = False  # a text's first part has no blank before it
+        parts = split.values.filter(pa.array(later)).dictionary_encode()
+        data = pa.array(ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
+        ends = np.frombuffer(data.buffers()[1], np.int64)[at - np.arange(len(at))].tolist()
+        raw, firsts = memoryview(data.buffers()[2] or b""), whole(split.values.take(pa.array(at[:-1])).to_pylist())
+        made = [b"".join((first, raw[a:b])) for first, (a, b) in zip(firsts, pairwise(ends), strict=True)]
+        plain, others = iter(made[: len(odd) - sum(odd)]), iter(made[len(odd) - sum(odd) :])
+        return [next(others if o else plain) for o in odd]
 
     return by_parts
 
 
+def kept(run: str, tokenizer: str, end_id: int):
+    """The encoder of a tokenizer's file and the bytes of a token id: as this worker's last task left it with the parts
+    it knows, if that was of the same run. Python workers live on from task to task, modules pickled by value don't, so
+    it stays with the library. Runs share nothing."""
+    import tokenizers
+
+    key, last = (run, tokenizer, end_id), getattr(tokenizers, "_tidewake_kept", None)
+    if last and last[0] == key:
+        return last[1:]
+    t = tokenizers.Tokenizer.from_file(tokenizer)
+    t.encode_special_tokens = True  # their strings are ordinary text
+    width = 2 if max(t.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    tokenizers._tidewake_kept = key, encoder(t, f"<u{width}"), width
+    return tokenizers._tidewake_kept[1:]
+
+
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, parts: int | None = None, roll_bytes: int = ROLL_BYTES) -> list[tuple]:
     """Encodes every whole text of docs (doc_id, text; null: empty), adds end_id and writes record files.
 
@@ -122,7 +186,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     other than doc_id and text play no part. Returns (part, roll, tokens) of each file, in order. A token id takes 2
     bytes where the vocabulary allows it.
     """
-    spark = docs.sparkSession
+    spark, run = docs.sparkSession, uuid.uuid4().hex
     parts = parts or S.shuffles(spark)
 
     def encode(batches):
@@ -132,20 +196,21 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True  # their strings are ordinary text
-        width = 2 if max(t.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encoded, end = encoder(t, f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
+        encoded, width = kept(run, tokenizer, end_id)
+        end = np.array([end_id], f"<u{width}").tobytes()
 
         def rows():
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                for low in range(0, len(ids), 128):
-                    for doc_id, data in zip(ids[low : low + 128], encoded([x or "" for x in texts[low : low + 128].to_pylist()]), strict=True):
+                ids, texts, low = batch.column(0).to_pylist(), batch.column(1), 0
+                ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                while low < len(ids):
+                    high = max(low + 1, int(np.searchsorted(ends, BLOCK_BYTES + (ends[low - 1] if low else 0), "right")))
+                    for doc_id, data in zip(ids[low:high], encoded([x or "" for x in texts[low:high].to_pylist()]), strict=True):
                         yield doc_id, data + end
+                    low = high
 
         part, roll, left = TaskContext.get().partitionId(), 0, rows()
         now = next(left, None)
