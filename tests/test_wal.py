@@ -1,9 +1,12 @@
 """Log and snapshot files of version 1 and 2, with expiries, as the reference writes and refuses them."""
 
 import base64
+import io
 import json
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.pandas import group_ops
 
 from tidewake.sources import wal
 
@@ -68,3 +71,42 @@ def test_times():
         assert wal.instant(wal.timestamp(us)) == us * 1000
     assert wal.instant(wal.ZERO_TIME) is None and wal.timestamp(None) == wal.ZERO_TIME
     assert json.loads(json.dumps(wal.record(1, "put", "k")))["expires"] == wal.ZERO_TIME
+
+
+@pytest.fixture
+def no_frames(spark, monkeypatch):
+    """No store's rows are one pandas frame, and Python gets few at a time."""
+
+    def refuse(*_):
+        raise AssertionError("a store's rows are one pandas frame")
+
+    monkeypatch.setattr(group_ops.PandasGroupedOpsMixin, "applyInPandas", refuse)
+    monkeypatch.setattr(group_ops.PandasCogroupedOps, "applyInPandas", refuse)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def ops(spark, n):
+    """Records of stores 0 to 2, of 5 keys each, the last of which hold a value."""
+    return spark.range(n).select(F.col("id").alias("seq"), (F.col("id") % 3).alias("store"), F.lit("put").alias("op"), F.concat(F.lit("k"), (F.col("id") % 5).cast("string")).alias("key"), F.col("id").cast("string").cast("binary").alias("value")).repartition(3)
+
+
+def numbered(spark, folder):
+    return sorted((r["path"][-5], r["seq"], int(r["value"])) for r in wal.strict(wal.scan(spark, folder)).collect())
+
+
+def test_logs_are_streams(spark, tmp_path, no_frames):
+    here = f"file://{tmp_path}/a b%20c"  # names as Spark has them, without escapes
+    log = ops(spark, 90).withColumn("seq", F.expr("seq div 3 + 1"))
+    wal.append(log, here)
+    assert numbered(spark, here) == sorted((str(i % 3), i // 3 + 1, i) for i in range(90))
+    # Files that workers open aren't a row each.
+    plan = wal.scan(spark, here)._jdf.queryExecution().executedPlan().toString()
+    assert "content:binary" not in plan
+
+
+def test_frames_are_read_as_they_come():
+    data = io.BytesIO(wal.frame(LEGACY[0]) * 1000)
+    one = next(wal.frames(data))
+    assert json.loads(one[0]) == LEGACY[0] and data.tell() == one[2] == len(wal.frame(LEGACY[0]))

@@ -8,15 +8,23 @@ siblings. Expiries are kept in whole microseconds, rounded up, so that compariso
 
 import base64
 import datetime
+import io
 import json
 import re
 import struct
 import uuid
 import zlib
+from collections import deque
+from contextlib import contextmanager, suppress
+from itertools import chain, groupby
+from operator import itemgetter
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.functions import inorder
+
 FRAME_LIMIT = 16 << 20
 SIBLINGS = "array<struct<id:string,clock:map<string,bigint>,value:string,deleted:boolean,expires_us:bigint>>"
 RECORD = f"seq long, version int, op string, key string, value binary, expires_us long, siblings {SIBLINGS}"
@@ -30,7 +38,7 @@ ZERO_TIME = "0001-01-01T00:00:00Z"
 
 def instant(text: str | None) -> int | None:
     """Nanoseconds since 1970 of an RFC 3339 time, None for no time or the zero time; ValueError if it isn't one."""
-    if text is None:
+    if text is None or text == ZERO_TIME:
         return None
     if not (m := _TIME.fullmatch(text)):
         raise ValueError("time")
@@ -109,20 +117,23 @@ def record(seq: int, op: str, key: str, value: bytes | None = None, expires_us:
     return {"sequence": seq, "version": 1, "op": op, "key": key} | ({"value": base64.b64encode(value).decode()} if value else {}) | {"expires": timestamp(expires_us)}
 
 
+_ENCODER = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False)
+
+
 def frame(record: dict) -> bytes:
-    payload = json.dumps(record, separators=(",", ":"), ensure_ascii=False).encode()
+    payload = _ENCODER.encode(record).encode()
     return struct.pack(">II", len(payload), zlib.crc32(payload)) + payload
 
 
-def frames(data: bytes):
-    """(payload, error, end) of each whole frame; an error ends the log."""
-    at = 0
-    while at + 8 <= len(data):
-        size, crc = struct.unpack_from(">II", data, at)
+def frames(data):
+    """(payload, error, end) of each whole frame of bytes or of a binary stream; an error ends the log."""
+    data, at = io.BytesIO(data) if isinstance(data, bytes) else data, 0
+    while len(head := data.read(8)) == 8:
+        size, crc = struct.unpack(">II", head)
         if size == 0 or size > FRAME_LIMIT:
             yield None, f"invalid frame size {size}", at
             return
-        payload = data[at + 8 : at + 8 + size]
+        payload = data.read(size)
         if len(payload) < size:
             return
         at += 8 + size
@@ -136,15 +147,44 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("siblings", F.from_json("siblings", SIBLINGS))
 
 
+def _at(path: str):
+    """The file system of a path as Spark names it, without escapes, and the path in it."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if path.startswith("/") or scheme == "file":
+        return fs.LocalFileSystem(), path if path.startswith("/") else f"/{rest.lstrip('/')}"
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def _open(path: str, content: bytes | None = None):
+    """A file as a buffered stream; of its content, if Spark has read that."""
+    if content is not None:
+        return io.BytesIO(content)
+    files, at = _at(path)
+    return io.BufferedReader(files.open_input_stream(at, compression=None), inorder.BYTES)
+
+
+def _logs(spark: SparkSession, path: str) -> DataFrame:
+    """The log files below path: path, length, content. Workers read them as streams, so content is null, unless they
+    are in a store that only Spark can open; then a file is a row, and may have 2 GB."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path)
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        _at(here.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(here).toString())
+    except (OSError, ValueError, NotImplementedError):
+        return files.select("path", "length", "content")
+    return files.select("path", "length", F.lit(None).cast("binary").alias("content"))
+
+
 def scan(spark: SparkSession, path: str, boundary: int | DataFrame = 0) -> DataFrame:
     """Rows of the log files below path: path, RECORD, error. A record without a sequence gets the one before plus 1;
     a gap or step back is an error; records up to boundary, a number or a table (path, boundary) by log file, are
     checked and left out, and the first one after it must follow it."""
-    columns = ["path", *_FIELDS, "error"]
 
-    def read(data, boundary):
+    def read(path, stream, boundary):
         last, applied = 0, boundary
-        for payload, error, _ in frames(data):
+        for payload, error, _ in frames(stream):
             if not error:
                 try:
                     row, error = decode(_is(json.loads(payload), dict, {}))
@@ -155,30 +195,29 @@ def scan(spark: SparkSession, path: str, boundary: int | DataFrame = 0) -> DataF
                 if seq <= last or last and seq != last + 1 or seq > boundary and seq != applied + 1:
                     error = "sequence gap"
             if error:
-                yield *[None] * len(_FIELDS), error
+                yield path, *[None] * len(_FIELDS), error
                 return
             last = seq
             if seq > boundary:
                 applied = seq
-                yield *row, None
+                yield path, *row, None
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content")
+    files = _logs(spark, path)
     if isinstance(boundary, DataFrame):
         files = files.join(boundary.select("path", "boundary"), "path", "left").fillna(0, ["boundary"])
     else:
         files = files.withColumn("boundary", F.lit(boundary).cast("long"))
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            for path, content, boundary in zip(pdf["path"], pdf["content"], pdf["boundary"], strict=True):
-                rows = [(path, *r) for r in read(bytes(content), int(boundary))]
-                if rows:
-                    # Objects, as pandas would make floats of longs with nulls.
-                    yield pd.DataFrame(rows, columns=columns, dtype=object).astype({"seq": "Int64", "version": "Int32", "expires_us": "Int64"})
+        fields = dict(path=pa.string(), seq=pa.int64(), version=pa.int32(), op=pa.string(), key=pa.string(), value=pa.binary(), expires_us=pa.int64(), siblings=pa.string(), error=pa.string())
+        for b in batches:
+            for path, content, boundary in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with _open(path, content) as stream:
+                    yield from inorder.batches(read(path, stream, boundary), fields)
 
-    return _unpacked(files.mapInPandas(run, f"path string, {_RAW}, error string"))
+    return _unpacked(files.select("path", "content", "boundary").mapInArrow(run, f"path string, {_RAW}, error string"))
 
 
 def strict(log: DataFrame) -> DataFrame:
@@ -186,62 +225,90 @@ def strict(log: DataFrame) -> DataFrame:
     return log.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "path", "error")).cast("boolean")).otherwise(F.lit(True))).drop("error")
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    from pyarrow import fs
-
-    files, path = fs.FileSystem.from_uri(folder)
+@contextmanager
+def _put(folder: str, name: str):
+    """A stream to a new file, which is moved into place when all is written."""
+    files, path = _at(folder)
     files.create_dir(path, recursive=True)
     own = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with files.open_output_stream(own) as out:
-        out.write(data)
+    try:
+        with files.open_output_stream(own, compression=None) as raw, io.BufferedWriter(raw, inorder.BYTES) as out:
+            yield out
+    except BaseException:
+        with suppress(OSError):
+            files.delete_file(own)
+        raise
     files.move(own, f"{path}/{name}")
 
 
+def _rows(log: DataFrame, *more: str) -> DataFrame:
+    """A log's columns as Python gets them, with the siblings in JSON."""
+    expires = F.col("expires_us") if "expires_us" in log.columns else F.lit(None)
+    siblings = F.to_json("siblings") if "siblings" in log.columns else F.lit(None)
+    return log.select(F.col("store").cast("long").alias("store"), F.col("seq").cast("long").alias("seq"), "op", "key", F.col("value").cast("binary").alias("value"), expires.cast("long").alias("expires_us"), siblings.cast("string").alias("siblings"), *more)
+
+
+def _record(seq, op, key, value, expires_us, siblings) -> dict:
+    return record(seq, op, key, value, expires_us, json.loads(siblings) if siblings else None)
+
+
 def append(log: DataFrame, folder: str) -> None:
     """Writes a log (store, seq, op, key, value and, if there are such columns, expires_us and siblings) as one file of
     frames per store, in order of seq."""
-    _write(log, folder, "wal", lambda rows, _: b"".join(frame(r) for r in rows))
+
+    def write(name, rows):
+        with _put(folder, f"{name}.wal") as out:
+            for _, seq, op, key, *more in rows:
+                if key is not None:
+                    out.write(frame(_record(seq, op, key, *more)))
+
+    _write(inorder.by(_rows(log), "store", "seq"), write)
 
 
 def save_snapshots(state: DataFrame, folder: str) -> None:
     """Writes a state (store, boundary, and a log's columns but op) as one snapshot per store, beside its log. boundary is
     the sequence that the store's state was taken at; a row with a null key stands for a store without entries."""
-    _write(state.withColumn("op", F.lit("put")), folder, "wal.snapshot", lambda rows, top: snapshot({r["key"]: r for r in rows}, top), "boundary")
+
+    def write(name, rows):
+        first = next(rows)
+        last = (r for _, own in groupby(chain([first], rows), itemgetter(3)) for r in deque(own, 1))  # of each key
+        with _put(folder, f"{name}.wal.snapshot") as out:
+            for piece in _pieces(((key, _record(seq, op, key, *more)) for _, seq, op, key, *more, _ in last if key is not None), int(first[-1])):
+                out.write(piece)
+
+    _write(inorder.by(_rows(state.withColumn("op", F.lit("put")), "boundary"), "store", "key", "seq"), write)
 
 
-def _write(log: DataFrame, folder: str, suffix: str, pack, *more: str) -> None:
-    expires = F.col("expires_us") if "expires_us" in log.columns else F.lit(None).cast("long")
-    siblings = F.to_json("siblings") if "siblings" in log.columns else F.lit(None).cast("string")
-    # In text, as pandas would make floats of longs with nulls.
-    rows = log.select("store", "seq", "op", "key", F.col("value").cast("binary").alias("value"), expires.cast("string").alias("expires"), siblings.alias("siblings"), *more)
+def _write(rows: DataFrame, write) -> None:
+    """Calls write with a name and the rows of each store; a store's rows come one after another, in order."""
 
-    def write(pdf):
-        pdf = pdf.sort_values("seq")
-        fields = zip(pdf["seq"], pdf["op"], pdf["key"], pdf["value"], pdf["expires"], pdf["siblings"], strict=True)
-        made = [record(int(s), o, k, v and bytes(v), int(x) if x else None, json.loads(z) if z else None) for s, o, k, v, x, z in fields if k is not None]
-        _put(folder, f"store-{int(pdf['store'].iloc[0]):05d}.{suffix}", pack(made, int(pdf[more[0]].iloc[0]) if more else None))
-        return pdf.iloc[:1][["store"]]
+    def run(batches):
+        import pyarrow as pa
+
+        for store, own in inorder.groups(batches):
+            write(f"store-{store:05d}", own)
+            yield pa.RecordBatch.from_arrays([pa.array([store], pa.int64())], ["store"])
 
-    rows.groupBy("store").applyInPandas(write, "store long").count()
+    rows.mapInArrow(run, "store long").count()
 
 
 def tails(spark: SparkSession, path: str) -> DataFrame:
     """How far the log files below path can be read: path, bytes, valid_bytes (whole frames), error of the first bad frame."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
+        for b in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path, length, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 end, error = 0, None
-                for payload, error, at in frames(bytes(content)):
-                    end = at if payload is not None else end
-                rows.append((path, len(content), end, error))
-            yield pd.DataFrame(rows, columns=["path", "bytes", "valid_bytes", "error"])
+                with _open(path, content) as stream:
+                    for payload, error, at in frames(stream):
+                        end = at if payload is not None else end
+                rows.append((path, length, end, error))
+            yield from inorder.batches(rows, dict(path=pa.string(), bytes=pa.int64(), valid_bytes=pa.int64(), error=pa.string()))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, bytes long, valid_bytes long, error string")
+    return _logs(spark, path).mapInArrow(run, "path string, bytes long, valid_bytes long, error string")
 
 
 def extend(spark: SparkSession, ops: DataFrame, folder: str) -> None:
@@ -250,37 +317,51 @@ def extend(spark: SparkSession, ops: DataFrame, folder: str) -> None:
     fails the job. The log is written anew and then moved into place, so a repeated task does no harm while it is the
     only one that writes to the store."""
     number = F.regexp_extract("path", r"store-(\d+)", 1).cast("long")
-    files = spark.read.format("binaryFile").load(folder).where("path like '%.wal' or path like '%.snapshot'").select(number.alias("store"), "path", "content")
-    expires = F.col("expires_us") if "expires_us" in ops.columns else F.lit(None).cast("long")
-    siblings = F.to_json("siblings") if "siblings" in ops.columns else F.lit(None).cast("string")
-    rows = ops.select("store", "seq", "op", "key", F.col("value").cast("binary").alias("value"), expires.cast("string").alias("expires"), siblings.alias("siblings"))
-
-    def write(old, new):
-        import pandas as pd
-
-        if not len(new):
-            return pd.DataFrame({"store": []}, dtype="int64")
-        last, kept = 0, b""
-        for path, content in zip(old["path"], old["content"], strict=True):
-            if path.endswith(".snapshot"):
-                top, *_, error = next(iter(read_snapshot(bytes(content))))
+    files = spark.read.format("binaryFile").load(folder).where("path like '%.wal' or path like '%.snapshot'").select(number.alias("store"), "path")
+
+    def end(path):
+        """The last sequence of a log or a snapshot, where the log's whole frames end, and what is wrong."""
+        if path.endswith(".snapshot"):
+            with _open(path) as stream:
+                top, *_, error = next(iter(read_snapshot(stream.read())))
+            return top, None, error
+        seq, at = 0, 0
+        with _open(path) as stream:
+            for payload, error, at in frames(stream):
                 if error:
-                    raise ValueError(f"{path}: {error}")
-                last = max(last, top)
-            else:
-                data, end, seq = bytes(content), 0, 0
-                for payload, error, end in frames(data):
-                    if error:
-                        raise ValueError(f"{path}: {error}")
-                    seq = json.loads(payload).get("sequence") or seq + 1
-                kept, last = data[:end], max(last, seq)
-        new = new.sort_values("seq")
-        fields = zip(new["op"], new["key"], new["value"], new["expires"], new["siblings"], strict=True)
-        made = [frame(record(last + i, o, k, v and bytes(v), int(x) if x else None, json.loads(z) if z else None)) for i, (o, k, v, x, z) in enumerate(fields, 1)]
-        _put(folder, f"store-{int(new['store'].iloc[0]):05d}.wal", kept + b"".join(made))
-        return new.iloc[:1][["store"]]
-
-    files.groupBy("store").cogroup(rows.groupBy("store")).applyInPandas(write, "store long").count()
+                    return seq, at, error
+                seq = json.loads(payload).get("sequence") or seq + 1
+        return seq, at, None
+
+    def ends(batches):
+        import pyarrow as pa
+
+        fields = dict(store=pa.int64(), path=pa.string(), last=pa.int64(), end=pa.int64(), error=pa.string())
+        for b in batches:
+            yield from inorder.batches(((store, path, *end(path)) for store, path in zip(*(c.to_pylist() for c in b.columns), strict=True)), fields)
+
+    def write(name, rows):
+        last, kept, faults = 0, None, []
+        for _, path, own, at, error, *new in rows:
+            if path is None:
+                break
+            faults += [f"{path}: {error}"] if error else []
+            last, kept = max(last, own or 0), kept if at is None else (path, at)
+        else:
+            return  # nothing to append
+        if faults:
+            raise ValueError(faults[0])
+        with _put(folder, f"{name}.wal") as out:
+            if kept:
+                with _open(kept[0]) as stream:
+                    for at in range(0, kept[1], inorder.BYTES):
+                        out.write(stream.read(min(inorder.BYTES, kept[1] - at)))
+            for i, (_, *more) in enumerate(chain([new], (r[5:] for r in rows)), last + 1):
+                out.write(frame(_record(i, *more)))
+
+    # A store's files come first. How far they go is settled before the shuffle, so a repeated task writes the same.
+    found = files.mapInArrow(ends, "store long, path string, last long, end long, error string")
+    _write(inorder.by(found.unionByName(_rows(ops), allowMissingColumns=True), "store", F.col("path").isNull(), "seq"), write)
 
 
 def compact(spark: SparkSession, path: str, folder: str, now_us: int | None = None) -> None:
@@ -296,8 +377,20 @@ def compact(spark: SparkSession, path: str, folder: str, now_us: int | None = No
 
 def snapshot(state: dict[str, dict], sequence: int) -> bytes:
     """An envelope of the JSON of a state, records by key, and its CRC-32."""
-    inner = json.dumps({"version": 1, "sequence": sequence, "entries": dict(sorted(state.items()))}, separators=(",", ":"))
-    return f'{{"state":{inner},"checksum":{zlib.crc32(inner.encode())}}}'.encode()
+    return b"".join(_pieces(sorted(state.items()), sequence))
+
+
+def _pieces(entries, sequence: int):
+    """A snapshot of (key, record) in order of the keys, piece by piece."""
+    crc, comma = 0, ""
+    yield b'{"state":'
+    yield (piece := f'{{"version":1,"sequence":{sequence},"entries":{{'.encode())
+    crc = zlib.crc32(piece)
+    for key, r in entries:
+        yield (piece := f"{comma}{json.dumps(key)}:{json.dumps(r, separators=(',', ':'))}".encode())
+        crc, comma = zlib.crc32(piece, crc), ","
+    yield b"}}"
+    yield f',"checksum":{zlib.crc32(b"}}", crc)}}}'.encode()
 
 
 def read_snapshot(data: bytes):
