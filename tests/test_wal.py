@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.pandas import group_ops
 
+from tidewake.functions import inorder
 from tidewake.sources import wal
 
 LEGACY = [{"version": 1, "op": "put", "key": "legacy", "value": "eA=="}, {"version": 1, "op": "delete", "key": "none"}]
@@ -110,3 +111,16 @@ def test_frames_are_read_as_they_come():
     data = io.BytesIO(wal.frame(LEGACY[0]) * 1000)
     one = next(wal.frames(data))
     assert json.loads(one[0]) == LEGACY[0] and data.tell() == one[2] == len(wal.frame(LEGACY[0]))
+
+
+def test_extension_is_a_stream(spark, tmp_path, no_frames):
+    here = f"file://{tmp_path}/logs"
+    wal.append(ops(spark, 60).withColumn("seq", F.expr("seq div 3 + 1")).where("store < 2"), here)
+    with open(tmp_path / "logs/store-00001.wal", "ab") as torn:
+        torn.write(b"\0\0\0\x09broken")
+    before = (tmp_path / "logs/store-00000.wal").read_bytes()
+    wal.extend(spark, ops(spark, 90).where("store > 0 and seq >= 60"), here)
+    wal.extend(spark, ops(spark, 93).where("store > 0 and seq >= 90"), here)
+    assert (tmp_path / "logs/store-00000.wal").read_bytes() == before
+    want = [("0", i // 3 + 1, i) for i in range(0, 60, 3)] + [("1", i // 3 + 1, i) for i in range(1, 93, 3)] + [("2", n, i) for n, i in enumerate(range(62, 93, 3), 1)]
+    assert numbered(spark, here) == sorted(want)
