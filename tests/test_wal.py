@@ -124,3 +124,18 @@ def test_extension_is_a_stream(spark, tmp_path, no_frames):
     assert (tmp_path / "logs/store-00000.wal").read_bytes() == before
     want = [("0", i // 3 + 1, i) for i in range(0, 60, 3)] + [("1", i // 3 + 1, i) for i in range(1, 93, 3)] + [("2", n, i) for n, i in enumerate(range(62, 93, 3), 1)]
     assert numbered(spark, here) == sorted(want)
+
+
+def test_snapshots_are_streams(spark, tmp_path, no_frames):
+    log, new = f"file://{tmp_path}/log", f"file://{tmp_path}/new"
+    wal.append(ops(spark, 90).withColumn("seq", F.expr("seq div 3 + 1")), log)
+    wal.compact(spark, log, new)
+    for store in range(3):
+        rows = {f"k{i % 5}": wal.record(i // 3 + 1, "put", f"k{i % 5}", str(i).encode()) for i in range(store, 90, 3)}
+        assert (tmp_path / f"new/store-{store:05d}.wal.snapshot").read_bytes() == wal.snapshot(rows, 30)
+    # Of rows of one key the last counts, and a null key stands for nothing.
+    state = spark.createDataFrame([(7, 9, 2, "\U0001f600", b"new"), (7, 9, 1, "\U0001f600", b"old"), (7, 9, 3, "\uffff", b"x"), (8, 4, None, None, None)], "store long, boundary long, seq long, key string, value binary")
+    wal.save_snapshots(state, new)
+    want = {"\uffff": wal.record(3, "put", "\uffff", b"x"), "\U0001f600": wal.record(2, "put", "\U0001f600", b"new")}
+    assert (tmp_path / "new/store-00007.wal.snapshot").read_bytes() == wal.snapshot(want, 9)
+    assert (tmp_path / "new/store-00008.wal.snapshot").read_bytes() == wal.snapshot({}, 4)
