@@ -139,3 +139,13 @@ def test_snapshots_are_streams(spark, tmp_path, no_frames):
     want = {"\uffff": wal.record(3, "put", "\uffff", b"x"), "\U0001f600": wal.record(2, "put", "\U0001f600", b"new")}
     assert (tmp_path / "new/store-00007.wal.snapshot").read_bytes() == wal.snapshot(want, 9)
     assert (tmp_path / "new/store-00008.wal.snapshot").read_bytes() == wal.snapshot({}, 4)
+
+
+def test_batches_are_bounded():
+    import pyarrow as pa
+
+    rows = lambda n, data: ((i, data) for i in range(n))
+    fields = {"n": pa.int64(), "data": pa.binary()}
+    assert [b.num_rows for b in inorder.batches(rows(5, bytes(inorder.BYTES // 2)), fields)] == [2, 2, 1]
+    assert [b.num_rows for b in inorder.batches(rows(2 * inorder.ROWS + 1, None), fields)] == [inorder.ROWS, inorder.ROWS, 1]
+    assert list(inorder.batches(iter(()), fields)) == []
