@@ -149,3 +149,14 @@ def test_batches_are_bounded():
     assert [b.num_rows for b in inorder.batches(rows(5, bytes(inorder.BYTES // 2)), fields)] == [2, 2, 1]
     assert [b.num_rows for b in inorder.batches(rows(2 * inorder.ROWS + 1, None), fields)] == [inorder.ROWS, inorder.ROWS, 1]
     assert list(inorder.batches(iter(()), fields)) == []
+
+
+def state_of(spark, folder):
+    return sorted((r["path"][-5], r["key"], r["seq"], int(r["value"])) for r in wal.recover(spark, folder).collect())
+
+
+def test_state_is_recovered_from_streams(spark, tmp_path, no_frames):
+    here = f"file://{tmp_path}/log"
+    wal.append(ops(spark, 90).withColumn("seq", F.expr("seq div 3 + 1")), here)
+    want = sorted((str(i % 3), f"k{i % 5}", i // 3 + 1, i) for i in range(75, 90))
+    assert state_of(spark, here) == want
