@@ -160,3 +160,12 @@ def test_state_is_recovered_from_streams(spark, tmp_path, no_frames):
     wal.append(ops(spark, 90).withColumn("seq", F.expr("seq div 3 + 1")), here)
     want = sorted((str(i % 3), f"k{i % 5}", i // 3 + 1, i) for i in range(75, 90))
     assert state_of(spark, here) == want
+
+
+def test_state_is_recovered_from_snapshots_and_streams(spark, tmp_path, no_frames):
+    log, new = f"file://{tmp_path}/log", f"file://{tmp_path}/new"
+    wal.append(ops(spark, 60).withColumn("seq", F.expr("seq div 3 + 1")), log)
+    wal.compact(spark, log, new)
+    wal.extend(spark, ops(spark, 66).where("seq >= 60"), new)
+    want = sorted((str(i % 3), f"k{i % 5}", i // 3 + 1, i) for i in range(66) if i + 15 > 65)
+    assert state_of(spark, new) == want
