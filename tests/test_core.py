@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import OrderedDict
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,39 @@ def test_bounded_stores(spark):
     assert [o for o, *_ in got] == ["stored", "stored", "hit", "evicted", "miss", "hit"]
 
 
+def gets_and_puts(spark, n):
+    """A log of 2 stores, out of order, and its rows."""
+    rng = random.Random(3)
+    rows = [(i % 2, i, rng.choice(["get", "get", "put", "delete"]), f"k{rng.randrange(6)}", i, rng.choice([0, 0, 4])) for i in range(n)]
+    return spark.createDataFrame(rng.sample(rows, n), "store long, seq long, op string, key string, at_us long, ttl_us long"), rows
+
+
+def folded(rows, step, capacity):
+    held, out = [OrderedDict(), OrderedDict()], {}
+    for store, seq, op, key, at, ttl in rows:
+        out[seq] = (step(held[store], op, key, at, at + ttl if ttl else None, capacity), len(held[store]) - (None in held[store]))
+    return out
+
+
+@pytest.mark.parametrize("kind, step", [(fold.lru, fold._lru), (fold.durable, fold._durable)])
+def test_folds_are_streams(spark, kind, step):
+    log, rows = gets_and_puts(spark, 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a store goes on from batch to batch
+    try:
+        got = kind(log, 3)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r["seq"]: (r["outcome"], r["size"]) for r in got.collect()} == folded(rows, step, 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_expiries_of_a_durable_store_are_bounded():
+    held = OrderedDict()
+    for i in range(10_000):
+        assert fold._durable(held, "put", f"k{i % 3}", i, i + 10**9, 3) == "stored"
+    assert len(held[None]) < 100 and fold._durable(held, "put", "new", 2 * 10**9, None, 3) == "stored" and len(held) == 2
+
+
 def test_reads_and_writes(spark):
     r, s, t = ("k", "r", ["r"], "one", 100), ("k", "s", ["s"], "two", None), ("gone", "t", ["t"], None, None)
     state = records(spark, [r, s, t]).withColumn("rank", F.when(F.col("id") == "s", 2).otherwise(1))
