@@ -121,6 +121,15 @@ def test_folds_are_streams(spark, kind, step):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_hit_rate_is_of_a_stream(spark, tmp_path):
+    from tidewake.plans import queries
+
+    spark.sql("select id as event_id, timestamp_micros(id * 1000) as ts, id % 8 as user_id, case when id % 5 = 0 then 'signup' else 'view' end as event_type from range(500)").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.lru_hit_rate(spark, f"file://{tmp_path}")
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["store"], r["gets"]) for r in got.collect()) == [(s, 100) for s in range(4)]
+
+
 def test_expiries_of_a_durable_store_are_bounded():
     held = OrderedDict()
     for i in range(10_000):
